@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from labelwright.fixed import legal_patterns as lg
 from labelwright.fixed.limits import SCHEDULE_NUMERALS
-from labelwright.functions.text import group_of, matched, rx, strip, truthy
+from labelwright.functions.text import group_of, let, matched, rx, strip, truthy
 
 REFERENCE_TYPE = (
     "struct<rule:string,sub_rule:string,clause:string,section:string,schedule:string,"
@@ -35,16 +35,22 @@ def _joined(*parts) -> Column:
 
 def reference(query: Column) -> Column:
     """Explicit legal references of a query as one struct."""
-    text = strip(F.lower(F.coalesce(query, F.lit(""))))
+    return let(strip(F.lower(F.coalesce(query, F.lit("")))), _reference)
 
-    sched = matched(text, rx(lg.SCHEDULE_REF))
+
+def _reference(text: Column) -> Column:
+    # The text is in lower case; each word is looked for before its patterns are tried.
+    def found(word: str, pattern: str) -> Column:
+        return F.when(F.contains(text, F.lit(word)), matched(text, rx(pattern)))
+
+    sched = found("schedule", lg.SCHEDULE_REF)
     sched_name = F.coalesce(group_of(sched, rx(lg.SCHEDULE_REF), 1), group_of(sched, rx(lg.SCHEDULE_REF), 2))
-    full = matched(text, rx(lg.RULE_CLAUSE_REF))
-    sub = matched(text, rx(lg.RULE_SUB_REF))
-    letter = matched(text, rx(lg.RULE_LETTER_REF))
-    plain = matched(text, rx(lg.RULE_REF))
-    short = matched(text, rx(lg.SHORT_LETTER_REF))
-    sec = matched(text, rx(lg.SECTION_REF))
+    full = found("rule", lg.RULE_CLAUSE_REF)
+    sub = found("rule", lg.RULE_SUB_REF)
+    letter = found("rule", lg.RULE_LETTER_REF)
+    plain = found("rule", lg.RULE_REF)
+    short = found("(", lg.SHORT_LETTER_REF)
+    sec = found("section", lg.SECTION_REF)
 
     # The first form that occurs decides; a form is tried only when the earlier ones are absent.
     pick = (
@@ -83,7 +89,7 @@ def reference(query: Column) -> Column:
             F.array_compact(F.array(s["sched"], m, s["sec"])).alias("raw_matches"),
         )
 
-    return F.get(F.transform(F.array(stage), read), F.lit(0))
+    return let(stage, read)
 
 
 def provision_name(rule: Column, sub_rule: Column, clause: Column, schedule: Column, unknown: str = "") -> Column:

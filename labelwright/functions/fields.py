@@ -12,9 +12,13 @@ from labelwright.fixed import label_patterns as lp
 from labelwright.functions.text import group_of, matched, python_float_text, rx, strip, truthy
 
 
-def _first_match(text: Column, patterns: list[str]) -> Column:
-    """Match of the first pattern that occurs; later patterns run only when earlier ones fail."""
-    return F.coalesce(*[matched(text, rx(p)) for p in patterns])
+def _first_match(text: Column, patterns: list[str], digits: bool = True) -> Column:
+    """Match of the first pattern that occurs; later patterns run only when earlier ones fail.
+
+    Nearly every declaration holds a digit, so a text without one is skipped.
+    """
+    match = F.coalesce(*[matched(text, rx(p)) for p in patterns])
+    return F.when(text.rlike("[0-9]"), match) if digits else match
 
 
 def _group_of_first(match: Column, patterns: list[str], group: int) -> Column:
@@ -54,10 +58,10 @@ def _null_unit(match: Column) -> Column:
     return F.lit(None).cast("string")
 
 
-def _text_declaration(name: str, patterns: list[str]) -> Declaration:
+def _text_declaration(name: str, patterns: list[str], digits: bool = True) -> Declaration:
     return Declaration(
         name,
-        lambda text: _first_match(text, patterns),
+        lambda text: _first_match(text, patterns, digits),
         lambda match: strip(_group_of_first(match, patterns, 1)),
         _null_unit,
     )
@@ -77,13 +81,13 @@ DECLARATIONS: dict[str, Declaration] = {
         quantity_unit,
     ),
     "fssai_license": _text_declaration("fssai_license", lp.FSSAI_LICENSE),
-    "batch_number": _text_declaration("batch_number", lp.BATCH_NUMBER),
+    "batch_number": _text_declaration("batch_number", lp.BATCH_NUMBER, digits=False),
     "mfg_date": _text_declaration("mfg_date", lp.MFG_DATE),
     "expiry_date": _text_declaration("expiry_date", lp.EXPIRY_DATE),
 }
 
 # Contact declaration; reported outside the per-block set.
-CONSUMER_CARE = _text_declaration("consumer_care", lp.CONSUMER_CARE)
+CONSUMER_CARE = _text_declaration("consumer_care", lp.CONSUMER_CARE, digits=False)
 
 
 def email_of(text: Column) -> Column:

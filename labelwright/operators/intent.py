@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,7 @@ from pyspark.sql import functions as F
 
 from labelwright.fixed import limits as lim
 from labelwright.fixed.intents import intent_rows
-from labelwright.functions.text import contains_any, strip
-
-# Catalogue entries compiled into one projection; larger catalogues take several.
-_PER_STEP = 16
+from labelwright.functions.text import contains_any, let, strip, tokens
 
 INTENT_RESULT = (
     "struct<intent_id:string,requirement_name:string,matched_rule:string,matched_concepts:array<string>,"
@@ -20,6 +18,12 @@ INTENT_RESULT = (
     "canonical_expansion:string,confidence:double>"
 )
 
+_ENTRY = (
+    "intent_id:string,requirement_name:string,rule_target:string,object:string,facets:array<string>,context:string,"
+    "entities:array<string>,n_entities:double,attributes:array<string>,n_attributes:double,"
+    "positive:array<string>,negative:array<string>,aliases:array<string>,expansion:string"
+)
+
 
 def query_context(lowered: Column) -> Column:
     out = F
@@ -36,101 +40,110 @@ def query_facets(lowered: Column) -> Column:
     return F.flatten(F.array_compact(F.array(*found)))
 
 
-def _word_hit(lowered: Column, term: str) -> Column | None:
-    """A term hits when some word of the query contains it; a term of several words never can."""
-    return F.contains(lowered, F.lit(term)) if re.fullmatch(r"\w+", term) else None
+def _distinct(terms: list[str]) -> list[str]:
+    return list(dict.fromkeys(t.lower() for t in terms))
 
 
-def _hits(lowered: Column, terms: list[str]) -> tuple[Column, int]:
-    distinct = list(dict.fromkeys(t.lower() for t in terms))
-    count = F.lit(0)
-    for term in distinct:
-        hit = _word_hit(lowered, term)
-        if hit is not None:
-            count = count + hit.cast("int")
-    return count, len(distinct)
+def _words(terms: list[str]) -> list[str]:
+    """Terms that can hit: a hit lies inside one word of the query, so a term of several words has none."""
+    return [t for t in _distinct(terms) if re.fullmatch(r"\w+", t)]
 
 
-def intent_score(lowered: Column, context: Column, intent: dict) -> Column:
-    """Score of one catalogue entry for a query."""
+def _seen_terms(lowered: Column, terms: list[str]) -> Column:
+    """Catalogue terms contained in the text.
+
+    The longest word of a term lies inside one word of any text that contains
+    the term.  So the text's distinct words are searched for those longest
+    words first, and whole terms are looked up only where that succeeds.
+    """
+    by_probe: dict[str, list[str]] = {}
+    for t in terms:
+        parts = re.findall(r"\w+", t)
+        by_probe.setdefault(max(parts, key=len) if parts else "", []).append(t)
+    table = F.from_json(
+        F.lit(json.dumps([{"probe": p, "terms": ts} for p, ts in sorted(by_probe.items())])),
+        "array<struct<probe:string,terms:array<string>>>")
+
+    def search(words: Column) -> Column:
+        likely = F.filter(table, lambda e: F.contains(words, e["probe"]))
+        return F.flatten(F.transform(
+            likely, lambda e: F.filter(e["terms"], lambda t: F.contains(lowered, t))))
+
+    return let(F.array_join(F.array_distinct(tokens(lowered)), " "), search)
+
+
+def _entry(e: dict) -> dict:
+    return {
+        "intent_id": e["intent_id"], "requirement_name": e["requirement_name"], "rule_target": e["rule_target"],
+        "object": e["object"], "facets": e["facets"], "context": e.get("context") or lim.DEFAULT_CONTEXT,
+        "entities": _words(e["entities"]), "n_entities": float(max(len(_distinct(e["entities"])), 1)),
+        "attributes": _words(e["attributes"]), "n_attributes": float(max(len(_distinct(e["attributes"])), 1)),
+        "positive": _distinct(e["positive_signals"]), "negative": _distinct(e["negative_signals"]),
+        "aliases": _distinct(e["semantic_aliases"]),
+        "expansion": " ".join([e["requirement_name"], " ".join(e["attributes"]), " ".join(e["entities"])]),
+    }
+
+
+def _score(e: Column, seen: Column, lowered: Column, context: Column, longest_alias: int) -> Column:
+    """Score of one catalogue entry, given the catalogue terms seen in the query."""
     w = lim.INTENT_WEIGHTS
-    entities, n_entities = _hits(lowered, intent["entities"])
-    attributes, n_attributes = _hits(lowered, intent["attributes"])
-    alias = F.lit(False)
-    for phrase in intent["semantic_aliases"]:
-        a = F.lit(phrase.lower())
-        alias = alias | F.contains(lowered, a) | F.contains(a, lowered)
-    positive = contains_any(lowered, [p.lower() for p in intent["positive_signals"]])
-    negative = contains_any(lowered, [p.lower() for p in intent["negative_signals"]])
+
+    def share(terms: Column, n: Column) -> Column:
+        return F.size(F.array_intersect(terms, seen)) / n
 
     def worth(flag: Column, weight: float) -> Column:
         return F.when(flag, F.lit(weight)).otherwise(F.lit(0.0))
 
+    inside_alias = (F.length(lowered) <= longest_alias) & F.exists(e["aliases"], lambda a: F.contains(a, lowered))
     return (
-        F.lit(w["entity"]) * (entities / F.lit(float(max(n_entities, 1))))
-        + F.lit(w["attribute"]) * (attributes / F.lit(float(max(n_attributes, 1))))
-        + worth(alias, w["alias"])
-        + worth(positive, w["positive"])
-        + worth(context == F.lit(intent.get("context") or lim.DEFAULT_CONTEXT), w["context"])
-        - worth(negative, w["negative"])
+        F.lit(w["entity"]) * share(e["entities"], e["n_entities"])
+        + F.lit(w["attribute"]) * share(e["attributes"], e["n_attributes"])
+        + worth(F.arrays_overlap(e["aliases"], seen) | inside_alias, w["alias"])
+        + worth(F.arrays_overlap(e["positive"], seen), w["positive"])
+        + worth(e["context"] == context, w["context"])
+        - worth(F.arrays_overlap(e["negative"], seen), w["negative"])
     )
 
 
-def _concepts(lowered: Column, intent: dict) -> Column:
-    terms = list(dict.fromkeys(t.lower() for t in [*intent["entities"], *intent["attributes"]]))
-    found = [F.when(hit, F.lit(t)) for t in terms if (hit := _word_hit(lowered, t)) is not None]
-    return F.array_sort(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
-
-
 def normalize_intent(
     queries: DataFrame, text: str = "query", out: str = "intent", catalogue: list[dict] | None = None
 ) -> DataFrame:
     """Add the intent of each query.
 
-    The catalogue is compiled into column expressions, so every query is scored
-    against every entry inside its own row: no join and no shuffle.  Of equal
-    scores the earlier entry wins.
+    The catalogue travels as one constant array, so every query is scored
+    against every entry inside its own row: no join and no shuffle.  Of equal scores
+    the earlier entry wins.
     """
-    intents = intent_rows() if catalogue is None else catalogue
+    entries = [_entry(e) for e in (intent_rows() if catalogue is None else catalogue)]
+    groups = ("entities", "attributes", "positive", "negative", "aliases")
+    terms = sorted({t for e in entries for g in groups for t in e[g]})
+    longest = max((len(a) for e in entries for a in e["aliases"]), default=0)
+    table = F.from_json(F.lit(json.dumps(entries)), f"array<struct<{_ENTRY}>>")
+    no_words = F.array().cast("array<string>")
+
     given = F.coalesce(F.col(text), F.lit(""))
-    df = queries.withColumn("_q", strip(F.lower(given)))
-    asked = (given != "") & F.lit(bool(intents))
+    asked = (given != "") & F.lit(bool(entries))
+    df = queries.withColumn("_q", strip(F.lower(given))).withColumn("_asked", asked)
     df = df.withColumn("_ctx", F.when(asked, query_context(F.col("_q"))).otherwise(F.lit(lim.DEFAULT_CONTEXT)))
-    df = df.withColumn(
-        "_facets", F.when(asked, query_facets(F.col("_q"))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_best", F.lit(None).cast("struct<score:double,nord:int>"))
-    for at in range(0, len(intents), _PER_STEP):
-        scored = [
-            F.struct(intent_score(F.col("_q"), F.col("_ctx"), entry).alias("score"), F.lit(-(at + i)).alias("nord"))
-            for i, entry in enumerate(intents[at:at + _PER_STEP])
-        ]
-        best = F.array_max(F.array(*scored))
-        df = df.withColumn("_best", F.when(F.col("_best").isNull(), best).otherwise(
-            F.greatest(F.col("_best"), best)))
+    df = df.withColumn("_seen", _seen_terms(F.col("_q"), terms))
+    scored = F.transform(table, lambda e, i: F.struct(
+        _score(e, F.col("_seen"), F.col("_q"), F.col("_ctx"), longest).alias("score"), (-i).alias("nord")))
+    df = df.withColumn("_best", F.array_max(scored))
     score = F.col("_best.score")
-    taken = asked & (score > 0) & (score >= lim.INTENT_ACCEPT)
-    df = df.withColumn("_no", F.when(taken, -F.col("_best.nord")))
-
-    def pick(value) -> Column:
-        out_ = F
-        for i, entry in enumerate(intents):
-            out_ = out_.when(F.col("_no") == i, value(entry))
-        return out_ if isinstance(out_, Column) else F.lit(None)
-
-    def words(entry: dict) -> Column:
-        return F.lit(" ".join([entry["requirement_name"], " ".join(entry["attributes"]), " ".join(entry["entities"])]))
-
-    facets = pick(lambda e: F.array(*[F.lit(f) for f in e["facets"]]).cast("array<string>"))
+    taken = F.col("_asked") & (score > 0) & (score >= lim.INTENT_ACCEPT)
+    df = df.withColumn("_hit", F.when(taken, F.get(table, -F.col("_best.nord"))))
+    hit = F.col("_hit")
+    facets = F.when(F.col("_asked"), query_facets(F.col("_q"))).otherwise(no_words)
     result = F.struct(
-        pick(lambda e: F.lit(e["intent_id"])).alias("intent_id"),
-        pick(lambda e: F.lit(e["requirement_name"])).alias("requirement_name"),
-        pick(lambda e: F.lit(e["rule_target"])).alias("matched_rule"),
-        F.coalesce(pick(lambda e: _concepts(F.col("_q"), e)), F.array().cast("array<string>")).alias("matched_concepts"),
-        pick(lambda e: F.lit(e["object"])).alias("detected_object"),
-        F.when(taken, F.array_sort(F.array_union(facets, F.col("_facets")))).otherwise(F.col("_facets"))
-        .alias("detected_facets"),
+        hit["intent_id"].alias("intent_id"),
+        hit["requirement_name"].alias("requirement_name"),
+        hit["rule_target"].alias("matched_rule"),
+        F.coalesce(F.array_sort(F.array_intersect(
+            F.array_union(hit["entities"], hit["attributes"]), F.col("_seen"))), no_words).alias("matched_concepts"),
+        hit["object"].alias("detected_object"),
+        F.coalesce(F.array_sort(F.array_union(hit["facets"], facets)), facets).alias("detected_facets"),
         F.col("_ctx").alias("detected_context"),
-        F.coalesce(pick(words), F.lit("")).alias("canonical_expansion"),
-        F.when(taken, F.least(score, F.lit(1.0))).otherwise(F.lit(0.0)).alias("confidence"),
+        F.coalesce(hit["expansion"], F.lit("")).alias("canonical_expansion"),
+        F.when(hit.isNotNull(), F.least(score, F.lit(1.0))).otherwise(F.lit(0.0)).alias("confidence"),
     )
-    return df.withColumn(out, result.cast(INTENT_RESULT)).drop("_q", "_ctx", "_facets", "_best", "_no")
+    return df.withColumn(out, result.cast(INTENT_RESULT)).drop("_q", "_asked", "_ctx", "_seen", "_best", "_hit")

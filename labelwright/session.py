@@ -55,3 +55,15 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
 def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when its size is proven small; otherwise leave the join to AQE."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
+    """Give a small scan one task per core.
+
+    A small file with a single row group is read by one task, however many
+    cores wait.  Inputs with plenty of bytes per core already split that far
+    and are left as they are, so a large input is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_core else df
