@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable
 
@@ -9,16 +10,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from labelwright.fixed import label_patterns as lp
-from labelwright.functions.text import group_of, matched, python_float_text, rx, strip, truthy
+from labelwright.functions.text import contains_any, group_of, let, matched, python_float_text, rx, strip, truthy
+
+
+# Plain text that every match of a pattern contains, pattern by pattern; a pattern
+# is tried only where one of its stems occurs (None: only a digit is needed).
+_STEMS = {
+    "mrp": [["mrp", "m.rp", "mr.p", "m.r.p", "max"], ["₹", "rs"]],
+    "net_quantity": [["net"], ["net"], None],
+    "fssai_license": [["fssai", "lic"], None],
+    "batch_number": [["batch", "lot", "no"]],
+    "mfg_date": [["mfd", "mfg", "packed", "pkd", "date"]],
+    "expiry_date": [["exp", "use", "best"]],
+    "consumer_care": [["@"], ["toll", "helpline", "call", "care"]],
+}
+# What else a text must hold before any pattern of a declaration can match.
+_NEEDS = {"batch_number": None, "consumer_care": None, "fssai_license": r"[12]\p{Nd}{13}"}
 
 
-def _first_match(text: Column, patterns: list[str], digits: bool = True) -> Column:
-    """Match of the first pattern that occurs; later patterns run only when earlier ones fail.
+def folded(text: Column) -> Column:
+    """Lower case with the long s and the dotless i folded, as patterns that ignore case do."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "ſı", "si")
 
-    Nearly every declaration holds a digit, so a text without one is skipped.
-    """
-    match = F.coalesce(*[matched(text, rx(p)) for p in patterns])
-    return F.when(text.rlike("[0-9]"), match) if digits else match
+
+def _first_match(text: Column, low: Column, name: str, patterns: list[str]) -> Column:
+    """Match of the first pattern that occurs; later patterns run only when earlier ones fail."""
+    none = F.lit(None).cast("string")
+
+    def attempt(i: int) -> Column:
+        if i == len(patterns):
+            return none
+        found = let(
+            F.regexp_extract(text, rx(patterns[i]), 0),
+            lambda m: F.when(m != "", m).otherwise(attempt(i + 1)))
+        stems = _STEMS[name][i]
+        return found if stems is None else F.when(contains_any(low, stems), found).otherwise(attempt(i + 1))
+
+    need = _NEEDS.get(name, "[0-9]")
+    return attempt(0) if need is None else F.when(text.rlike(need), attempt(0))
 
 
 def _group_of_first(match: Column, patterns: list[str], group: int) -> Column:
@@ -32,10 +61,14 @@ class Declaration:
     """How one declaration is found in a text and read from its match."""
 
     name: str
-    match: Callable[[Column], Column]
+    find: Callable[[Column, Column], Column]
     value: Callable[[Column], Column]
     unit: Callable[[Column], Column]
 
+    def match(self, text: Column, low: Column | None = None) -> Column:
+        """The matching part of a text; ``low`` is the folded text when it is already at hand."""
+        return self.find(text, low) if low is not None else let(folded(text), lambda t: self.find(text, t))
+
 
 def amount(match: Column) -> Column:
     """Price of an MRP match; a comma is read as a decimal point."""
@@ -58,10 +91,10 @@ def _null_unit(match: Column) -> Column:
     return F.lit(None).cast("string")
 
 
-def _text_declaration(name: str, patterns: list[str], digits: bool = True) -> Declaration:
+def _text_declaration(name: str, patterns: list[str]) -> Declaration:
     return Declaration(
         name,
-        lambda text: _first_match(text, patterns, digits),
+        lambda text, low: _first_match(text, low, name, patterns),
         lambda match: strip(_group_of_first(match, patterns, 1)),
         _null_unit,
     )
@@ -70,24 +103,24 @@ def _text_declaration(name: str, patterns: list[str], digits: bool = True) -> De
 DECLARATIONS: dict[str, Declaration] = {
     "mrp": Declaration(
         "mrp",
-        lambda text: _first_match(text, lp.MRP),
+        lambda text, low: _first_match(text, low, "mrp", lp.MRP),
         lambda match: python_float_text(amount(match)),
         lambda match: F.when(match.isNotNull(), F.lit("INR")),
     ),
     "net_quantity": Declaration(
         "net_quantity",
-        lambda text: _first_match(text, lp.NET_QUANTITY),
+        lambda text, low: _first_match(text, low, "net_quantity", lp.NET_QUANTITY),
         lambda match: python_float_text(quantity(match)),
         quantity_unit,
     ),
     "fssai_license": _text_declaration("fssai_license", lp.FSSAI_LICENSE),
-    "batch_number": _text_declaration("batch_number", lp.BATCH_NUMBER, digits=False),
+    "batch_number": _text_declaration("batch_number", lp.BATCH_NUMBER),
     "mfg_date": _text_declaration("mfg_date", lp.MFG_DATE),
     "expiry_date": _text_declaration("expiry_date", lp.EXPIRY_DATE),
 }
 
 # Contact declaration; reported outside the per-block set.
-CONSUMER_CARE = _text_declaration("consumer_care", lp.CONSUMER_CARE, digits=False)
+CONSUMER_CARE = _text_declaration("consumer_care", lp.CONSUMER_CARE)
 
 
 def email_of(text: Column) -> Column:
@@ -108,17 +141,30 @@ def allergens_in(text: Column) -> Column:
     """Known allergens named in a text, in list order."""
     lowered = F.lower(text)
     named = [
-        F.when(lowered.rlike(rf"(?U)\b{word}\b"), F.lit(word[:1].upper() + word[1:]))
+        F.when(
+            F.contains(lowered, F.lit(word)) & lowered.rlike(rf"(?U)\b{word}\b"),
+            F.lit(word[:1].upper() + word[1:]))
         for word in lp.ALLERGENS
     ]
     return F.array_compact(F.array(*named))
 
 
-def pattern_score(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur at least once."""
+def literal_stem(pattern: str) -> str:
+    """Leading plain text that any match of a word pattern contains."""
+    body = pattern.removeprefix(r"\b")
+    stem = re.match(r"[a-z -]*", body).group()
+    return stem[:-1] if body[len(stem):len(stem) + 1] == "?" else stem
+
+
+def pattern_score(lowered: Column, patterns: list[str]) -> Column:
+    """How many of the patterns occur at least once in a lower-case text.
+
+    A plain substring test comes first, so a pattern runs only where its stem occurs.
+    """
     score = F.lit(0)
     for p in patterns:
-        score = score + text.rlike(rx(p)).cast("int")
+        hit = F.contains(lowered, F.lit(literal_stem(p))) & lowered.rlike(rx(p))
+        score = score + hit.cast("int")
     return score
 
 
@@ -132,10 +178,8 @@ def commodity_class(food: Column, drug: Column) -> Column:
 
 def commodity_of_text(text: Column) -> Column:
     """Commodity class of a text; null or empty text is a general commodity."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return commodity_class(
-        pattern_score(lowered, lp.FOOD_WORDS), pattern_score(lowered, lp.DRUG_COSMETIC_WORDS)
-    )
+    return let(folded(text), lambda t: commodity_class(
+        pattern_score(t, lp.FOOD_WORDS), pattern_score(t, lp.DRUG_COSMETIC_WORDS)))
 
 
 def declared_value(normalized: Column, raw: Column) -> Column:

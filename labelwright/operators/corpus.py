@@ -176,8 +176,8 @@ def chunks_from_pages(
     keys = keys or []
     hits = pages.withColumn("_lower", F.lower(F.col(text))).select(
         *keys, F.col(order).alias("first_page_ord"),
-        F.explode(triggered(F.col("_lower"), F.col(text), F.col(page))).alias("insert_ord"),
-    )
+        F.explode_outer(triggered(F.col("_lower"), F.col(text), F.col(page))).alias("insert_ord"),
+    ).filter(F.col("insert_ord").isNotNull())
     firsts = hits.groupBy(*keys, "insert_ord").agg(F.min("first_page_ord").alias("first_page_ord"))
     return firsts.join(F.broadcast(provisions(pages.sparkSession)), "insert_ord")
 

@@ -35,11 +35,11 @@ def exact_matches(
     """
     ref = F.col(reference)
     asked = queries.filter(ref["explicit_provision"]).select(
-        query_id, F.explode(_parts({k: ref[k] for k in PRIORITY})).alias("_p"))
+        query_id, F.explode_outer(_parts({k: ref[k] for k in PRIORITY})).alias("_p"))
     keep = corpus if status is None else corpus.filter(
         truthy(F.col("status")).isNull() | (F.col("status") == status))
     have = {k: F.col(k).cast("string") for k in PRIORITY if k in corpus.columns}
-    filed = keep.select(doc_id, order, F.explode(_parts(have)).alias("_p")).select(
+    filed = keep.select(doc_id, order, F.explode_outer(_parts(have)).alias("_p")).select(
         doc_id, order, F.col("_p.kind").alias("kind"), F.col("_p.value").alias("value"))
     wanted = asked.select(query_id, "_p.priority", "_p.kind", "_p.value")
     pairs = wanted.join(small_side(filed), ["kind", "value"])

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.fixed import label_patterns as lp
-from labelwright.functions.fields import DECLARATIONS, additive_codes, allergens_in, commodity_of_text
-from labelwright.functions.text import matched, rx, strip
+from labelwright.functions.fields import DECLARATIONS, additive_codes, allergens_in, commodity_of_text, folded
+from labelwright.functions.text import let, matched, rx, strip
 from labelwright.operators.blocks import joined_text
 from labelwright.types import FIELD
 
@@ -87,12 +87,12 @@ def extract_fields(labels: DataFrame, blocks: str = "blocks") -> DataFrame:
 
     def scan(b: Column, i: Column) -> Column:
         text = F.coalesce(b["text"], F.lit(""))
-        return F.struct(
+        return let(folded(text), lambda low: F.struct(
             i.alias("ord"),
             F.coalesce(b["confidence"], F.lit(_DEFAULT_CONFIDENCE)).alias("confidence"),
             F.coalesce(b["bbox"], _box(_DEFAULT_BOX)).alias("bbox"),
-            *[DECLARATIONS[name].match(text).alias(name) for name in lp.FIELD_ORDER],
-        )
+            *[DECLARATIONS[name].match(text, low).alias(name) for name in lp.FIELD_ORDER],
+        ))
 
     out = labels.withColumn("_hits", F.transform(col, scan))
     out = out.withColumn("_section", ingredient_section(joined_text(col, "\n")))
@@ -142,10 +142,11 @@ def first_declarations(
     reaches its task as one row per input partition.
     """
     names = names or lp.FIELD_ORDER
-    scanned = blocks.select(
-        *keys, F.struct(*order).alias("_order"),
-        *[DECLARATIONS[n].match(F.coalesce(F.col(text), F.lit(""))).alias(n) for n in names],
-    )
+    low = blocks.select(
+        *keys, F.struct(*order).alias("_order"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        folded(F.col(text)).alias("_low"))
+    scanned = low.select(
+        *keys, "_order", *[DECLARATIONS[n].match(F.col("_text"), F.col("_low")).alias(n) for n in names])
     firsts = scanned.groupBy(*keys).agg(
         *[F.min_by(n, F.when(F.col(n).isNotNull(), F.col("_order"))).alias(n) for n in names]
     )
@@ -162,9 +163,8 @@ def first_declarations(
 def declarations_in_text(df: DataFrame, text: str, names: list[str] | None = None) -> DataFrame:
     """Every declaration of a text column, as raw match, value and unit columns."""
     names = names or lp.FIELD_ORDER
-    out = df
-    for n in names:
-        out = out.withColumn(f"{n}_raw", DECLARATIONS[n].match(F.col(text)))
+    out = df.withColumn("_low", folded(F.col(text)))
+    out = out.withColumns({f"{n}_raw": DECLARATIONS[n].match(F.col(text), F.col("_low")) for n in names}).drop("_low")
     for n in names:
         raw = F.col(f"{n}_raw")
         out = out.withColumn(f"{n}_value", DECLARATIONS[n].value(raw)).withColumn(

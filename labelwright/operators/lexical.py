@@ -41,10 +41,12 @@ def document_frequencies(docs: DataFrame, column: str = "tokens") -> DataFrame:
     """Documents per token; the row with a null token counts all documents and all tokens.
 
     One pass: each document sends its distinct tokens and one null marker, and
-    counts combine map-side, so a token found everywhere is no hot spot.
+    counts combine map-side, so a token found everywhere is no hot spot.  The
+    outer explode keeps the optimizer from testing (and recomputing) the array
+    in a filter below it; it is used for every computed array in this package.
     """
     marked = F.concat(F.array_distinct(column), F.array(F.lit(None).cast("string")))
-    return docs.select(F.explode(marked).alias("token"), F.size(column).alias("_len")).groupBy("token").agg(
+    return docs.select(F.explode_outer(marked).alias("token"), F.size(column).alias("_len")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(F.when(F.col("token").isNull(), F.col("_len"))).alias("total_length"),
     )
@@ -144,7 +146,7 @@ def bm25_topk(
         names = candidates.select(doc_id, "insert_ord").orderBy("insert_ord").toArrow()
         ids, orders = names[doc_id].to_pylist(), names["insert_ord"].to_pylist()
         tf = candidates.select(F.col(doc_id).alias("_id"), F.size("tokens").alias("_len"),
-                               F.explode("tokens").alias("token"))
+                               F.explode_outer("tokens").alias("token"))
         tf = tf.groupBy("_id", "_len", "token").agg(F.count(F.lit(1)).cast("double").alias("tf"))
         sat = _saturation(F.col("tf"), F.col("_len"), F.lit(index.mean_length))
         held = tf.join(index.weights, "token").select(
@@ -158,7 +160,7 @@ def bm25_topk(
             [(i, a, b) for i, (a, b) in enumerate(zip(ids, orders))], f"item_no int, {doc_id} {kind}, insert_ord bigint")
         return found.join(F.broadcast(table), "item_no").select(query_id, doc_id, "insert_ord", "score", "rank")
 
-    tf = asked.select(F.col(query_id).alias("_id"), F.explode("tokens").alias("token")).groupBy(*counted).agg(
+    tf = asked.select(F.col(query_id).alias("_id"), F.explode_outer("tokens").alias("token")).groupBy(*counted).agg(
         F.count(F.lit(1)).alias("tf"))
     held = cut_lineage(tf.join(index.weights, "token").select(
         F.col("_id").alias("item"), "token", (F.col("idf") * F.col("tf")).alias("weight"), F.lit(1).alias("_w")))

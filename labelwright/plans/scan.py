@@ -74,7 +74,7 @@ def merge_panels(panels: DataFrame, scan_key: str = "scan_id", panel: str = "pan
 
     Each declaration combines map-side (``min_by``); the winning panel is kept as provenance.
     """
-    rows = panels.select(scan_key, panel, F.explode("extracted_fields").alias("_f"))
+    rows = panels.select(scan_key, panel, F.explode_outer("extracted_fields").alias("_f"))
     valued = declared_value(F.col("_f.normalized_value"), F.col("_f.raw_text"))
     best = rows.filter(valued.isNotNull()).groupBy(scan_key, F.col("_f.field_name").alias("field_name")).agg(
         F.min_by("_f", panel).alias("field"), F.min(panel).alias("panel_ord"))
