@@ -1,0 +1,13 @@
+"""Registered queries and the SQL that says what they should return."""
+
+from labelwright.queries import corpus, labels, layout, retrieval, streams, verdicts
+
+_MODULES = (labels, layout, verdicts, corpus, retrieval, streams)
+
+
+def all_queries() -> dict:
+    return {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+
+
+def all_sql() -> dict[str, str]:
+    return {name: sql.strip() for m in _MODULES for name, sql in m.ORACLE.items()}
