@@ -52,7 +52,9 @@ def best_rows_per_item(
         kept: list[tuple[np.ndarray, np.ndarray, list]] = [
             (np.empty(0), np.empty(0, np.int64), []) for _ in range(n_items)
         ]
+        kind = None
         for batch in _slices(batches, n_items):
+            kind = batch.schema.field(id_col).type
             table = np.round(score(batch), SCORE_DIGITS)
             order = batch.column(order_col).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = batch.column(id_col)
@@ -70,7 +72,7 @@ def best_rows_per_item(
         if out:
             item, ids, order, scores = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(item, pa.int32()), pa.array(ids), pa.array(order, pa.int64()), pa.array(scores)],
+                [pa.array(item, pa.int32()), pa.array(ids, kind), pa.array(order, pa.int64()), pa.array(scores)],
                 names=["item_no", id_col, order_col, "score"],
             )
 
