@@ -34,15 +34,23 @@ def folded(text: Column) -> Column:
 
 
 def _first_match(text: Column, low: Column, name: str, patterns: list[str]) -> Column:
-    """Match of the first pattern that occurs; later patterns run only when earlier ones fail."""
-    none = F.lit(None).cast("string")
+    """Match of the first pattern that occurs, as (raw, value, unit): the match and its groups.
+
+    Later patterns run only when earlier ones fail, and groups are read from
+    the short match alone.
+    """
+    none = F.lit(None).cast("struct<raw:string,value:string,unit:string>")
 
     def attempt(i: int) -> Column:
         if i == len(patterns):
             return none
+        pattern = rx(patterns[i])
+        unit = group_of_match(2) if re.compile(patterns[i]).groups > 1 else lambda m, p: F.lit(None).cast("string")
         found = let(
-            F.regexp_extract(text, rx(patterns[i]), 0),
-            lambda m: F.when(m != "", m).otherwise(attempt(i + 1)))
+            F.regexp_extract(text, pattern, 0),
+            lambda m: F.when(m != "", F.struct(
+                m.alias("raw"), group_of(m, pattern, 1).alias("value"), unit(m, pattern).alias("unit"),
+            )).otherwise(attempt(i + 1)))
         stems = _STEMS[name][i]
         return found if stems is None else F.when(contains_any(low, stems), found).otherwise(attempt(i + 1))
 
@@ -50,68 +58,52 @@ def _first_match(text: Column, low: Column, name: str, patterns: list[str]) -> C
     return attempt(0) if need is None else F.when(text.rlike(need), attempt(0))
 
 
-def _group_of_first(match: Column, patterns: list[str], group: int) -> Column:
-    """Group of whichever pattern produced ``match``, read from the short match only."""
-    whole = [F.when(matched(match, rx(p)) == match, group_of(match, rx(p), group)) for p in patterns]
-    return F.coalesce(*whole)
+def group_of_match(group: int) -> Callable[[Column, str], Column]:
+    return lambda m, pattern: group_of(m, pattern, group)
 
 
 @dataclass(frozen=True)
 class Declaration:
-    """How one declaration is found in a text and read from its match."""
+    """How one declaration is found in a text and shown."""
 
     name: str
-    find: Callable[[Column, Column], Column]
+    patterns: list[str]
     value: Callable[[Column], Column]
     unit: Callable[[Column], Column]
 
     def match(self, text: Column, low: Column | None = None) -> Column:
-        """The matching part of a text; ``low`` is the folded text when it is already at hand."""
-        return self.find(text, low) if low is not None else let(folded(text), lambda t: self.find(text, t))
+        """(raw, value, unit) as found in a text; ``low`` is the folded text when it is already at hand."""
+        if low is None:
+            return let(folded(text), lambda t: _first_match(text, t, self.name, self.patterns))
+        return _first_match(text, low, self.name, self.patterns)
 
 
-def amount(match: Column) -> Column:
+def amount(found: Column) -> Column:
     """Price of an MRP match; a comma is read as a decimal point."""
-    return F.translate(_group_of_first(match, lp.MRP, 1), ",", ".").try_cast("double")
-
+    return F.translate(found["value"], ",", ".").try_cast("double")
 
-def quantity(match: Column) -> Column:
-    return _group_of_first(match, lp.NET_QUANTITY, 1).try_cast("double")
 
+def quantity(found: Column) -> Column:
+    return found["value"].try_cast("double")
 
-def quantity_unit(match: Column) -> Column:
-    unit = F.lower(_group_of_first(match, lp.NET_QUANTITY, 2))
-    out = F
-    for spelling, name in lp.UNIT_ALIASES.items():
-        out = out.when(unit == spelling, F.lit(name))
-    return out.otherwise(unit)
 
-
-def _null_unit(match: Column) -> Column:
-    return F.lit(None).cast("string")
+def quantity_unit(found: Column) -> Column:
+    aliases = F.create_map(*[F.lit(x) for pair in lp.UNIT_ALIASES.items() for x in pair])
+    return let(F.lower(found["unit"]), lambda u: F.coalesce(F.try_element_at(aliases, u), u))
 
 
 def _text_declaration(name: str, patterns: list[str]) -> Declaration:
-    return Declaration(
-        name,
-        lambda text, low: _first_match(text, low, name, patterns),
-        lambda match: strip(_group_of_first(match, patterns, 1)),
-        _null_unit,
-    )
+    return Declaration(name, patterns, lambda found: strip(found["value"]), lambda found: found["unit"])
 
 
 DECLARATIONS: dict[str, Declaration] = {
     "mrp": Declaration(
-        "mrp",
-        lambda text, low: _first_match(text, low, "mrp", lp.MRP),
-        lambda match: python_float_text(amount(match)),
-        lambda match: F.when(match.isNotNull(), F.lit("INR")),
+        "mrp", lp.MRP,
+        lambda found: python_float_text(amount(found)),
+        lambda found: F.when(found.isNotNull(), F.lit("INR")),
     ),
     "net_quantity": Declaration(
-        "net_quantity",
-        lambda text, low: _first_match(text, low, "net_quantity", lp.NET_QUANTITY),
-        lambda match: python_float_text(quantity(match)),
-        quantity_unit,
+        "net_quantity", lp.NET_QUANTITY, lambda found: python_float_text(quantity(found)), quantity_unit,
     ),
     "fssai_license": _text_declaration("fssai_license", lp.FSSAI_LICENSE),
     "batch_number": _text_declaration("batch_number", lp.BATCH_NUMBER),

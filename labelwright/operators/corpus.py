@@ -263,7 +263,7 @@ def hierarchy_tree(chunks: DataFrame, leaf_rows: int = 10_000) -> DataFrame:
     flat = hierarchy(chunks).withColumn("part_no", F.floor(F.col("insert_ord") / leaf_rows))
     entry = F.struct("insert_ord", "chunk_id", "sub_rule", "clause", "page")
     return flat.groupBy("chapter", "rule", "part_no").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("insert_ord")).alias("entries")
+        F.transform(F.sort_array(F.collect_list(entry)), lambda e: e.dropFields("insert_ord")).alias("entries")
     )
 
 

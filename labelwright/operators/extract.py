@@ -110,7 +110,7 @@ def extract_fields(labels: DataFrame, blocks: str = "blocks") -> DataFrame:
     for place, name in enumerate(lp.FIELD_ORDER):
         hit, d = F.col(f"_{name}"), DECLARATIONS[name]
         entries.append(F.when(hit.isNotNull(), _entry(
-            hit["ord"], place, name, hit[name], d.value(hit[name]), d.unit(hit[name]),
+            hit["ord"], place, name, hit[name]["raw"], d.value(hit[name]), d.unit(hit[name]),
             hit["confidence"], hit["bbox"],
         )))
     last, none = F.size(col), F.lit(None).cast("string")
@@ -124,7 +124,7 @@ def extract_fields(labels: DataFrame, blocks: str = "blocks") -> DataFrame:
         entries.append(F.when(listed != "", _entry(
             last, place + extra, name, listed, listed, none, conf, box)))
 
-    ordered = F.array_sort(F.array_compact(F.array(*entries)))
+    ordered = F.sort_array(F.array_compact(F.array(*entries)))
     keep = [c for c in labels.columns if c != blocks]
     return out.select(
         *keep,
@@ -148,29 +148,27 @@ def first_declarations(
     scanned = low.select(
         *keys, "_order", *[DECLARATIONS[n].match(F.col("_text"), F.col("_low")).alias(n) for n in names])
     firsts = scanned.groupBy(*keys).agg(
-        *[F.min_by(n, F.when(F.col(n).isNotNull(), F.col("_order"))).alias(n) for n in names]
-    )
-    return firsts.select(
-        *keys,
-        *[c for n in names for c in (
-            F.col(n).alias(f"{n}_raw"),
-            DECLARATIONS[n].value(F.col(n)).alias(f"{n}_value"),
-            DECLARATIONS[n].unit(F.col(n)).alias(f"{n}_unit"),
-        )],
+        *[F.min_by(n, F.when(F.col(n).isNotNull(), F.col("_order"))).alias(f"{n}_found") for n in names]
     )
+    return firsts.select(*keys, *_shown(names))
+
+
+def _shown(names: list[str]) -> list[Column]:
+    """What was found, and its raw text, value and unit, for each declaration."""
+    return [c for n in names for c in (
+        F.col(f"{n}_found"), F.col(f"{n}_found.raw").alias(f"{n}_raw"),
+        DECLARATIONS[n].value(F.col(f"{n}_found")).alias(f"{n}_value"),
+        DECLARATIONS[n].unit(F.col(f"{n}_found")).alias(f"{n}_unit"),
+    )]
 
 
 def declarations_in_text(df: DataFrame, text: str, names: list[str] | None = None) -> DataFrame:
     """Every declaration of a text column, as raw match, value and unit columns."""
     names = names or lp.FIELD_ORDER
-    out = df.withColumn("_low", folded(F.col(text)))
-    out = out.withColumns({f"{n}_raw": DECLARATIONS[n].match(F.col(text), F.col("_low")) for n in names}).drop("_low")
-    for n in names:
-        raw = F.col(f"{n}_raw")
-        out = out.withColumn(f"{n}_value", DECLARATIONS[n].value(raw)).withColumn(
-            f"{n}_unit", DECLARATIONS[n].unit(raw)
-        )
-    return out
+    low = df.withColumn("_low", folded(F.col(text)))
+    found = low.select(*df.columns, *[
+        DECLARATIONS[n].match(F.col(text), F.col("_low")).alias(f"{n}_found") for n in names])
+    return found.select(*df.columns, *_shown(names))
 
 
 def has_ingredient_header(text: Column) -> Column:

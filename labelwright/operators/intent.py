@@ -138,10 +138,10 @@ def normalize_intent(
         hit["intent_id"].alias("intent_id"),
         hit["requirement_name"].alias("requirement_name"),
         hit["rule_target"].alias("matched_rule"),
-        F.coalesce(F.array_sort(F.array_intersect(
+        F.coalesce(F.sort_array(F.array_intersect(
             F.array_union(hit["entities"], hit["attributes"]), F.col("_seen"))), no_words).alias("matched_concepts"),
         hit["object"].alias("detected_object"),
-        F.coalesce(F.array_sort(F.array_union(hit["facets"], facets)), facets).alias("detected_facets"),
+        F.coalesce(F.sort_array(F.array_union(hit["facets"], facets)), facets).alias("detected_facets"),
         F.col("_ctx").alias("detected_context"),
         F.coalesce(hit["expansion"], F.lit("")).alias("canonical_expansion"),
         F.when(hit.isNotNull(), F.least(score, F.lit(1.0))).otherwise(F.lit(0.0)).alias("confidence"),

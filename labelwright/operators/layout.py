@@ -41,7 +41,7 @@ def analyze_layout(
     whose groups can be large use ``reading_order``.
     """
     zero = (0, 0, 0, 0)
-    by_x = F.array_sort(F.transform(
+    by_x = F.sort_array(F.transform(
         annotate(F.col(blocks), image_height),
         lambda b, i: F.struct(
             F.get(_box(b, zero), F.lit(0)).alias("x"), i.alias("ord"),
@@ -66,7 +66,7 @@ def analyze_layout(
         step,
         lambda acc: acc["cols"],
     ))
-    placed = F.array_sort(F.transform(
+    placed = F.sort_array(F.transform(
         F.arrays_zip(F.col("_cols"), F.col("_by_x")),
         lambda z: F.struct(
             z["_cols"].alias("col"), z["_by_x"]["y"].alias("y"), z["_by_x"]["x"].alias("x"),

@@ -67,14 +67,14 @@ def part_labels(parts: DataFrame) -> DataFrame:
 def label_mrp_extract(spark, d):
     p = table(spark, d, "part").withColumn("label", price_label("p_retailprice", F.col("p_partkey") % 4))
     read = ex.declarations_in_text(p, "label", ["mrp"])
-    return read.select("p_partkey", fl.amount(F.col("mrp_raw")).alias("mrp"), F.col("mrp_unit").alias("unit"))
+    return read.select("p_partkey", fl.amount(F.col("mrp_found")).alias("mrp"), F.col("mrp_unit").alias("unit"))
 
 
 def label_net_quantity_extract(spark, d):
     p = table(spark, d, "part").withColumn("label", quantity_label(F.col("p_size"), F.col("p_partkey") % 6))
     read = ex.declarations_in_text(p, "label", ["net_quantity"])
     return read.select(
-        "p_partkey", fl.quantity(F.col("net_quantity_raw")).alias("quantity"), F.col("net_quantity_unit").alias("unit"))
+        "p_partkey", fl.quantity(F.col("net_quantity_found")).alias("quantity"), F.col("net_quantity_unit").alias("unit"))
 
 
 def label_licence_batch_dates(spark, d):
@@ -98,8 +98,8 @@ def label_value_totals(spark, d):
     read = ex.declarations_in_text(rows, "label", ["mrp", "net_quantity"])
     return read.groupBy("l_returnflag").agg(
         F.count(F.lit(1)).alias("n_labels"),
-        F.round(F.sum(fl.amount(F.col("mrp_raw"))), 2).alias("total_mrp"),
-        F.round(F.sum(fl.quantity(F.col("net_quantity_raw"))), 2).alias("total_quantity"))
+        F.round(F.sum(fl.amount(F.col("mrp_found"))), 2).alias("total_mrp"),
+        F.round(F.sum(fl.quantity(F.col("net_quantity_found"))), 2).alias("total_quantity"))
 
 
 def contact_extract(spark, d):
@@ -114,8 +114,8 @@ def document_declarations(spark, d):
     read = ex.declarations_in_text(docs, "text")
     blank = F.lit("")
     return read.select(
-        "doc_id", F.coalesce(fl.amount(F.col("mrp_raw")), F.lit(-1.0)).alias("mrp"),
-        F.coalesce(fl.quantity(F.col("net_quantity_raw")), F.lit(-1.0)).alias("quantity"),
+        "doc_id", F.coalesce(fl.amount(F.col("mrp_found")), F.lit(-1.0)).alias("mrp"),
+        F.coalesce(fl.quantity(F.col("net_quantity_found")), F.lit(-1.0)).alias("quantity"),
         F.coalesce("net_quantity_unit", blank).alias("unit"),
         F.coalesce("fssai_license_value", blank).alias("licence"),
         F.coalesce("batch_number_value", blank).alias("batch"),
@@ -132,8 +132,8 @@ def first_declarations_per_package(spark, d):
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")]
     firsts = ex.first_declarations(rows, ["l_orderkey"], order, "text", ["mrp", "net_quantity"])
     return firsts.select(
-        "l_orderkey", fl.amount(F.col("mrp_raw")).alias("mrp"),
-        fl.quantity(F.col("net_quantity_raw")).alias("quantity"))
+        "l_orderkey", fl.amount(F.col("mrp_found")).alias("mrp"),
+        fl.quantity(F.col("net_quantity_found")).alias("quantity"))
 
 
 def ingredients_split(spark, d):

@@ -47,7 +47,7 @@ def _centroids(spark, d) -> DataFrame:
     """Mean vector of each label: one row per (label, position) after the map-side sum."""
     long = table(spark, d, "embeddings").select("label", F.posexplode_outer("embedding").alias("at", "v"))
     means = long.groupBy("label", "at").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    packed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("p"))
+    packed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("p"))
     return packed.select(F.col("label").alias("query_id"), F.transform("p", lambda x: x["v"]).alias("query_vector"))
 
 
@@ -130,7 +130,7 @@ def intent_normalise(spark, d):
     return out.select(
         "query_id", F.coalesce("intent_id", blank).alias("intent_id"), F.coalesce("matched_rule", blank).alias("matched_rule"),
         F.array_join("matched_concepts", "|").alias("concepts"),
-        F.array_join(F.array_sort("detected_facets"), "|").alias("facets"), "detected_context",
+        F.array_join(F.sort_array("detected_facets"), "|").alias("facets"), "detected_context",
         F.length("canonical_expansion").alias("expansion_length"), F.round("confidence", 6).alias("confidence"))
 
 

@@ -47,7 +47,7 @@ def blocks_from_rows(rows: DataFrame, key: str, order: str, max_blocks: int = 10
     big = oversized_groups(rows, key, max_blocks)
     block = F.struct(order, "block_id", "text", "confidence", "bbox")
     grouped = rows.join(big.select(key), key, "left_anti").groupBy(key).agg(
-        F.array_sort(F.collect_list(block)).alias("_b"))
+        F.sort_array(F.collect_list(block)).alias("_b"))
     return grouped.select(F.col(key), F.transform("_b", lambda b: b.dropFields(order)).alias("blocks"))
 
 
