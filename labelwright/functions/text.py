@@ -86,11 +86,6 @@ def shorten(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
-def capitalised(text: Column) -> Column:
-    """First letter upper, the rest lower."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text))))
-
-
 def stable_id(prefix: str, *parts: Column) -> Column:
     """A repeatable eight-digit id from the given parts."""
     key = F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright.fixed import catalogues as cat
@@ -52,8 +51,7 @@ def checks_for_fields(fields: DataFrame, catalogue: DataFrame | None = None) ->
         F.contains(F.lower("check_id"), low) | F.contains(F.lower("requirement_name"), low)
         | F.exists("query_terms", lambda t: F.contains(F.lower(t), low))
     )
-    # The catalogue is the fixed side: the join streams names past its few rows.
-    hits = names.join(F.broadcast(checks.withColumnRenamed("domain", "_d")), test, "left")
+    hits = names.join(small_side(checks.withColumnRenamed("domain", "_d")), test, "left")
     found = F.col("check_id").isNotNull()
     mapped = hits.select(
         "field",
@@ -106,14 +104,14 @@ def rules_for_fields(fields: DataFrame, rules: DataFrame) -> DataFrame:
     low = F.lower(F.col("field_name"))
     test = F.contains(F.lower("rule_id"), low) | F.exists("keywords", lambda k: F.contains(F.lower(k), low))
     names = fields.select("field_name").distinct()
-    return fields.join(small_side(names.join(F.broadcast(rules), test)), "field_name")
+    return fields.join(small_side(names.join(small_side(rules), test)), "field_name")
 
 
 def check_by_id(ids: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The first catalogue entry of each id, or nulls."""
     first = catalogue.groupBy("check_id").agg(
         F.min_by(F.struct(*[c for c in catalogue.columns if c != "check_id"]), "catalogue_ord").alias("_c"))
-    return ids.join(F.broadcast(first), "check_id", "left").select(*ids.columns, "_c.*")
+    return ids.join(small_side(first), "check_id", "left").select(*ids.columns, "_c.*")
 
 
 def add_rule(rules: DataFrame, rule_id: str, rule_name: str, rule_number: str, mandatory: bool, description: str,
@@ -224,14 +222,3 @@ def validation_summary(details: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "NOT_FOUND").alias("not_found"),
         F.when(n > 0, matched / n).otherwise(F.lit(0.0)).alias("pass_rate"),
     )
-
-
-def first_check_rows(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    rest = [c for c in rows.columns if c not in keys]
-    firsts = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return firsts.select(*keys, "_r.*")
-
-
-def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -73,7 +73,7 @@ def dense_topk(
     queries = queries.select(query_id, query_vector).withColumn(
         "_w", F.coalesce(F.size(query_vector), F.lit(0)).cast("long"))
     parts = []
-    for block in in_blocks(queries, "_w", held_numbers):
+    for block in in_blocks(queries, query_id, "_w", held_numbers):
         ids, _, matrix = _held(block, query_id, query_vector, query_id)
         if not ids:
             continue

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelwright.fixed import label_patterns as lp
 from labelwright.functions.fields import DECLARATIONS, additive_codes, allergens_in, commodity_of_text, folded
-from labelwright.functions.text import let, matched, rx, strip
+from labelwright.functions.text import let, rx, strip
 from labelwright.operators.blocks import joined_text
 from labelwright.types import FIELD
 
@@ -99,12 +99,13 @@ def extract_fields(labels: DataFrame, blocks: str = "blocks") -> DataFrame:
     for name in lp.FIELD_ORDER:
         out = out.withColumn(f"_{name}", _first_hit(F.col("_hits"), name))
     header = F.filter(col, lambda b: b["text"].rlike(rx(lp.INGREDIENT_HEADER)))
-    out = (
-        out.withColumn("_header", F.when(F.col("_section").isNotNull(), F.get(header, F.lit(0))))
-        .withColumn("_items", F.array_join(ingredient_items(F.col("_section")), ", "))
-        .withColumn("_allergens", F.array_join(allergens_in(F.col("_section")), ", "))
-        .withColumn("_additives", F.array_join(additive_codes(F.col("_section")), ", "))
+    listed = F.struct(
+        F.get(header, F.lit(0)).alias("block"),
+        F.array_join(ingredient_items(F.col("_section")), ", ").alias("ingredients"),
+        F.array_join(allergens_in(F.col("_section")), ", ").alias("allergens"),
+        F.array_join(additive_codes(F.col("_section")), ", ").alias("ins_additives"),
     )
+    out = out.withColumn("_listed", F.when(F.col("_section").isNotNull(), listed))
 
     entries = []
     for place, name in enumerate(lp.FIELD_ORDER):
@@ -114,15 +115,15 @@ def extract_fields(labels: DataFrame, blocks: str = "blocks") -> DataFrame:
             hit["confidence"], hit["bbox"],
         )))
     last, none = F.size(col), F.lit(None).cast("string")
-    conf = F.coalesce(F.col("_header")["confidence"], F.lit(_DEFAULT_CONFIDENCE))
-    box = F.coalesce(F.col("_header")["bbox"], _box(_SECTION_BOX))
+    from_section = F.col("_listed")
+    conf = F.coalesce(from_section["block"]["confidence"], F.lit(_DEFAULT_CONFIDENCE))
+    box = F.coalesce(from_section["block"]["bbox"], _box(_SECTION_BOX))
     place = len(lp.FIELD_ORDER)
-    entries.append(F.when(F.col("_section").isNotNull(), _entry(
-        last, place, "ingredients", F.col("_section"), F.col("_items"), none, conf, box)))
+    entries.append(F.when(from_section.isNotNull(), _entry(
+        last, place, "ingredients", F.col("_section"), from_section["ingredients"], none, conf, box)))
     for extra, name in enumerate(["allergens", "ins_additives"], start=1):
-        listed = F.col("_allergens" if name == "allergens" else "_additives")
-        entries.append(F.when(listed != "", _entry(
-            last, place + extra, name, listed, listed, none, conf, box)))
+        value = from_section[name]
+        entries.append(F.when(value != "", _entry(last, place + extra, name, value, value, none, conf, box)))
 
     ordered = F.sort_array(F.array_compact(F.array(*entries)))
     keep = [c for c in labels.columns if c != blocks]
@@ -169,7 +170,3 @@ def declarations_in_text(df: DataFrame, text: str, names: list[str] | None = Non
     found = low.select(*df.columns, *[
         DECLARATIONS[n].match(F.col(text), F.col("_low")).alias(f"{n}_found") for n in names])
     return found.select(*df.columns, *_shown(names))
-
-
-def has_ingredient_header(text: Column) -> Column:
-    return matched(text, rx(lp.INGREDIENT_HEADER)).isNotNull()

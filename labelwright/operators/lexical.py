@@ -167,7 +167,7 @@ def bm25_topk(
     kind = queries.schema[query_id].dataType.simpleString()
     mean = index.mean_length
     parts = []
-    for block in in_blocks(held, "_w", held_weights):
+    for block in in_blocks(held, "item", "_w", held_weights):
         rows = block.select("item", "token", "weight").toArrow()
         ids = sorted(set(rows["item"].to_pylist()))
         if not ids:

@@ -22,6 +22,8 @@ SCORE_DIGITS = 9
 # scorer(batch) -> scores[rows of the batch, held items]; NaN marks a pair that is no candidate.
 Scorer = Callable[[pa.RecordBatch], np.ndarray]
 _CELLS = 4_000_000
+# A held block has at most about this many items, since each task keeps k rows per item.
+HELD_ITEMS = 2_000
 
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -110,11 +112,11 @@ def best_items_per_row(
     return rows.mapInArrow(task, f"{id_col} {id_type}, item_no int, score double, rank int")
 
 
-def in_blocks(held: DataFrame, weight: str, max_weight: int) -> list[DataFrame]:
-    """Cut the held side into blocks whose total weight stays near a bound (a hash of the row decides)."""
-    total = held.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // max_weight))
+def in_blocks(held: DataFrame, item: str, weight: str, max_weight: int) -> list[DataFrame]:
+    """Cut the held side into blocks of bounded weight and item count; a hash of the item decides."""
+    total, items = held.agg(F.coalesce(F.sum(weight), F.lit(0)), F.countDistinct(item)).first()
+    n = max(1, -(-int(total) // max_weight), -(-int(items) // HELD_ITEMS))
     if n == 1:
         return [held]
-    key = F.pmod(F.xxhash64(F.col(held.columns[0])), F.lit(n))
+    key = F.pmod(F.xxhash64(F.col(item)), F.lit(n))
     return [held.filter(key == b) for b in range(n)]

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.config import LayoutConfig
-from labelwright.fixed.limits import MANDATORY_FIELDS
 from labelwright.functions.fields import declared_value
 from labelwright.functions.text import truthy
 from labelwright.operators.blocks import mean_confidence
@@ -79,7 +78,3 @@ def merge_panels(panels: DataFrame, scan_key: str = "scan_id", panel: str = "pan
     best = rows.filter(valued.isNotNull()).groupBy(scan_key, F.col("_f.field_name").alias("field_name")).agg(
         F.min_by("_f", panel).alias("field"), F.min(panel).alias("panel_ord"))
     return best.select(scan_key, "field_name", "field", "panel_ord")
-
-
-def mandatory_fields() -> list[str]:
-    return list(MANDATORY_FIELDS)
