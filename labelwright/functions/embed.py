@@ -39,7 +39,7 @@ def model_embedder(load: Callable[[], Callable[[list[str]], object]]) -> Embedde
 
 
 def sentence_model(config: EmbedderConfig = EmbedderConfig()) -> Embedder:
-    """The reference sentence model; needs the sentence-transformers package on the workers."""
+    """The default sentence model; needs the sentence-transformers package on the workers."""
 
     def load():
         from sentence_transformers import SentenceTransformer
