@@ -114,8 +114,8 @@ def chapter_lookup(spark, d):
 
 
 def _customer_chunks(spark, d):
-    geo = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return table(spark, d, "customer").join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    geo = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "customer").join(geo, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("r_name").alias("chapter"), F.col("n_name").alias("rule"),
         F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("sub_rule"), F.lit(None).cast("string").alias("clause"),
         F.lit(1).alias("page_start"), F.col("c_custkey").cast("string").alias("chunk_id"), F.col("c_custkey").alias("insert_ord"))
