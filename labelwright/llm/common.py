@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.session import ensure_checkpoint_dir
+
 MASK = (1 << 64) - 1
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STIR_1 = np.uint64(0xFF51AFD7ED558CCD)
@@ -69,6 +73,20 @@ def unpacked(df: DataFrame, **changed: Column) -> DataFrame:
     return df.select(*kept, *[v.alias(k) for k, v in changed.items() if k not in names])
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written as a table to the shared checkpoint folder, and read again.
+
+    A checkpoint would keep what the optimiser knew of its columns and of their
+    partitioning; over the turns of a loop that multiplies until planning takes
+    longer than the work.  A table is also smaller and read by column.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def crc_of(c: Column | str) -> Column:
     """crc32 of a value written as text."""
     col = F.col(c) if isinstance(c, str) else c

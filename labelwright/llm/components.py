@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.session import cut_lineage
+from labelwright.llm.common import cut_lineage
 
 
 def _followed(parents: DataFrame) -> DataFrame:

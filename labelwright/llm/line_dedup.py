@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import ascii_lower, packed, text_key, unpacked
-from labelwright.session import cut_lineage
+from labelwright.llm.common import ascii_lower, cut_lineage, packed, text_key, unpacked
 
 SPACE = " \t\n\x0b\f\r"
 MIN_CHARS = 20

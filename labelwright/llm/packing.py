@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.session import cut_lineage
+from labelwright.llm.common import cut_lineage
+
 
 CAPACITY = 2048
 END_ID = 0

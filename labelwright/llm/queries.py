@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import line_dedup, minhash, packing, winnow
+from labelwright.llm import (
+    cotrain, html_crf, langid, line_dedup, minhash, packing, quality_rules, toxicity, url_templates, winnow,
+)
+from labelwright.llm.common import crc_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +30,62 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("sequence").alias("sequence_id"), "offset")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict for every text; see ``quality_rules``."""
+    return quality_rules.judged(table(spark, folder, "documents").select("doc_id", "text")).select(
+        F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+TOXIC_FROM = 0.7
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text, learned outside the held-out third; see ``toxicity``."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    learn = crc_of("doc_id") % 3 != 1
+    model = toxicity.train(docs.where(learn), labels.where(learn))
+    score = F.col("score")
+    return toxicity.scored(docs, model).select(
+        F.col("row.doc_id").alias("doc_id"), (crc_of("row.doc_id") % 3 == 1).alias("held_out"), score,
+        (score >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op5_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document from both views; see ``cotrain``."""
+    docs = table(spark, folder, "documents")
+    return cotrain.scored(docs, table(spark, folder, "labels")).select(
+        F.col("row.doc_id").alias("doc_id"), "score", (F.col("score") >= cotrain.KEEP_FROM).alias("kept"))
+
+
+URL_RULES = [
+    ("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"),
+]
+
+
+def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every url of ``pages``; see ``url_templates``."""
+    return url_templates.judged(table(spark, folder, "pages").select("page_id", "url"), URL_RULES).select(
+        F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, learned outside the held-out quarter; see ``langid``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(crc_of("doc_id") % 4 != 2))
+    return langid.identified(docs, model).select(
+        F.col("row.doc_id").alias("doc_id"), (crc_of("row.doc_id") % 4 == 2).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def op9_html_crf(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page; see ``html_crf``."""
+    pages = table(spark, folder, "pages")
+    return html_crf.extracted(pages, html_crf.train(pages)).select(
+        F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), "text",
+        F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines before and after, and the digest of the kept text; see ``line_dedup``."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -53,7 +112,9 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op4_line_dedup, op7_minhash_near_dedup, op10_benchmark_decontamination)
+    for f in (
+        op1_best_fit_packing, op2_quality_rules, op3_toxicity, op4_line_dedup, op5_quality_cotraining, op6_url_templates,
+        op7_minhash_near_dedup, op8_language_id, op9_html_crf, op10_benchmark_decontamination)
 }
 
 ORACLE: dict[str, str] = {}

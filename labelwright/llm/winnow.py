@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import WordHashes, gram_hashes, packed, stirred, text_key, unpacked
-from labelwright.session import cut_lineage
+from labelwright.llm.common import WordHashes, cut_lineage, gram_hashes, packed, stirred, text_key, unpacked
 
 WINDOW = 13
 GRAM = 6
