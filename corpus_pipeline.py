@@ -1,4 +1,4 @@
-"""The corpus pipeline: line dedup, near-duplicate removal, decontamination and packing of a documents table.
+"""The corpus pipeline: quality classification, line dedup, near-duplicate removal, decontamination and packing of a documents table.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again before the next one.
@@ -12,11 +12,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import line_dedup, minhash, packing, winnow
+from labelwright.llm import cotrain, line_dedup, minhash, packing, winnow
 from labelwright.llm.queries import public_encoder, table
 from labelwright.session import ensure_checkpoint_dir
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return cotrain.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in one; n_chars follows the text."""
     kept = line_dedup.drop_repeated_lines(docs)
@@ -40,6 +45,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", keep_quality),
     ("line_dedup", dedup_lines),
     ("minhash_near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", decontaminate),
