@@ -57,7 +57,6 @@ INGREDIENT_STOP = (
 INGREDIENT_SEPARATOR = r"[,;•\n\r]+|\.(?=\s*[A-Z])|\s{2,}"
 INGREDIENT_NOISE = r"^(?:allergen\s*note:?|may\s*contain|contains:?)\s*"
 INGREDIENT_TRIM = r" .;:\"'\-_"
-INGREDIENT_CAP_CHARS = 600
 INGREDIENT_MIN_CHARS = 3
 
 # Commodity class: one point for each pattern that occurs.

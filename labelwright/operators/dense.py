@@ -15,25 +15,36 @@ from labelwright.operators.topk import best_items_per_row, best_rows_per_item, i
 HELD_NUMBERS = 8_000_000
 
 
-def _unit_rows(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column scaled to length one; a null or differently sized row becomes zeros."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    out = np.zeros((len(column), dim))
+Held = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of length ``dim`` in a list column, and these rows scaled to length one."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     fit = np.flatnonzero(lengths == dim)
-    if dim and fit.size:
-        flat = column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        out[fit] = flat.reshape(-1, dim)
+    flat = column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = flat.reshape(-1, dim)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=out, where=norms > 0)
+    return fit, np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
 
-def _held(block: DataFrame, id_col: str, vector: str, order: str) -> tuple[list, list, np.ndarray]:
-    """Ids, order values and unit vectors of one bounded block, in order."""
+def _held(block: DataFrame, id_col: str, vector: str, order: str) -> tuple[list, list, Held]:
+    """Ids, order values and unit vectors, by their length, of one bounded block, in order."""
     rows = block.select(id_col, vector, F.col(order).alias("_o")).toArrow().sort_by("_o")
-    sizes = [len(v) for v in rows[vector].to_pylist() if v is not None]
-    return rows[id_col].to_pylist(), rows["_o"].to_pylist(), _unit_rows(rows[vector], max(sizes, default=0))
+    column = rows[vector].combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.unique(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) if len(column) else []
+    return rows[id_col].to_pylist(), rows["_o"].to_pylist(), {int(n): _unit_rows(column, int(n)) for n in sizes if n}
+
+
+def _scores(column: pa.Array, held: Held, n_items: int) -> np.ndarray:
+    """Cosine of every row with every held vector; vectors of different lengths score 0."""
+    out = np.zeros((len(column), n_items))
+    for dim, (items, matrix) in held.items():
+        rows, own = _unit_rows(column, dim)
+        if rows.size:
+            out[np.ix_(rows, items)] = own @ matrix.T
+    return out
 
 
 def dense_topk(
@@ -45,23 +56,24 @@ def dense_topk(
 
     When the corpus is small it is held and queries stream past it without any
     shuffle; otherwise the queries are held, in bounded blocks, and the corpus
-    streams past them.  Vectors of another size score 0.
+    streams past them.  A pair of vectors of different lengths scores 0.
     """
     spark = corpus.sparkSession
     corpus = corpus.select(doc_id, F.col(order).cast("long").alias(order), vector)
+    nothing = spark.createDataFrame([], f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
+                                        f"{doc_id} {corpus.schema[doc_id].dataType.simpleString()}, "
+                                        f"{order} bigint, score double, rank int")
     weight = F.coalesce(F.size(vector), F.lit(0))
     small = corpus.limit(100_001).agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
     if small[0] <= 100_000 and small[1] <= held_numbers:
         ids, orders, matrix = _held(corpus, doc_id, vector, order)
         if not ids:
-            return spark.createDataFrame([], f"{query_id} {queries.schema[query_id].dataType.simpleString()}, "
-                                             f"{doc_id} {corpus.schema[doc_id].dataType.simpleString()}, "
-                                             f"{order} bigint, score double, rank int")
+            return nothing
         shared = spark.sparkContext.broadcast(matrix)
 
         def per_query():
             held = shared.value
-            return lambda batch: _unit_rows(batch.column(query_vector), held.shape[1]) @ held.T
+            return lambda batch: _scores(batch.column(query_vector), held, len(ids))
 
         found = best_items_per_row(queries.select(query_id, query_vector), per_query, len(ids), k, query_id)
         table = spark.createDataFrame(
@@ -79,12 +91,12 @@ def dense_topk(
             continue
         shared = spark.sparkContext.broadcast(matrix)
 
-        def per_doc(shared=shared):
+        def per_doc(shared=shared, n=len(ids)):
             held = shared.value
-            return lambda batch: _unit_rows(batch.column(vector), held.shape[1]) @ held.T
+            return lambda batch: _scores(batch.column(vector), held, n)
 
         found = best_rows_per_item(corpus, per_doc, len(ids), k, doc_id, order)
         table = spark.createDataFrame(
             list(enumerate(ids)), f"item_no int, {query_id} {queries.schema[query_id].dataType.simpleString()}")
         parts.append(found.join(F.broadcast(table), "item_no").select(query_id, doc_id, order, "score", "rank"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else nothing

@@ -9,6 +9,12 @@ from labelwright.functions.citations import provision_name
 from labelwright.functions.text import truthy
 
 
+# Ranks that count.
+TOP = 5
+# What a case shows as its first answer when the corpus cannot hold one.
+GAP_ANSWER = "CORPUS_GAP"
+
+
 def is_hit(expected: Column, rule: Column, text: Column, schedule: Column) -> Column:
     """Whether the expected reference appears in the evidence's rule, text or schedule."""
     low = F.lower(expected)
@@ -64,6 +70,8 @@ def diagnose(matched: DataFrame, gaps: DataFrame, case_id: str = "id") -> DataFr
     """Result, failure class and corpus-gap flag of every case."""
     flagged = matched.join(gaps.withColumn("is_corpus_gap", F.lit(True)), case_id, "left").withColumn(
         "is_corpus_gap", F.coalesce("is_corpus_gap", F.lit(False)))
+    if "top1" in matched.columns:
+        flagged = flagged.withColumn("top1", F.when(F.col("is_corpus_gap"), F.lit(GAP_ANSWER)).otherwise(F.col("top1")))
     first = (F.col("match_rank") == 1) | F.col("is_corpus_gap")
     missed = ~F.coalesce(first, F.lit(False))
     return flagged.withColumn(
@@ -79,12 +87,12 @@ def diagnose(matched: DataFrame, gaps: DataFrame, case_id: str = "id") -> DataFr
 
 
 def retrieval_metrics(diagnosed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Recall@1, recall@5, MRR and false top-1 rate; a corpus gap counts as found first."""
+    """Recall@1, recall@5, MRR over the first five and false top-1 rate; a corpus gap counts as found first."""
     n = F.count(F.lit(1))
     gap, rank = F.col("is_corpus_gap"), F.col("match_rank")
     top1 = F.count_if(gap | F.coalesce(rank == 1, F.lit(False)))
-    top5 = F.count_if(gap | F.coalesce(rank <= 5, F.lit(False)))
-    gain = F.when(gap, F.lit(1.0)).otherwise(F.coalesce(F.lit(1.0) / rank, F.lit(0.0)))
+    top5 = F.count_if(gap | F.coalesce(rank <= TOP, F.lit(False)))
+    gain = F.when(gap, F.lit(1.0)).otherwise(F.coalesce(F.when(rank <= TOP, F.lit(1.0) / rank), F.lit(0.0)))
 
     def share(x: Column) -> Column:
         return F.when(n > 0, x / n * 100.0).otherwise(F.lit(0.0))

@@ -24,13 +24,10 @@ def _box(values: tuple[int, ...]) -> Column:
 
 
 def ingredient_section(text: Column) -> Column:
-    """Text between the ingredients header and the next section; null without a header."""
+    """Text from the ingredients header to the next section or the end; null without a header."""
     after = F.get(F.split(text, rx(lp.INGREDIENT_HEADER), 2), F.lit(1))
     parts = F.split(after, rx(lp.INGREDIENT_STOP), 2)
-    body = F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(
-        F.substring(after, 1, lp.INGREDIENT_CAP_CHARS)
-    )
-    return strip(body)
+    return strip(F.get(parts, F.lit(0)))
 
 
 def ingredient_items(section: Column) -> Column:

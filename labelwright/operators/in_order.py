@@ -9,6 +9,8 @@ that a lost executor cannot change which stretch a row belongs to.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,14 @@ def split_in_order(df: DataFrame, keys: list[str], order: list[Column], stretche
     return cut_lineage(ranged.withColumn(STRETCH, F.spark_partition_id()))
 
 
+def _with_state(rows: DataFrame, state: DataFrame, place: list[str]) -> DataFrame:
+    """Rows with the state of their stretch; a null key is a group like any other."""
+    names = {k: f"_of_{i}" for i, k in enumerate(place)}
+    renamed = state.withColumnsRenamed(names)
+    same = reduce(Column.__and__, [rows[k].eqNullSafe(renamed[n]) for k, n in names.items()])
+    return rows.join(renamed, same).drop(*names.values())
+
+
 def rank_in_order(
     df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", stretches: int | None = None
 ) -> DataFrame:
@@ -36,7 +46,7 @@ def rank_in_order(
     earlier = W.partitionBy(*keys).orderBy(STRETCH).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*place, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return (
-        local.join(offsets, place)
+        _with_state(local, offsets, place)
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop("_local", "_before", STRETCH)
     )
@@ -75,7 +85,7 @@ def column_breaks(
         .alias("_carried"),
     )
     return (
-        rows.join(carried, place)
+        _with_state(rows, carried, place)
         .withColumn(name, F.col("_inside") + F.col("_carried"))
         .drop("_start", "_end", "_prev", "_break", "_inside", "_carried", STRETCH)
     )

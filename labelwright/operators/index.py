@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import truthy
-from labelwright.session import small_side
+from labelwright.operators.in_order import rank_in_order
+from labelwright.session import cut_lineage, small_side
 
 
 def unit_vector(v: Column) -> Column:
@@ -21,40 +22,41 @@ def unit_vector(v: Column) -> Column:
     )
 
 
-def prepare(
-    batch: DataFrame, order: str = "batch_ord", embedding: str = "embedding", offset: Column | int = 0
-) -> DataFrame:
-    """Give each document an id and a place: documents that bring a vector come first."""
+def prepare(batch: DataFrame, count: int, order: str = "batch_ord", embedding: str = "embedding") -> DataFrame:
+    """Give each document of a batch an id and a place.
+
+    A document without an id gets the number of documents in the store plus its
+    position in the batch.  Documents that bring a vector come first.  Equal
+    order values are told apart by the documents' content, so that the outcome
+    never depends on how the batch is split.
+    """
     ids = [truthy(F.col(c).cast("string")) for c in ("chunk_id", "id") if c in batch.columns]
-    fallback = (F.col(order) + 1 + offset).cast("string")
+    numbered = rank_in_order(batch, [], [F.col(order), F.xxhash64(*batch.columns)], "_position")
     late = F.col(embedding).isNull() if embedding in batch.columns else F.lit(True)
-    return batch.withColumn("chunk_id", F.coalesce(*ids, fallback)).withColumn(
-        "_place", F.struct(late.alias("late"), F.col(order).alias("ord"))
-    )
+    return numbered.withColumn("chunk_id", F.coalesce(*ids, (F.col("_position") + count).cast("string"))).withColumn(
+        "_place", F.struct(late.alias("late"), F.col("_position").alias("position"))).drop("_position")
 
 
 def upsert(store: DataFrame, batch: DataFrame, order: str = "batch_ord") -> DataFrame:
-    """Store after the batch: same ids replaced in place, new ids appended.
+    """Store after the batch: same ids replaced in place, new ids appended without gaps.
 
-    Only batch ids travel to the store: when the batch is small the store is
-    never shuffled, whatever its size.  ``insert_ord`` keeps the first position.
+    Only batch ids travel to the store.  Of documents with one id the last in
+    the batch stays, at the place of the first; ``insert_ord`` of a replaced id
+    keeps its position.
     """
-    top = store.agg(F.coalesce(F.max("insert_ord"), F.lit(-1)).alias("top")).scalar()
-    placed = prepare(batch, order, offset=top + 1)
+    count, top = store.agg(F.count(F.lit(1)), F.coalesce(F.max("insert_ord"), F.lit(-1))).first()
+    placed = prepare(batch, count, order)
     cols = [c for c in store.columns if c not in ("chunk_id", "insert_ord")]
-    last = placed.groupBy("chunk_id").agg(
-        F.max("_place").alias("_place"), F.min("_place").alias("_first"),
-    )
-    newest = placed.join(last, ["chunk_id", "_place"])
-    ids = small_side(newest.select("chunk_id"))
+    newest = cut_lineage(placed.groupBy("chunk_id").agg(
+        F.max_by(F.struct(*cols), "_place").alias("_row"), F.min("_place").alias("_first")))
+    ids = newest.select("chunk_id")
+    places = store.join(ids, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.min("insert_ord").alias("_old"))
+    known = newest.join(places, "chunk_id").select("chunk_id", "_row", F.col("_old").alias("insert_ord"))
+    fresh = rank_in_order(newest.join(places, "chunk_id", "left_anti"), [], [F.col("_first")], "_nth")
+    fresh = fresh.select("chunk_id", "_row", (F.col("_nth") + top).alias("insert_ord"))
+    added = known.unionByName(fresh).select("chunk_id", *[F.col("_row")[c].alias(c) for c in cols], F.col("insert_ord").cast("long"))
     kept = store.join(ids, "chunk_id", "left_anti")
-    places = store.select("chunk_id", F.col("insert_ord").alias("_old")).join(ids, "chunk_id", "left_semi")
-    size = F.lit(1_000_000_000_000)
-    new_ord = top + 1 + F.col("_first.late").cast("long") * size + F.col("_first.ord")
-    fresh = newest.join(places, "chunk_id", "left").select(
-        "chunk_id", *cols, F.coalesce(F.col("_old"), new_ord).cast("long").alias("insert_ord")
-    )
-    return kept.select("chunk_id", *cols, F.col("insert_ord").cast("long")).unionByName(fresh)
+    return kept.select("chunk_id", *cols, F.col("insert_ord").cast("long")).unionByName(added)
 
 
 def delete(store: DataFrame, ids: DataFrame) -> DataFrame:

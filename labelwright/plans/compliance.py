@@ -43,7 +43,7 @@ def food_evidence(
     config: RetrievalConfig = RetrievalConfig(),
 ) -> DataFrame:
     """Evidence of the food domain: best fused chunk of its corpus, else the domain's literal chunk."""
-    value = F.col("field_value") if "field_value" in checks.columns else F.lit("")
+    value = F.coalesce(F.col("field_value"), F.lit("")) if "field_value" in checks.columns else F.lit("")
     asked = checks.select("query_id", "check_id", F.concat(
         F.lit("FSSAI food regulation "), F.coalesce("field", F.lit("")), F.lit(" "), value).alias("query"))
     if corpus is None:
@@ -75,14 +75,20 @@ def dispatch(
 ) -> DataFrame:
     """Evidence of every check from every domain its commodity calls for.
 
-    checks: query_id, check_id, field, commodity_type, query_terms.  The same
+    checks: query_id, check_id, field, commodity_type, query_terms and, if known, field_value.  The same
     check repeats over all packages, so evidence is retrieved once per distinct
     check and domain and joined back.
     """
-    terms = F.array_join(F.coalesce("query_terms", F.array()), "\u001f")
-    keyed = route(checks).withColumn("_key", F.sha2(F.concat_ws("\u001e", "check_id", "field", terms), 256))
+    routed = route(checks)
+    # Only the food domain asks with the value; elsewhere it would only multiply the questions.
+    value = F.col("field_value") if "field_value" in routed.columns else F.lit(None).cast("string")
+    value = F.when(F.col("routed_domain") == "fssai", value)
+    terms = F.coalesce("query_terms", F.array().cast("array<string>")).alias("terms")
+    # Nulls are left out by name, so that no two different checks share a key.
+    keyed = routed.withColumn("_key", F.sha2(F.to_json(F.struct("check_id", "field", terms, value.alias("value"))), 256))
     distinct = cut_lineage(keyed.groupBy("_key", "routed_domain").agg(
-        *[F.first(c).alias(c) for c in ("check_id", "field", "query_terms")])).withColumnRenamed("_key", "query_id")
+        *[F.first(c).alias(c) for c in ("check_id", "field", "query_terms")], F.first(value).alias("field_value"),
+    )).withColumnRenamed("_key", "query_id")
     lm = metrology_evidence(distinct.filter("routed_domain = 'legal_metrology'"), metrology, as_of, embed)
     fs = food_evidence(distinct.filter("routed_domain = 'fssai'"), food, embed)
     found = lm.select("query_id", F.lit("legal_metrology").alias("routed_domain"), *EVIDENCE).unionByName(

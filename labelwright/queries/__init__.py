@@ -18,6 +18,7 @@ _CASTS = {
     "dense_topk": {"rank": "INTEGER"},
     "dense_topk_streamed": {"rank": "INTEGER"},
     "dense_topk_filtered": {"rank": "INTEGER"},
+    "dense_topk_mixed": {"rank": "INTEGER"},
     "hybrid_fusion": {"fused_rank": "INTEGER", "vector_rank": "INTEGER", "bm25_rank": "INTEGER"},
     "rerank_composite": {
         "final_rank": "INTEGER", "hierarchy_boost": "DOUBLE", "intent_boost": "DOUBLE", "facet_boost": "DOUBLE",

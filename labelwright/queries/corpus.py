@@ -319,7 +319,7 @@ ORACLE = {
         SELECT CASE WHEN label = 0 THEN 'new' ELSE 'old' END AS version, label, count(*) AS n_chunks, count(*) AS n_ids, count(*) AS n_places,
           min(vec_id) AS first_id FROM embeddings WHERE label <> 9 GROUP BY 1, 2
         UNION ALL
-        SELECT 'added', 77, count(*), count(*), count(*), min(vec_id) + (SELECT max(vec_id) FROM embeddings) + 2 FROM embeddings WHERE label = 1""",
+        SELECT 'added', 77, count(*), count(*), count(*), (SELECT count(*) FROM embeddings) + (SELECT min(p) FROM (SELECT label, row_number() OVER (ORDER BY vec_id) AS p FROM embeddings WHERE label IN (0, 1)) WHERE label = 1) FROM embeddings WHERE label = 1""",
     "metadata_lookup": """
         SELECT CAST(doc_id AS VARCHAR) AS chunk_id, coalesce(o_orderstatus, '') AS status FROM labels LEFT JOIN orders ON doc_id = o_orderkey""",
     "oldest_chunks": "SELECT o_orderkey, 0.88 AS score FROM orders ORDER BY o_orderkey LIMIT 5",

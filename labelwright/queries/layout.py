@@ -30,6 +30,15 @@ def reading_order(spark, d):
     return out.select("event_id", "user_id", "column_id", "reading_rank")
 
 
+def reading_order_null_keys(spark, d):
+    """A third of the users have no id: they are one group."""
+    rows = table(spark, d, "events").select(
+        "event_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("user_id"),
+        (F.floor(seconds() / 86400) * 100).cast("double").alias("x"), (seconds() % 86400).cast("double").alias("y"))
+    out = ly.reading_order(rows, ["user_id"], F.col("x"), F.col("y"), F.lit(50.0), [F.col("event_id")])
+    return out.select("event_id", "column_id", "reading_rank")
+
+
 def label_layout(spark, d):
     """Blocks of one label per part, put into reading order inside the row."""
     key, size = F.col("p_partkey"), F.col("p_size")
@@ -100,6 +109,7 @@ QUERIES = {
     "zone_partition": zone_partition,
     "column_clusters": column_clusters,
     "reading_order": reading_order,
+    "reading_order_null_keys": reading_order_null_keys,
     "label_layout": label_layout,
     "font_height_rule": font_height_rule,
     "bounding_box": bounding_box,
@@ -138,6 +148,11 @@ ORACLE = {
         {_CLUSTERS}
         SELECT event_id, user_id, column_id,
           row_number() OVER (PARTITION BY user_id ORDER BY column_id, y, x, event_id) AS reading_rank FROM c""",
+    "reading_order_null_keys": f"""
+        WITH e AS (SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN user_id END AS user_id, {SECONDS_SQL} // 86400 * 100 AS x,
+                     {SECONDS_SQL} % 86400 AS y, 50 AS w, 40 AS gap FROM events),
+        {_CLUSTERS}
+        SELECT event_id, column_id, row_number() OVER (PARTITION BY user_id ORDER BY column_id, y, x, event_id) AS reading_rank FROM c""",
     "label_layout": """
         WITH b AS (
           SELECT p_partkey, 'A' AS name, 0 AS ord, 0 AS x, p_size * 10 AS y, 100 AS w FROM part UNION ALL

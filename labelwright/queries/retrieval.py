@@ -88,6 +88,15 @@ def dense_topk_filtered(spark, d):
         "query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
 
 
+def dense_topk_mixed(spark, d):
+    """Odd labels and odd vectors are cut to half their length: only equal lengths compare."""
+    def cut(df, key, vector):
+        return df.withColumn(vector, F.when(F.col(key) % 2 == 1, F.slice(vector, 1, 32)).otherwise(F.col(vector)))
+
+    return dense_topk(cut(_centroids(spark, d), "query_id", "query_vector"), cut(_vectors(spark, d), "chunk_id", "embedding"), 20).select(
+        "query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
 def exact_provisions(spark, d):
     """References named by order lines, matched to part chunks; every match is ranked."""
     n = (F.col("l_quantity")).cast("int")
@@ -266,6 +275,7 @@ QUERIES = {
     "dense_topk": dense_topk_query,
     "dense_topk_streamed": dense_topk_streamed,
     "dense_topk_filtered": dense_topk_filtered,
+    "dense_topk_mixed": dense_topk_mixed,
     "exact_provisions": exact_provisions,
     "intent_normalise": intent_normalise,
     "hybrid_fusion": hybrid_fusion,
@@ -434,6 +444,14 @@ ORACLE = {
     "dense_topk": f"WITH {_CENTROID} {_TOP.format('', 20)}",
     "dense_topk_streamed": f"WITH {_CENTROID} {_TOP.format('', 20)}",
     "dense_topk_filtered": f"WITH {_CENTROID} {_TOP.format('WHERE own = 3', 5)}",
+    "dense_topk_mixed": f"""
+        WITH cen AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+        cn AS (SELECT label, i, v / sqrt(sum(v * v) OVER (PARTITION BY label)) AS v FROM cen WHERE label % 2 = 0 OR i <= 32),
+        en0 AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 2 = 0 OR i <= 32),
+        en AS (SELECT vec_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM en0),
+        sim AS (SELECT cn.label AS query_id, vec_id AS chunk_id, round(sum(CASE WHEN cn.label % 2 = vec_id % 2 THEN cn.v * en.v ELSE 0 END), 9) AS score
+                FROM cn JOIN en USING (i) GROUP BY 1, 2)
+        {_TOP.format('', 20)}""",
     "exact_provisions": _EXACT,
     "intent_normalise": _intent_sql(),
     "hybrid_fusion": f"""

@@ -37,25 +37,18 @@ def _struct(ddl: str) -> str:
     return ",".join(f"{name}:{kind}" for name, kind in (part.strip().split(" ", 1) for part in ddl.split(", ")))
 
 
-def blocks_from_rows(rows: DataFrame, key: str, order: str, max_blocks: int = 100_000) -> DataFrame:
+def blocks_from_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Labels from a block table, one array per label, in block order.
 
-    Meant for label-sized groups; groups above ``max_blocks`` stay in the table
-    form and go through ``first_declarations`` and ``reading_order`` instead, so
-    they are returned separately by ``oversized_groups``.
+    For label-sized groups: every group becomes one row.  Tables whose groups
+    outgrow a row go through ``first_declarations`` and ``reading_order``, which
+    never gather a group.
     """
-    big = oversized_groups(rows, key, max_blocks)
     block = F.struct(order, "block_id", "text", "confidence", "bbox")
-    grouped = rows.join(big.select(key), key, "left_anti").groupBy(key).agg(
-        F.sort_array(F.collect_list(block)).alias("_b"))
+    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list(block)).alias("_b"))
     return grouped.select(F.col(key), F.transform("_b", lambda b: b.dropFields(order)).alias("blocks"))
 
 
-def oversized_groups(rows: DataFrame, key: str, max_blocks: int = 100_000) -> DataFrame:
-    """Groups that hold more blocks than a label can."""
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_blocks)
-
-
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files with their validity: id, file name, text."""
     files = spark.read.text(path, wholetext=True).withColumn("filepath", F.input_file_name())
