@@ -125,6 +125,30 @@ def test_near_duplicates_cases(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in got.values()}
 
 
+@pytest.mark.parametrize("seed", range(1))
+def test_large_groups_around_the_threshold(spark, seed):
+    """Copies edited, cut and lengthened so that many pairs of one bucket lie on either side of the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(90)]
+    second = [w if rng.random() > 0.05 else f"s{i}" for i, w in enumerate(base)]
+    docs = []
+    for i in range(160):
+        words = list(rng.choice((base, second)))
+        kind = i % 4
+        if kind < 2:
+            share = rng.choice((0.01, 0.03, 0.06))
+            words = [w if rng.random() > share else f"e{i}_{j}" for j, w in enumerate(words)]
+        elif kind == 2:
+            words = words[: len(words) - rng.randrange(1, 40)]
+        else:
+            words += [f"t{rng.randrange(3)}_{j}" for j in range(rng.randrange(1, 40))]
+        docs.append((1000 - i, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute.near(docs, 4)
+    assert {r.doc: (r.n_shingles, r.component) for r in minhash.near_duplicates(df, words=4).collect()} == want
+    assert 1 < len({c for _, c in want.values()}) < 120
+
+
 def test_near_duplicates_of_nothing(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f")] * 2 + [(None, "a b c d e f"), (None, None)], "doc_id long, text string")
