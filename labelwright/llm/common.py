@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ STIR_2 = np.uint64(0xC4CEB9FE1A85EC53)
 class WordHashes(dict):
     """64-bit hash of a word; words seen lately are remembered, in bounded memory."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -73,6 +75,11 @@ def unpacked(df: DataFrame, **changed: Column) -> DataFrame:
     return df.select(*kept, *[v.alias(k) for k, v in changed.items() if k not in names])
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """Texts one at a time, so that only the Arrow buffer holds them all."""
+    return (x.as_py() for x in column)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder, and read again.
 

@@ -22,13 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import WordHashes, bounded_sample, gram_hashes, packed, unpacked
+from labelwright.llm.common import WordHashes, bounded_sample, gram_hashes, packed, texts_of, unpacked
 
 MAX_LABELLED = 20_000
 MAX_UNLABELLED = 10_000
@@ -144,9 +144,9 @@ def _meta_columns(docs: DataFrame) -> list[Column]:
     return [(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast("double" if c == "n_chars" else "string").alias(c) for c in META]
 
 
-def _views(text: pd.Series, source: pd.Series, lang: pd.Series, n_chars: pd.Series, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    return (np.stack([text_features(t, cache) for t in text]),
-            np.stack([meta_features(*m) for m in zip(source, lang, n_chars)]))
+def _views(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    return (np.stack([text_features(t, cache) for t in texts_of(text)]),
+            np.stack([meta_features(*m) for m in zip(*(x.to_pylist() for x in (source, lang, n_chars)))]))
 
 
 def train(
@@ -165,14 +165,17 @@ def train(
     rows = rows.join(F.broadcast(chosen), "doc")
     kind = "doc string, y int, view_text array<double>, view_meta array<double>"
 
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for f in frames:
-            if len(f):
-                a, b = _views(f["text"], f["source"], f["lang"], f["n_chars"], cache)
-                yield pd.DataFrame({"doc": f["doc"].astype(str), "y": f["y"], "view_text": list(a), "view_meta": list(b)})
-
-    got = rows.mapInPandas(features, kind).toPandas().sort_values("doc", kind="stable")
+        for batch in batches:
+            if batch.num_rows:
+                views = _views(*(batch.column(c) for c in ("text", *META)), cache)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc"), batch.column("y"), *(pa.array(list(v), pa.list_(pa.float64())) for v in views)],
+                    ["doc", "y", "view_text", "view_meta"])
+
+    rows = rows.withColumn("doc", F.col("doc").cast("string"))
+    got = rows.mapInArrow(features, kind).toPandas().sort_values("doc", kind="stable")
     if not {0, 1} <= set(got["y"]):
         return None
     held = np.array([xxhash.xxh32_intdigest(d) % 4 == 0 for d in got["doc"]])
@@ -182,7 +185,7 @@ def train(
     return CoTrained(np.stack(got["view_text"]), np.stack(got["view_meta"]), y, held)
 
 
-def _small(got: pd.DataFrame, y: np.ndarray) -> CoTrained:
+def _small(got, y: np.ndarray) -> CoTrained:
     """Too few labels to set some aside: the same rows train and calibrate."""
     a, b = np.stack(got["view_text"]), np.stack(got["view_meta"])
     twice = np.concatenate([y, y[y >= 0]])
@@ -195,11 +198,11 @@ def quality_score(model: CoTrained | None, text: Column, meta: list[Column]) ->
     if model is None:
         return F.lit(1.0)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         cache = WordHashes()
         for batch in batches:
-            yield pd.Series(model.score(*_views(*batch, cache)) if len(batch[0]) else np.empty(0))
+            yield pa.array(model.score(*_views(*batch, cache)) if len(batch[0]) else [], pa.float64())
 
     return score(text, *meta)
 

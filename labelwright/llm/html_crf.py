@@ -24,16 +24,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import bounded_sample, packed
+from labelwright.llm.common import bounded_sample, packed, texts_of
 from labelwright.llm.html_examples import EXAMPLES
 
 MAX_PAGES = 120
-EPOCHS = 12
+EPOCHS = 25
 RATE = 0.3
 RIDGE = 1e-3
 EXAMPLE_WEIGHT = 6
@@ -270,6 +270,8 @@ def fit(pages: list[str]) -> Field:
         rows = features(read)
         data.append((rows, labels, EXAMPLE_WEIGHT))
         data.append(([[f for f in row if f not in STATING] for row in rows], labels, EXAMPLE_WEIGHT))
+        # Names and tags alone must tell, too: a text's look says little about comments and notices.
+        data.append(([[f for f in row if f.startswith(("anc=", "name=", "role=", "in=", "bias"))] for row in rows], labels, EXAMPLE_WEIGHT))
     for page in pages:
         read = blocks(page)
         labels = stated(read)
@@ -287,10 +289,10 @@ def main_text(field: Field, page: str | None) -> str:
 
 def extracted(pages: DataFrame, field: Field, html_col: str = "html") -> DataFrame:
     """(row, text): every column of ``pages`` in ``row``."""
-    @F.pandas_udf(T.StringType())
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.StringType())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([main_text(field, p) for p in batch], dtype=object)
+            yield pa.array([main_text(field, p) for p in texts_of(batch)], pa.string())
 
     source: Column = F.col(f"`{html_col}`")
     return packed(pages, text=text(source))

@@ -53,4 +53,7 @@ EXAMPLES = [
     """<main data-keep="1"><h1>Short</h1><p>A page with nothing around it.</p></main>""",
     """<html><body data-keep="1"><p>A plain page without any menu, as pages once were.</p><p>It has a second paragraph, and then it ends.</p></body></html>""",
     """<div data-keep="1"><h2>Minutes</h2><p>The doors opened at seven. All were there.</p><ul><li>First the songs.</li><li>Then the speeches.</li></ul></div>""",
+    """<body><div class="menu">Start News Archive</div><div class="content" data-keep="1"><p>The old lighthouse is open again after two years of work.</p><p>Visitors may climb the tower at weekends.</p></div><div id="comments"><p>We were there on Sunday, and it was lovely.</p><p>So were we, as every year.</p></div></body>""",
+    """<article data-keep="1"><p>Dry walls need no mortar and last for ages.</p><aside data-keep="0"><p>More on walls in our garden pages.</p></aside><form data-keep="0"><p>Write your name here, please.</p></form><p>Lay the largest stones first.</p></article><aside><p>Offers of the week, for members only.</p></aside><form><p>Search the whole site from here.</p></form>""",
+    """<body><header><p>All the news of the valley, since 1950.</p></header><article data-keep="1"><p>The choir sang for an hour, and nobody left.</p></article><div class="user-comments"><p>I would have liked to hear it.</p></div><div class="reader-reactions comment-thread"><p>It was too long, if you ask me.</p></div><footer><p>Write to us at any time, we read it all.</p></footer></body>""",
 ]

@@ -22,12 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import bounded_sample, packed
+from labelwright.llm.common import bounded_sample, packed, texts_of
 
 SIZE = 1 << 14
 SLICE = 1 << 18
@@ -108,8 +108,8 @@ class Model:
         return self.langs[k], float(p[k])
 
 
-def fit(rows: pd.DataFrame, idf: np.ndarray) -> Model:
-    """``rows``: doc, lang, at, n (sparse counts)."""
+def fit(rows, idf: np.ndarray) -> Model:
+    """``rows``: a pandas frame of doc, lang, at, n (sparse counts)."""
     langs = sorted(set(rows["lang"]))
     if len(langs) == 0:
         return Model([], idf, np.zeros((SIZE, 0)), 1.0)
@@ -137,40 +137,46 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(f"`{id_col}`").cast("string").alias("doc"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"),
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
-    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(SIZE, np.int64), 0
-        for f in frames:
-            for text in f["text"]:
+        for b in batches:
+            for text in texts_of(b.column(0)):
                 seen += gram_counts(text) > 0
                 n += 1
         at = np.flatnonzero(seen)
-        yield pd.DataFrame({"at": np.append(at, -1), "n": np.append(seen[at], n)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], ["at", "n"])
 
-    sums = {r["at"]: r["n"] for r in rows.select("text").mapInPandas(held, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    sums = {r["at"]: r["n"] for r in rows.select("text").mapInArrow(held, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
     total = sums.pop(-1, 0)
     idf = np.full(SIZE, np.log(1.0 + total) + 1)
     for at, n in sums.items():
         idf[at] = np.log((1 + total) / (1 + n)) + 1
     chosen = bounded_sample(rows.where(F.col("doc").isNotNull()).select("doc", "lang"), max_rows, "doc", "lang").distinct()
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            grams = [gram_counts(t) for t in f["text"]]
-            at = [np.flatnonzero(g) for g in grams]
-            yield pd.DataFrame({"doc": f["doc"], "lang": f["lang"], "at": at, "n": [g[a] for g, a in zip(grams, at)]})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = [], []
+            for text in texts_of(b.column(2)):
+                grams = gram_counts(text)
+                at.append(np.flatnonzero(grams))
+                n.append(grams[at[-1]])
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, lists), pa.array(n, lists)], ["doc", "lang", "at", "n"])
 
     # At most max_rows rows of names: a broadcast of proven size.
-    got = rows.join(F.broadcast(chosen), ["doc", "lang"]).select("doc", "lang", "text").mapInPandas(
+    got = rows.join(F.broadcast(chosen), ["doc", "lang"]).select("doc", "lang", "text").mapInArrow(
         counted, "doc string, lang string, at array<long>, n array<long>")
     return fit(got.toPandas(), idf)
 
 
 def prediction(model: Model, text: Column) -> Column:
     """struct (lang, score) as a column."""
-    @F.pandas_udf("lang string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
+            found = [model.predict(t) for t in texts_of(texts)]
+            yield pa.StructArray.from_arrays(
+                [pa.array([g for g, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["lang", "score"])
 
     return predict(text)
 
