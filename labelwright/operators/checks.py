@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,18 +17,32 @@ from labelwright.types import CHECK, RULE
 
 def check_catalogue(spark: SparkSession) -> DataFrame:
     """The packaged check catalogue, numbered in catalogue order."""
-    return _numbered(spark.createDataFrame(list(cat.check_rows()), CHECK))
+    return _numbered(spark, cat.check_rows(), CHECK)
 
 
 def rule_catalogue(spark: SparkSession, domain: str = "legal_metrology") -> DataFrame:
-    return _numbered(spark.createDataFrame(cat.FSSAI_RULES if domain == "fssai" else cat.RULES, RULE))
+    return _numbered(spark, cat.FSSAI_RULES if domain == "fssai" else cat.RULES, RULE)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Catalogue position of each row (a fixed, short list)."""
-    rows = df.collect()
-    return df.sparkSession.createDataFrame(
-        [(*r, i) for i, r in enumerate(rows)], df.schema.simpleString()[len("struct<"):-1] + ",catalogue_ord:int")
+def _numbered(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A fixed, short list with the catalogue position of each row."""
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{schema}, catalogue_ord int")
+
+
+def _constant(catalogue: DataFrame, columns: list[str]) -> Column:
+    """A catalogue as one constant array of structs, so that a row meets its entries without a join.
+
+    A catalogue is written by hand: hundreds of entries, never a growing table.
+    """
+    kinds = {c: catalogue.schema[c].dataType for c in columns}
+
+    def value(v, kind) -> Column:
+        return F.array(*map(F.lit, v)).cast(kind) if isinstance(v, list) else F.lit(v).cast(kind)
+
+    rows = catalogue.select("catalogue_ord", *columns).orderBy("catalogue_ord").collect()
+    entries = [F.struct(F.lit(r["catalogue_ord"]).alias("catalogue_ord"), *[value(r[c], k).alias(c) for c, k in kinds.items()]) for r in rows]
+    kind = ", ".join(f"{c}: {k.simpleString()}" for c, k in kinds.items())
+    return F.array(*entries).cast(f"array<struct<catalogue_ord: int, {kind}>>")
 
 
 def _field_names(fields: DataFrame) -> Column:
@@ -39,19 +54,22 @@ def checks_for_fields(fields: DataFrame, catalogue: DataFrame | None = None) ->
 
     A field meets every check whose id, name or terms contain it; without one it
     gets a check of its own.  Field names repeat over all labels, so the
-    substring test runs once per distinct name and the result is joined back
-    (broadcast when the distinct names are proven few).
+    substring test runs once per distinct name, against the catalogue as a
+    constant, and the result is joined back.
     """
     spark = fields.sparkSession
     checks = check_catalogue(spark) if catalogue is None else catalogue
     named = fields.withColumn("field", _field_names(fields)).filter(truthy(F.col("field")).isNotNull())
     names = named.select("field").distinct()
     low = F.lower(F.col("field"))
-    test = (
-        F.contains(F.lower("check_id"), low) | F.contains(F.lower("requirement_name"), low)
-        | F.exists("query_terms", lambda t: F.contains(F.lower(t), low))
-    )
-    hits = names.join(small_side(checks.withColumnRenamed("domain", "_d")), test, "left")
+
+    def test(c: Column) -> Column:
+        return (
+            F.contains(F.lower(c["check_id"]), low) | F.contains(F.lower(c["requirement_name"]), low)
+            | F.exists(c["query_terms"], lambda t: F.contains(F.lower(t), low)))
+
+    entries = _constant(checks, ["check_id", "requirement_name", "check_type", "query_terms"])
+    hits = names.select("field", F.explode_outer(F.filter(entries, test)).alias("_c")).select("field", "_c.*")
     found = F.col("check_id").isNotNull()
     mapped = hits.select(
         "field",
@@ -64,7 +82,7 @@ def checks_for_fields(fields: DataFrame, catalogue: DataFrame | None = None) ->
     )
     if "commodity_type" not in named.columns:
         named = named.withColumn("commodity_type", F.lit("pre_packaged_commodity"))
-    return named.join(small_side(mapped), "field")
+    return named.join(mapped, "field")
 
 
 def structured_query(check_id: Column, field: Column, query_terms: Column, commodity: Column | None = None,
@@ -102,9 +120,14 @@ def fssai_queries(fields: DataFrame, keys: list[str]) -> DataFrame:
 def rules_for_fields(fields: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules whose id or a keyword contains the field name."""
     low = F.lower(F.col("field_name"))
-    test = F.contains(F.lower("rule_id"), low) | F.exists("keywords", lambda k: F.contains(F.lower(k), low))
+
+    def test(r: Column) -> Column:
+        return F.contains(F.lower(r["rule_id"]), low) | F.exists(r["keywords"], lambda k: F.contains(F.lower(k), low))
+
+    entries = _constant(rules, [c for c in rules.columns if c != "catalogue_ord"])
     names = fields.select("field_name").distinct()
-    return fields.join(small_side(names.join(small_side(rules), test)), "field_name")
+    hits = names.select("field_name", F.explode(F.filter(entries, test)).alias("_r"))
+    return fields.join(hits.select("field_name", *[F.col(f"_r.{c}").alias(c) for c in rules.columns]), "field_name")
 
 
 def check_by_id(ids: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -229,7 +229,7 @@ def hit_rate(spark, d):
     return ev.hit_rate(table(spark, d, "part").withColumn("is_hit", hit)).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-def retrieval_metrics(spark, d):
+def _cases(spark, d):
     """Neighbours of every label's mean vector; one of the same label with a positive first number is relevant."""
     near = dense_topk(_centroids(spark, d), _vectors(spark, d), 5)
     labels = table(spark, d, "embeddings").select(
@@ -239,7 +239,20 @@ def retrieval_metrics(spark, d):
     cases = hits.select(
         F.col("query_id").alias("id"), "match_rank", (F.col("query_id") == 7).alias("is_corpus_gap"),
         F.when(F.col("query_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("category"))
-    out = ev.retrieval_metrics(cases, ["category"])
+    return cases
+
+
+def failure_classes(spark, d):
+    """What became of every label's case, by category."""
+    matched = _cases(spark, d).drop("is_corpus_gap", "category").withColumn(
+        "category", case(F.col("id") % 3, F.lit("exact_provision"), F.lit("schedule_query"), F.lit("natural_language"))).withColumn(
+        "top1", F.lit("Rule 6"))
+    out = ev.diagnose(matched, matched.filter("id = 7").select("id"))
+    return out.select("id", "category", "result", F.coalesce("failure_class", F.lit("")).alias("failure_class"), "top1")
+
+
+def retrieval_metrics(spark, d):
+    out = ev.retrieval_metrics(_cases(spark, d), ["category"])
     return out.select("category", "total", *[F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "mrr", "false_top1_rate")])
 
 
@@ -284,6 +297,7 @@ QUERIES = {
     "citation_accuracy": citation_accuracy,
     "hit_rate": hit_rate,
     "retrieval_metrics": retrieval_metrics,
+    "failure_classes": failure_classes,
     "corpus_gap": corpus_gap,
     "provision_search": provision_search,
     "compliance_evidence": compliance_evidence,
@@ -478,6 +492,14 @@ ORACLE = {
     "hit_rate": """
         SELECT count(*) AS total_test_cases, count(*) FILTER (CAST(p_size AS VARCHAR) LIKE '7%' OR p_partkey % 3 = 0) AS hits,
           round(count(*) FILTER (CAST(p_size AS VARCHAR) LIKE '7%' OR p_partkey % 3 = 0) / count(*), 6) AS hit_rate FROM part""",
+    "failure_classes": f"""
+        WITH {_CENTROID}, top AS (SELECT query_id, chunk_id, own, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sim QUALIFY rank <= 5),
+        c AS (SELECT query_id AS id, query_id = 7 AS gap, ['exact_provision', 'schedule_query', 'natural_language'][query_id % 3 + 1] AS category,
+                min(CASE WHEN own = query_id AND chunk_id IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0) THEN rank END) AS r FROM top GROUP BY query_id),
+        f AS (SELECT *, gap OR coalesce(r = 1, false) AS first FROM c)
+        SELECT id, category, CASE WHEN first THEN 'PASS' WHEN r IS NOT NULL THEN 'PASS_R' || r ELSE 'FAIL' END AS result,
+          CASE WHEN first THEN '' WHEN category = 'exact_provision' THEN 'EXACT_REFERENCE_ERROR' WHEN category = 'schedule_query' THEN 'SCHEDULE_MISMATCH_ERROR'
+               ELSE 'SEMANTIC_CONFUSION' END AS failure_class, CASE WHEN gap THEN 'CORPUS_GAP' ELSE 'Rule 6' END AS top1 FROM f""",
     "retrieval_metrics": f"""
         WITH {_CENTROID}, top AS (SELECT query_id, chunk_id, own, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sim QUALIFY rank <= 5),
         c AS (SELECT query_id, query_id = 7 AS gap, min(CASE WHEN own = query_id AND chunk_id IN (SELECT vec_id FROM embeddings WHERE embedding[1] > 0) THEN rank END) AS r FROM top GROUP BY query_id)

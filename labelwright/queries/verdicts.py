@@ -132,7 +132,7 @@ def catalogue_validity(spark, d):
         ck.every_valid(F.col("rule_ok")).alias("all_rules_valid"))
 
 
-def catalogue_first_match(spark, d):
+def _catalogue_details(spark, d):
     """Targets (one per supplier nation and brand number) against part chunks."""
     parts = table(spark, d, "part")
     chunks = parts.select(
@@ -148,7 +148,16 @@ def catalogue_first_match(spark, d):
         (nation * 3 + 1).cast("string").alias("rule"),
         F.when(nation % 2 == 0, text(nation * 3 + 1, "(1)")).alias("sub_rule"), F.lit(None).cast("string").alias("clause"),
         (nation + 2).cast("int").alias("page"))
-    return ck.validate_catalogue(targets, chunks).select(
+    return ck.validate_catalogue(targets, chunks)
+
+
+def catalogue_summary(spark, d):
+    """How many targets were matched, contradicted or not found."""
+    return ck.validation_summary(_catalogue_details(spark, d)).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+def catalogue_first_match(spark, d):
+    return _catalogue_details(spark, d).select(
         "check_id", "status", F.coalesce("matched_chunk_id", F.lit("")).alias("matched_chunk_id"),
         F.coalesce("tier", F.lit(0)).alias("tier"))
 
@@ -177,6 +186,7 @@ QUERIES = {
     "field_queries": field_queries,
     "catalogue_validity": catalogue_validity,
     "catalogue_first_match": catalogue_first_match,
+    "catalogue_summary": catalogue_summary,
     "contract_validate": contract_validate,
 }
 
@@ -222,6 +232,20 @@ _DECLS = [
     ("Allergen Disclosures", "FSSAI Reg 5(3)", "has_contents", False),
 ]
 
+_FIRST_MATCH = f"""
+        WITH c AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS rule, p_size || '(' || (p_partkey % 3) || ')' AS sub, p_partkey % 30 AS ps,
+            CASE WHEN p_partkey % 2 = 0 THEN 'the net weight of ' || p_name ELSE 'short' END AS text FROM part),
+        t AS (SELECT DISTINCT 'T' || s_nationkey AS check_id, ['Net Quantity', 'MRP shown', 'Wholesale note'][s_nationkey % 3 + 1] AS requirement_name,
+            CAST(s_nationkey * 3 + 1 AS VARCHAR) AS rule, CASE WHEN s_nationkey % 2 = 0 THEN (s_nationkey * 3 + 1) || '(1)' END AS sub,
+            s_nationkey + 2 AS page FROM supplier),
+        j AS (SELECT t.*, c.p_partkey, c.text, CASE WHEN (t.sub IS NULL OR contains(t.sub, c.sub) OR contains(c.sub, t.sub))
+              AND (ps = 0 OR page BETWEEN ps AND ps + 1 OR abs(ps - page) <= 2) THEN 1 ELSE 2 END AS tier
+              FROM t LEFT JOIN c ON c.rule = t.rule),
+        r AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY tier, p_partkey) AS rn FROM j)
+        SELECT check_id, CASE WHEN p_partkey IS NULL THEN 'NOT_FOUND' WHEN {_CONSISTENT} OR length(text) > 20 THEN 'MATCHED' ELSE 'MISMATCH' END AS status,
+          coalesce(CAST(p_partkey AS VARCHAR), '') AS matched_chunk_id, CASE WHEN p_partkey IS NULL THEN 0 ELSE tier END AS tier
+        FROM r WHERE rn = 1"""
+
 ORACLE = {
     "field_verdict": f"""
         SELECT l_returnflag, field_name, {_STATUS} AS status, count(*) AS n_fields,
@@ -292,19 +316,11 @@ ORACLE = {
         SELECT p_brand, count(*) FILTER (p_partkey % 4 <> 0) AS valid_rules,
           count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 5 <> 0) AS valid_checks,
           bool_and(p_partkey % 4 <> 0) AS all_rules_valid FROM part GROUP BY p_brand""",
-    "catalogue_first_match": f"""
-        WITH c AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS rule, p_size || '(' || (p_partkey % 3) || ')' AS sub, p_partkey % 30 AS ps,
-            CASE WHEN p_partkey % 2 = 0 THEN 'the net weight of ' || p_name ELSE 'short' END AS text FROM part),
-        t AS (SELECT DISTINCT 'T' || s_nationkey AS check_id, ['Net Quantity', 'MRP shown', 'Wholesale note'][s_nationkey % 3 + 1] AS requirement_name,
-            CAST(s_nationkey * 3 + 1 AS VARCHAR) AS rule, CASE WHEN s_nationkey % 2 = 0 THEN (s_nationkey * 3 + 1) || '(1)' END AS sub,
-            s_nationkey + 2 AS page FROM supplier),
-        j AS (SELECT t.*, c.p_partkey, c.text, CASE WHEN (t.sub IS NULL OR contains(t.sub, c.sub) OR contains(c.sub, t.sub))
-              AND (ps = 0 OR page BETWEEN ps AND ps + 1 OR abs(ps - page) <= 2) THEN 1 ELSE 2 END AS tier
-              FROM t LEFT JOIN c ON c.rule = t.rule),
-        r AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY tier, p_partkey) AS rn FROM j)
-        SELECT check_id, CASE WHEN p_partkey IS NULL THEN 'NOT_FOUND' WHEN {_CONSISTENT} OR length(text) > 20 THEN 'MATCHED' ELSE 'MISMATCH' END AS status,
-          coalesce(CAST(p_partkey AS VARCHAR), '') AS matched_chunk_id, CASE WHEN p_partkey IS NULL THEN 0 ELSE tier END AS tier
-        FROM r WHERE rn = 1""",
+    "catalogue_first_match": _FIRST_MATCH,
+    "catalogue_summary": f"""
+        SELECT count(*) AS total_checks, count(*) FILTER (status = 'MATCHED') AS matched, count(*) FILTER (status = 'MISMATCH') AS mismatch,
+          count(*) FILTER (status = 'NOT_FOUND') AS not_found, round(CAST(count(*) FILTER (status = 'MATCHED') AS DOUBLE) / count(*), 6) AS pass_rate
+        FROM ({_FIRST_MATCH}) AS m""",
     "contract_validate": """
         SELECT concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'image_id' END, CASE WHEN o_orderkey % 6 = 0 THEN 'text' END,
           CASE WHEN o_orderkey % 12 > 10 THEN 'confidence' END, CASE WHEN o_orderkey % 5 = 0 THEN 'bbox' END) AS violations, count(*) AS n_records
