@@ -25,16 +25,16 @@ toxic if one says so.  Extra columns are passed on, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import bounded_sample, packed
+from labelwright.llm.common import bounded_sample, packed, texts_of
 
 MAX_TOXIC = 3000
 MAX_UNLABELLED = 6000
@@ -66,7 +66,7 @@ def features_of(word: bytes) -> list[int]:
 class Weights(dict):
     """Per word, the selected features it has; recently seen words are remembered."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __init__(self, index: dict[int, int]):
         super().__init__()
@@ -126,14 +126,11 @@ class Model:
         self.w = np.stack([p.w for p in parts]) if parts else np.zeros((1, len(index)))
         self.bias = np.array([p.bias for p in parts]) if parts else np.full(1, -30.0)
 
-    def score(self, texts: pd.Series, seen: Weights) -> np.ndarray:
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            out[i] = _sigmoid(self.w[:, seen.present(text)].sum(axis=1) + self.bias).mean()
-        return out
+    def score(self, texts: Iterable[str | None], seen: Weights) -> list[float]:
+        return [float(_sigmoid(self.w[:, seen.present(t)].sum(axis=1) + self.bias).mean()) for t in texts]
 
 
-def select_features(rows: pd.DataFrame, prior: float) -> dict[int, int]:
+def select_features(rows, prior: float) -> dict[int, int]:
     """The features whose share of toxic rows exceeds that of unlabelled rows most clearly."""
     counts = np.zeros((2, SLOTS), np.int32)
     for text, toxic in zip(rows["text"], rows["toxic"]):
@@ -164,17 +161,19 @@ def train(
         bounded_sample(unmarked, max_unlabelled, "doc").select("doc", F.lit(0).alias("toxic")))
     text = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
 
-    def shortened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Only distinct words matter: the rest of a text need not travel.
-        for f in frames:
-            yield f.assign(doc=f["doc"].astype(str), text=[" ".join(w.decode(errors="replace") for w in sorted(words_of(t))) for t in f["text"]])
+        for b in batches:
+            words = [" ".join(w.decode(errors="replace") for w in sorted(words_of(t))) for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string()), b.column(2)], ["doc", "text", "toxic"])
 
     # At most max_toxic + max_unlabelled ids: a broadcast of proven size.
-    got = text.join(F.broadcast(chosen), "doc").select("doc", "text", "toxic").mapInPandas(shortened, "doc string, text string, toxic int")
+    got = text.join(F.broadcast(chosen), "doc").select(F.col("doc").cast("string").alias("doc"), "text", "toxic").mapInArrow(shortened, "doc string, text string, toxic int")
     return fit(got.toPandas(), DEFAULT_PRIOR if prior is None else prior)
 
 
-def fit(rows: pd.DataFrame, prior: float) -> Model:
+def fit(rows, prior: float) -> Model:
+    """``rows``: a pandas frame of doc, text (its distinct words will do) and toxic (0: unlabelled)."""
     rows = rows.sort_values(["toxic", "doc"], kind="stable")
     if not (rows["toxic"] == 1).any():
         return Model({}, [])
@@ -197,11 +196,11 @@ def fit(rows: pd.DataFrame, prior: float) -> Model:
 
 
 def toxicity_score(model: Model, text: Column) -> Column:
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen = Weights(model.index)
         for texts in batches:
-            yield pd.Series(model.score(texts, seen))
+            yield pa.array(model.score(texts_of(texts), seen), pa.float64())
 
     return score(text)
 
