@@ -14,7 +14,7 @@ Results: score is the probability that a document is good.  Null and empty texts
 get a score like any other.  Without labels of both kinds nothing can be told
 apart: every score is 1 and every document stays.  Null labels are ignored; of
 repeated labels of a document the greatest counts.  Missing metadata columns
-count as null.  Extra columns are passed on, whatever their names.
+and lengths that are no number count as null.  Extra columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ class CoTrained:
 
 
 def _meta_columns(docs: DataFrame) -> list[Column]:
-    return [(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast("double" if c == "n_chars" else "string").alias(c) for c in META]
+    return [(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).try_cast("double" if c == "n_chars" else "string").alias(c) for c in META]
 
 
 def _views(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
