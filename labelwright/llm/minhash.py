@@ -11,11 +11,28 @@ with probability 1 - (1 - 0.8**5)**28 = 1 - 1.5e-5, at 0.9 all but certainly.
 Documents with equal shingle sets form one class from the start and only the
 class (its least doc_id) takes part in banding.  Inside a bucket
 
-1. every member is compared with the least member of the bucket (a star, so a
-   bucket of n gives n - 1 pairs), on the full sets;
-2. members that components already join need no comparison.  Where a bucket
-   still holds more than one component, the pairs across components are
-   compared as well: no pair that shares a band goes unexamined.
+Documents that share a bucket are gathered around pivots:
+
+1. The pivot of a bucket is the member that meets most others over all buckets,
+   likely the text the others were made from.  A document's home is the foremost
+   pivot it meets.  A bucket whose members have one home adds nothing to the
+   star around that home; any other belongs to the star around its own pivot.
+   Every member of a star is compared with its pivot on the full sets: n pairs
+   for n members.  Members that components then join need no further comparison.
+2. Of a small star that still holds several components (``SMALL`` members), the
+   pairs across components are compared.
+3. In a larger one most such pairs are ruled out by what the comparison with the
+   pivot p told.  Let x lack r(x) shingles of p and have a(x) others.  Then
+   |x & y| = |p| - r(x) - r(y) + s, where s counts the shingles of p both lack
+   and the others both have; similarity t needs s >= (t (|p| + a(x) + a(y)) -
+   (|p| - r(x) - r(y))) / (1 + t).  The first part of s is at most min(r(x),
+   r(y)).  So x and y are compared only if that alone can do, or if they share a
+   shingle that p lacks.  Those who share one are a bucket of their own: its
+   pairs are compared if it is small (``SUB_SMALL`` members), else the procedure
+   starts again there; stars left after ``ROUNDS`` rounds are treated as small.
+
+No pair that shares a band and could be linked goes unexamined, and no large
+bucket gives all its pairs.
 
 Results: a document is linked with those whose sets have a Jaccard similarity of
 at least the threshold; component_id is the least doc_id reachable.  Null or
@@ -32,17 +49,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import STEP, WordHashes, gram_hashes, packed, stirred, unpacked
+from labelwright.llm.common import STEP, WordHashes, cut_lineage, gram_hashes, packed, stirred, unpacked
 from labelwright.llm.components import components
-from labelwright.session import cut_lineage
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
+SMALL, SUB_SMALL = 12, 64
+ROUNDS = 3
 PLACES = 1 << 20
 SEED = 20_240_229
 
@@ -110,27 +128,107 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, kind)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    kind = T.StructType([pairs.schema["a"], pairs.schema["b"]])
+def compared(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Pairs (a, b, deep) on their full sets: linked, size of a, shingles b lacks and, if ``deep``, those only b has."""
+    kind = T.StructType([
+        pairs.schema["a"], pairs.schema["b"], T.StructField("linked", T.BooleanType()), T.StructField("size_a", T.LongType()),
+        T.StructField("lacks", T.LongType()), T.StructField("adds", T.LongType()), T.StructField("added", T.ArrayType(T.LongType()))])
     percent = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last, last_set = WordHashes(), None, None
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2), batch.column(3)):
+            linked, size, lacks, adds, added = [], [], [], [], []
+            for deep, a, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 a = a.as_py()
                 if a != last:
                     last, last_set = a, shingle_set(cache.of(words_of(a)), words)
                 other = shingle_set(cache.of(words_of(b.as_py())), words)
                 both = len(np.intersect1d(last_set, other, assume_unique=True))
-                ok.append(100 * both >= percent * (len(last_set) + len(other) - both))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-    with_b = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, kind)
+                linked.append(100 * both >= percent * (len(last_set) + len(other) - both))
+                size.append(len(last_set)), lacks.append(len(last_set) - both), adds.append(len(other) - both)
+                added.append(np.setdiff1d(other, last_set, assume_unique=True).view(np.int64) if deep else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (size, lacks, adds)),
+                 pa.array(added, pa.list_(pa.int64()))], [f.name for f in kind.fields])
+
+    with_b = pairs.hint("merge").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.hint("merge").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "deep", "text_a", "text_b").mapInArrow(run, kind)
+
+
+def _stars(members: DataFrame, several: Column) -> DataFrame:
+    """(a, b): pivots and the members of their stars, from the (bucket, doc) rows of buckets for which ``several`` holds."""
+    columns = [F.min("part").alias("p"), F.max("part").alias("q")] if "part" in members.columns else []
+    sums = members.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), *columns)
+    shared = cut_lineage(sums.where(several).select("bucket", "n"))
+    rows = cut_lineage(members.join(shared, "bucket").select("bucket", "doc", "n"))
+    met = rows.groupBy("doc").agg((-F.sum("n")).alias("met"))
+    pivots = cut_lineage(rows.join(met, "doc").groupBy("bucket").agg(F.min(F.struct("met", "doc")).alias("pivot")))
+    near = cut_lineage(rows.join(pivots, "bucket").select("bucket", "doc", "pivot"))
+    homes = near.groupBy("doc").agg(F.min("pivot").alias("home"))
+    near = cut_lineage(near.join(homes, "doc"))
+    one_home = near.groupBy("bucket").agg(F.min("home").alias("home"), F.max("home").alias("other")).where("home = other")
+    one_home = cut_lineage(one_home.select("bucket", F.col("home.doc").alias("only")))
+    stars = near.join(one_home, "bucket", "left").select(F.coalesce("only", "pivot.doc").alias("a"), F.col("doc").alias("b"))
+    return cut_lineage(stars.where(F.col("a") != F.col("b")).distinct())
+
+
+def _all_pairs(groups: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b, deep) of members b of one ``key`` in different components; the groups are of bounded size."""
+    sets = groups.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("b", "part"))).alias("all")).select("all").distinct()
+    one = sets.select("all", F.explode("all").alias("x"))
+    two = one.select("x", F.explode(F.expr("filter(all, y -> y.b > x.b AND y.part <> x.part)")).alias("y"))
+    return two.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(False).alias("deep")).distinct()
+
+
+def _across(stars: DataFrame, condition: Column) -> DataFrame:
+    """Pairs (a, b, deep) of members x, y of one star in different components for which ``condition`` holds."""
+    x = stars.select("a", *[F.col(c).alias(f"x_{c}") for c in stars.columns if c != "a"])
+    y = stars.select("a", *[F.col(c).alias(f"y_{c}") for c in stars.columns if c != "a"])
+    both = x.join(y, "a").where((F.col("x_part") != F.col("y_part")) & condition)
+    return both.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"), F.lit(False).alias("deep")).distinct()
+
+
+def linked_classes(members: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(node, component) of the (bucket, doc) rows; see the module's text for the steps."""
+    stars, links = _stars(members, F.col("low") != F.col("high")), None
+    for turn in range(1, ROUNDS + 1):
+        sizes = cut_lineage(stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+        told = cut_lineage(compared(stars.join(sizes, "a").select("a", "b", (F.col("n") > SMALL).alias("deep")), texts, words, threshold))
+        found = told.where("linked").select("a", "b")
+        links = found if links is None else links.union(found)
+        joined = components(links)
+        placed = stars.join(joined.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("part"))
+        parts = placed.groupBy("a").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"))
+        opened = cut_lineage(parts.where(F.col("p") != F.col("q")).select("a", "n"))
+        if opened.isEmpty():
+            return joined
+        placed = cut_lineage(placed.join(opened, "a"))
+        few, large = placed.where(F.col("n") <= SMALL).drop("n"), placed.where(F.col("n") > SMALL).drop("n")
+        pairs = _all_pairs(few, "a")
+        if turn == ROUNDS:
+            pairs = pairs.union(_across(large, F.col("x_b") < F.col("y_b")))
+        else:
+            large = cut_lineage(large.join(told, ["a", "b"]))
+            # x is not linked with the pivot, y lacks more than it adds: else what both lack cannot be enough.
+            lack = large.drop("added").where("NOT linked OR lacks > adds")
+            enough = F.expr(
+                f"NOT x_linked AND y_lacks > y_adds AND {threshold} * (x_size_a + x_adds + y_adds) - (x_size_a - x_lacks - y_lacks)"
+                f" <= (1 + {threshold}) * least(x_lacks, y_lacks) + 1e-6")
+            own = cut_lineage(large.select("part", "b", "a", F.explode("added").alias("own")).select(
+                F.xxhash64("a", "own").alias("bucket"), "b", "part"))
+            inner = own.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"))
+            inner = cut_lineage(inner.where("p <> q").select("bucket", "n"))
+            own = cut_lineage(own.join(inner, "bucket"))
+            pairs = pairs.union(_across(lack, enough)).union(_all_pairs(own.where(F.col("n") <= SUB_SMALL), "bucket"))
+        pairs = cut_lineage(pairs.distinct())
+        links = links.union(cut_lineage(compared(pairs, texts, words, threshold)).where("linked").select("a", "b"))
+        if turn < ROUNDS:
+            stars = _stars(own.where(F.col("n") > SUB_SMALL).select("bucket", F.col("b").alias("doc"), "part"), F.col("p") != F.col("q"))
+            if stars.isEmpty():
+                break
+    return components(links)
 
 
 def near_duplicates(
@@ -144,30 +242,14 @@ def near_duplicates(
     classes = sets.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
     copied = cut_lineage(classes.where(F.col("n") > 1).select("k1", "k2", "rep"))
     sets = sets.join(copied, ["k1", "k2"], "left").withColumn("rep", F.coalesce("rep", "doc"))
-
-    members = sets.where(F.col("rep") == F.col("doc")).select(F.explode("bands").alias("bucket"), "doc")
-    buckets = members.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("z"))
-    shared = cut_lineage(buckets.where(F.col("a") != F.col("z")).select("bucket", "a"))
-    grouped = cut_lineage(members.join(shared, "bucket").select("bucket", "a", F.col("doc").alias("b")))
-
-    involved = grouped.select(F.col("b").alias("doc")).distinct()
-    texts = cut_lineage(narrow.join(involved, "doc", "left_semi"))
-    star = cut_lineage(grouped.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    links = cut_lineage(verified(star, texts, words, threshold))
-    joined = components(links)
-
-    of = joined.withColumnRenamed("node", "b")
-    placed = grouped.join(of, "b", "left").select("bucket", F.col("b").alias("doc"), F.coalesce("component", "b").alias("part"))
-    split = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where(F.col("p") != F.col("q"))
-    open_rows = cut_lineage(placed.join(cut_lineage(split.select("bucket")), "bucket"))
-    if not open_rows.isEmpty():
-        one = open_rows.select("bucket", F.col("doc").alias("a"), F.col("part").alias("part_a"))
-        two = open_rows.select("bucket", F.col("doc").alias("b"), F.col("part").alias("part_b"))
-        across = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")))
-        across = cut_lineage(across.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-        more = cut_lineage(verified(across, texts, words, threshold))
-        if not more.isEmpty():
-            joined = components(links.union(more))
+    buckets = sets.where(F.col("rep") == F.col("doc")).select(F.explode("bands").alias("bucket"), "doc")
+    several = cut_lineage(buckets.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where(
+        F.col("low") != F.col("high")).select("bucket"))
+    members = cut_lineage(buckets.join(several, "bucket"))
+    involved = members.select("doc").distinct()
+    # The same plan at every size: texts are the bulk, and move once by id.
+    texts = cut_lineage(narrow.join(involved.hint("merge"), "doc", "left_semi"))
+    joined = linked_classes(members, texts, words, threshold)
 
     rep_of = seen.join(copied, ["k1", "k2"], "left").select("doc", "n_shingles", F.coalesce("rep", "doc").alias("rep"))
     to = joined.select(F.col("node").alias("rep"), "component")
