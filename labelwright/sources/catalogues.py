@@ -36,10 +36,24 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks dumped as one JSON list; the list order is the insertion order."""
+    """Chunks dumped as one JSON list, the order of which is the insertion order.
+
+    A list is one record, so this is for catalogues of a few megabytes; a corpus
+    comes as lines or as Parquet.
+    """
     return _nested(spark, path, "chunks", CHUNK).withColumnRenamed("catalogue_ord", "insert_ord")
 
 
+def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A chunk corpus of any size as JSON lines, each with its ``insert_ord``; files split over tasks."""
+    return spark.read.schema(f"{CHUNK}, insert_ord bigint").json(path)
+
+
+def read_chunk_table(spark: SparkSession, path: str) -> DataFrame:
+    """A chunk corpus as written by ``write_chunks``."""
+    return spark.read.parquet(path)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """The index on disk: Parquet, clustered by rule so that reference lookups skip files."""
     chunks.repartitionByRange("rule", "insert_ord").write.mode("overwrite").parquet(path)

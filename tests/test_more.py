@@ -56,3 +56,12 @@ def test_files(spark, tmp_path):
     assert files.read_intents(spark, str(tmp_path / "intents.json"))[0]["entities"] == ["x"]
     (tmp_path / "chunks.json").write_text(json.dumps([r.asDict() for r in provisions(spark).drop("insert_ord").collect()]))
     assert files.read_chunks(spark, str(tmp_path / "chunks.json")).agg(F.max("insert_ord")).first()[0] == 37
+
+
+def test_chunk_corpus_as_lines_and_table(spark, tmp_path):
+    chunks = provisions(spark)
+    files.write_json(chunks, str(tmp_path / "lines"))
+    files.write_chunks(chunks, str(tmp_path / "table"))
+    want = {(r.chunk_id, r.insert_ord) for r in chunks.collect()}
+    for read, name in ((files.read_chunk_lines, "lines"), (files.read_chunk_table, "table")):
+        assert {(r.chunk_id, r.insert_ord) for r in read(spark, str(tmp_path / name)).collect()} == want
