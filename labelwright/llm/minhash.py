@@ -16,7 +16,8 @@ Documents that share a bucket are gathered around pivots:
 1. The pivot of a bucket is the member that meets most others over all buckets,
    likely the text the others were made from.  A document's home is the foremost
    pivot it meets.  A bucket whose members have one home adds nothing to the
-   star around that home; any other belongs to the star around its own pivot.
+   star around that home; any other belongs to the star around its own pivot,
+   where two members with one home elsewhere need no further look.
    Every member of a star is compared with its pivot on the full sets: n pairs
    for n members.  Members that components then join need no further comparison.
 2. Of a small star that still holds several components (``SMALL`` members), the
@@ -158,7 +159,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
 
 
 def _stars(members: DataFrame, several: Column) -> DataFrame:
-    """(a, b): pivots and the members of their stars, from the (bucket, doc) rows of buckets for which ``several`` holds."""
+    """(a, b, home): pivots and the members of their stars, from the (bucket, doc) rows of buckets for which ``several`` holds."""
     columns = [F.min("part").alias("p"), F.max("part").alias("q")] if "part" in members.columns else []
     sums = members.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), *columns)
     shared = cut_lineage(sums.where(several).select("bucket", "n"))
@@ -170,23 +171,35 @@ def _stars(members: DataFrame, several: Column) -> DataFrame:
     near = cut_lineage(near.join(homes, "doc"))
     one_home = near.groupBy("bucket").agg(F.min("home").alias("home"), F.max("home").alias("other")).where("home = other")
     one_home = cut_lineage(one_home.select("bucket", F.col("home.doc").alias("only")))
-    stars = near.join(one_home, "bucket", "left").select(F.coalesce("only", "pivot.doc").alias("a"), F.col("doc").alias("b"))
+    stars = near.join(one_home, "bucket", "left").select(
+        F.coalesce("only", "pivot.doc").alias("a"), F.col("doc").alias("b"), F.col("home.doc").alias("home"))
     return cut_lineage(stars.where(F.col("a") != F.col("b")).distinct())
 
 
-def _all_pairs(groups: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b, deep) of members b of one ``key`` in different components; the groups are of bounded size."""
-    sets = groups.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("b", "part"))).alias("all")).select("all").distinct()
+def _opened(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the groups of (a, b, home, part) rows that hold a pair still to be looked at."""
+    sums = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q"), F.min("home").alias("h"),
+        F.max("home").alias("i"), F.count_if(F.col("home") == F.col("a")).alias("own"))
+    return cut_lineage(sums.where("p <> q AND (h <> i OR own > 1)").select(key, "n"))
+
+
+def _all_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b, deep) to be looked at among the members of one ``key``; the groups are of bounded size."""
+    member = F.struct("b", "part", "home", (F.col("home") == F.col("a")).alias("own"))
+    sets = rows.groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("all")).select("all").distinct()
     one = sets.select("all", F.explode("all").alias("x"))
-    two = one.select("x", F.explode(F.expr("filter(all, y -> y.b > x.b AND y.part <> x.part)")).alias("y"))
+    two = one.select("x", F.explode(F.expr(
+        "filter(all, y -> y.b > x.b AND y.part <> x.part AND (y.home <> x.home OR x.own))")).alias("y"))
     return two.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(False).alias("deep")).distinct()
 
 
 def _across(stars: DataFrame, condition: Column) -> DataFrame:
-    """Pairs (a, b, deep) of members x, y of one star in different components for which ``condition`` holds."""
+    """Pairs (a, b, deep) to be looked at among the members x, y of one star for which ``condition`` holds."""
     x = stars.select("a", *[F.col(c).alias(f"x_{c}") for c in stars.columns if c != "a"])
     y = stars.select("a", *[F.col(c).alias(f"y_{c}") for c in stars.columns if c != "a"])
-    both = x.join(y, "a").where((F.col("x_part") != F.col("y_part")) & condition)
+    open_ = F.expr("x_part <> y_part AND (x_home <> y_home OR x_home = a)")
+    both = x.join(y, "a").where(open_ & condition)
     return both.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"), F.lit(False).alias("deep")).distinct()
 
 
@@ -195,13 +208,14 @@ def linked_classes(members: DataFrame, texts: DataFrame, words: int, threshold:
     stars, links = _stars(members, F.col("low") != F.col("high")), None
     for turn in range(1, ROUNDS + 1):
         sizes = cut_lineage(stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
-        told = cut_lineage(compared(stars.join(sizes, "a").select("a", "b", (F.col("n") > SMALL).alias("deep")), texts, words, threshold))
+        deep = stars.join(sizes, "a").select("a", "b", (F.col("n") > SMALL).alias("deep"))
+        told = cut_lineage(compared(deep, texts, words, threshold))
         found = told.where("linked").select("a", "b")
         links = found if links is None else links.union(found)
         joined = components(links)
-        placed = stars.join(joined.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("part"))
-        parts = placed.groupBy("a").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"))
-        opened = cut_lineage(parts.where(F.col("p") != F.col("q")).select("a", "n"))
+        placed = cut_lineage(stars.join(joined.withColumnRenamed("node", "b"), "b", "left").select(
+            "a", "b", "home", F.coalesce("component", "b").alias("part")))
+        opened = _opened(placed, "a")
         if opened.isEmpty():
             return joined
         placed = cut_lineage(placed.join(opened, "a"))
@@ -216,11 +230,9 @@ def linked_classes(members: DataFrame, texts: DataFrame, words: int, threshold:
             enough = F.expr(
                 f"NOT x_linked AND y_lacks > y_adds AND {threshold} * (x_size_a + x_adds + y_adds) - (x_size_a - x_lacks - y_lacks)"
                 f" <= (1 + {threshold}) * least(x_lacks, y_lacks) + 1e-6")
-            own = cut_lineage(large.select("part", "b", "a", F.explode("added").alias("own")).select(
-                F.xxhash64("a", "own").alias("bucket"), "b", "part"))
-            inner = own.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"))
-            inner = cut_lineage(inner.where("p <> q").select("bucket", "n"))
-            own = cut_lineage(own.join(inner, "bucket"))
+            own = cut_lineage(large.select("a", "b", "home", "part", F.explode("added").alias("own")).withColumn(
+                "bucket", F.xxhash64("a", "own")))
+            own = cut_lineage(own.join(_opened(own, "bucket"), "bucket"))
             pairs = pairs.union(_across(lack, enough)).union(_all_pairs(own.where(F.col("n") <= SUB_SMALL), "bucket"))
         pairs = cut_lineage(pairs.distinct())
         links = links.union(cut_lineage(compared(pairs, texts, words, threshold)).where("linked").select("a", "b"))
