@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from labelwright.session import ensure_checkpoint_dir
 
-MASK = (1 << 64) - 1
+BATCH_ROWS = 500
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STIR_1 = np.uint64(0xFF51AFD7ED558CCD)
 STIR_2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -86,11 +86,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     A checkpoint would keep what the optimiser knew of its columns and of their
     partitioning; over the turns of a loop that multiplies until planning takes
     longer than the work.  A table is also smaller and read by column.
+
+    Rows hold whole texts, so Python gets them in batches of ``BATCH_ROWS``
+    meanwhile: ten thousand at once are more than a small executor has room for.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

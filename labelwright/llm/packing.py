@@ -53,11 +53,17 @@ def byte_bpe(vocabulary: str, ranks: str | None = None, pattern: str | None = No
     Given the same vocabulary as ranks, plain Latin texts without a special
     token's string go the faster way to the same ids.
     """
-    from tokenizers import Tokenizer
+    @lru_cache(maxsize=1)
+    def tokenizer():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(vocabulary)
+
+    def slow(text: str) -> list[int]:
+        return tokenizer().encode(text, add_special_tokens=False).ids
 
-    slow = Tokenizer.from_file(vocabulary)
     if not ranks:
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
+        return slow
     import tiktoken
 
     with open(ranks, "rb") as f:
@@ -66,7 +72,7 @@ def byte_bpe(vocabulary: str, ranks: str | None = None, pattern: str | None = No
 
     def ids(text: str) -> list[int]:
         if "<|" in text or _PLAIN.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow(text)
         return fast.encode_ordinary(text)
 
     return ids
