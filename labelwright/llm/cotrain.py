@@ -163,7 +163,7 @@ def train(
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), *_meta_columns(docs))
     # The chosen ids are at most max_labelled + max_unlabelled rows: a broadcast of proven size.
     rows = rows.join(F.broadcast(chosen), "doc")
-    kind = "doc string, y int, view_text array<double>, view_meta array<double>"
+    kind = "doc string, y int, view_text array<float>, view_meta array<float>"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -171,23 +171,24 @@ def train(
             if batch.num_rows:
                 views = _views(*(batch.column(c) for c in ("text", *META)), cache)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc"), batch.column("y"), *(pa.array(list(v), pa.list_(pa.float64())) for v in views)],
+                    [batch.column("doc"), batch.column("y"), *(pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())) for v in views)],
                     ["doc", "y", "view_text", "view_meta"])
 
     rows = rows.withColumn("doc", F.col("doc").cast("string"))
-    got = rows.mapInArrow(features, kind).toPandas().sort_values("doc", kind="stable")
-    if not {0, 1} <= set(got["y"]):
-        return None
-    held = np.array([xxhash.xxh32_intdigest(d) % 4 == 0 for d in got["doc"]])
+    # Flat arrays, never a Python object per row: the driver holds a few tens of megabytes.
+    got = rows.mapInArrow(features, kind).toArrow().sort_by("doc").combine_chunks()
     y = got["y"].to_numpy()
-    if any(not {0, 1} <= set(y[part & (y >= 0)]) for part in (held, ~held)):
-        return _small(got, y)
-    return CoTrained(np.stack(got["view_text"]), np.stack(got["view_meta"]), y, held)
+    if not {0, 1} <= set(y.tolist()):
+        return None
+    held = np.array([xxhash.xxh32_intdigest(d) % 4 == 0 for d in got["doc"].to_pylist()])
+    a, b = (got[c].combine_chunks().flatten().to_numpy().reshape(len(y), -1) for c in ("view_text", "view_meta"))
+    if any(not {0, 1} <= set(y[part & (y >= 0)].tolist()) for part in (held, ~held)):
+        return _small(a, b, y)
+    return CoTrained(a, b, y, held)
 
 
-def _small(got, y: np.ndarray) -> CoTrained:
+def _small(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> CoTrained:
     """Too few labels to set some aside: the same rows train and calibrate."""
-    a, b = np.stack(got["view_text"]), np.stack(got["view_meta"])
     twice = np.concatenate([y, y[y >= 0]])
     held = np.arange(len(twice)) >= len(y)
     return CoTrained(np.concatenate([a, a[y >= 0]]), np.concatenate([b, b[y >= 0]]), twice, held)
