@@ -39,9 +39,11 @@ RIDGE = 1e-3
 EXAMPLE_WEIGHT = 6
 
 # Fixed values of the HTML standard.
-RAW = frozenset("script style noscript template iframe textarea select svg math title object head".split())
+RAW = frozenset("script style noscript template iframe textarea select svg title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object q s samp small span strike strong sub sup time tt u var wbr "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+                   "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 # Elements that stop such an implied end.
@@ -51,6 +53,10 @@ STATING = frozenset(("anc=article", "anc=main"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
+# What ends a raw element: its own end tag, whatever stands before; a title also ends with its head.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+_RAW_END["title"] = re.compile(r"</(?:title|head)(?=[\s/>]|\Z)|<body(?=[\s/>]|\Z)", re.I)
+_HEAD_END = re.compile(r"</head(?=[\s/>]|\Z)|<body(?=[\s/>]|\Z)", re.I)
 _NAMED = re.compile(r"(class|id|role|data-keep|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -80,13 +86,31 @@ def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool | None]:
     return tuple(out), keep
 
 
+def _tokens(page: str) -> Iterator[re.Match[str]]:
+    """Tags and texts in order; what raw elements hold is passed over, not cut into tags."""
+    at, endless = 0, set()
+    while at < len(page):
+        for m in _TOKEN.finditer(page, at):
+            yield m
+            name = (m[2] or m[5] or "").lower()
+            if name in RAW and not (m[1] or m[4]) and not (m[3] or m[6] or "").rstrip().endswith("/"):
+                stop = None if name in endless else _RAW_END[name].search(page, m.end())
+                if stop is None:
+                    # Never closed: it ends where its head ends, or with the page.
+                    endless.add(name)
+                    stop = _HEAD_END.search(page, m.end())
+                at = stop.start() if stop else len(page)
+                break
+        else:
+            return
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool | None]] = []
     parts: list[str] = []
     state = {"linked": 0}
-    raw: str | None = None
 
     def end() -> None:
         if parts:
@@ -109,11 +133,11 @@ def blocks(page: str | None) -> list[Block]:
             if stack[i][0] in inside:
                 return
 
-    for m in _TOKEN.finditer(page or ""):
+    for m in _tokens(page or ""):
         tag = m[2] or m[5]
         if not tag:
             text = m[0]
-            if raw is None and (text[0] != "<" or text == "<"):
+            if text[0] != "<" or text == "<":
                 if "&" in text:
                     text = entities.unescape(text)
                 parts.append(text)
@@ -121,19 +145,13 @@ def blocks(page: str | None) -> list[Block]:
                     state["linked"] += len(text.strip())
             continue
         tag = tag.lower()
-        closing = m[1] or m[4]
-        if raw is not None:
-            # A head that is never closed ends where the body begins.
-            if closing and tag == raw or raw == "head" and tag == "body":
-                raw = None
-            if raw is not None or closing:
-                continue
-        if closing:
+        if m[1] or m[4]:
             if tag == "p" and not any(t == "p" for t, _, _ in stack):
                 end()
             close((tag,))
-        elif tag in RAW:
-            raw = tag if not (m[3] or m[6] or "").rstrip().endswith("/") else None
+        elif tag == "head" or tag in RAW:
+            # What may stand in a head has no text outside of raw elements: whatever else comes is the body's.
+            continue
         elif tag in VOID:
             if tag in ("br", "hr"):
                 end()

@@ -283,6 +283,24 @@ def test_html_cases(field, page, want):
     assert html_crf.main_text(field, page) == want
 
 
+RAW_PAGES = [
+    ("<script>for(e=0;e<t;e++)f()</script><p>Text", ["Text"]),
+    ("<p>One</p><style>a<b{}</style><SCRIPT>if(a<b&&c<d)g('</p>')</SCRIPT ><p>Two", ["One", "Two"]),
+    ("<script>x='<!--'</script><p>Text</p><!-- end -->", ["Text"]),
+    ("<textarea><b</textarea><p>Text", ["Text"]), ("<svg><title>x</title><path d='a'/></svg><p>Text", ["Text"]),
+    ("<html><head><title>t</title><meta charset=x><p>One<p>Two", ["One", "Two"]), ("<head><link rel=x>Bare text", ["Bare text"]),
+    ("<head><title>t</head><body><p>Text", ["Text"]), ("<head><title>t<body><p>Text<svg><title>x</title></svg>", ["Text"]),
+    ("<head><script>f(<b)<body><p>Text", ["Text"]), ("<head><script>w('</head><body>')</script></head><p>Text", ["Text"]),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.", ["So x=1 holds."]),
+    ("<object data=a><param name=b><p>Instead.</p></object>", ["Instead."]), ("<p>a</p><script>never", ["a"]),
+]
+
+
+@pytest.mark.parametrize("page, want", RAW_PAGES)
+def test_html_raw_elements(page, want):
+    assert [b.text for b in html_crf.blocks(page)] == want
+
+
 def test_html_examples_are_learned(field):
     for page in html_crf.EXAMPLES:
         read = html_crf.blocks(page)
