@@ -82,8 +82,8 @@ def _named(tag: str, attributes: str) -> tuple[tuple[str, ...], bool | None]:
             elif key == "role":
                 out.append(f"role={value.lower()}")
             else:
-                out += [f"name={w.lower()}" for w in _NAME_WORD.findall(value)[:12]]
-    return tuple(out), keep
+                out += [f"name={w.lower()}" for w in _NAME_WORD.findall(value)]
+    return tuple(dict.fromkeys(out)), keep
 
 
 def _tokens(page: str) -> Iterator[re.Match[str]]:

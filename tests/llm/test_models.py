@@ -301,6 +301,14 @@ def test_html_raw_elements(page, want):
     assert [b.text for b in html_crf.blocks(page)] == want
 
 
+def test_html_name_words_are_all_read(field):
+    names = " ".join(f"u{chr(97 + i)}" for i in range(20))
+    page = f"<main><p>Text of it.</p><div class='{names} px {names} advertisement'>Buy this now.</div></main>"
+    where = html_crf.blocks(page)[1].where
+    assert "name=advertisement" in where and len(where) == len(set(where)) == 25
+    assert html_crf.main_text(field, page) == "Text of it."
+
+
 def test_html_examples_are_learned(field):
     for page in html_crf.EXAMPLES:
         read = html_crf.blocks(page)
