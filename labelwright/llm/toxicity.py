@@ -13,7 +13,8 @@ each with its own half of the unlabelled rows, are averaged.
 Features are the presence of words and of word beginnings (3 to 7 bytes, for
 words that vary in their ending); those that toxic texts have clearly oftener
 and that make a text toxic with some likelihood, pi P(f | toxic) / P(f), are kept.
-That ratio far above 1 means a feature of the few confirmed texts only: left out.  ``MAX_TOXIC`` and ``MAX_UNLABELLED`` bound the
+Where the labels are richer in toxic texts than the unlabelled rows, that ratio is far above 1
+for the purest features: it has no upper bound.  ``MAX_TOXIC`` and ``MAX_UNLABELLED`` bound the
 rows for fitting, ``MAX_FEATURES`` the model; all whole texts are scored, where
 they lie.
 
@@ -42,7 +43,7 @@ MAX_FEATURES = 512
 SLOTS = 1 << 22
 MIN_DOCUMENTS = 3
 MIN_Z = 3.0
-LIKELIHOOD = (0.4, 3.0)
+LIKELIHOOD = 0.4
 PREFIXES = (3, 4, 5, 6, 7)
 CLASSIFIERS = 3
 STEPS = 200
@@ -141,8 +142,7 @@ def select_features(rows, prior: float) -> dict[int, int]:
     pooled = (u + p) / (nu + np_)
     z = (p / np_ - u / nu) / np.sqrt(pooled * (1 - pooled) * (1 / nu + 1 / np_) + 1e-12)
     likely = prior * (p / np_) / np.maximum(u / nu, 1e-9)
-    few = (rows["toxic"] == 0).sum() * prior < 5
-    fit = np.flatnonzero((z >= MIN_Z) & (likely >= LIKELIHOOD[0]) & ((likely <= LIKELIHOOD[1]) | few))
+    fit = np.flatnonzero((z >= MIN_Z) & (likely >= LIKELIHOOD))
     best = fit[np.argsort(-z[fit], kind="stable")[:MAX_FEATURES]]
     return {int(names[k]): i for i, k in enumerate(best)}
 

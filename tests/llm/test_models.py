@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,23 @@ def test_non_negative_risk_recovers_the_posterior():
     assert (score(clean) < 0.5).mean() > 0.97 and (score(toxic) > 0.5).mean() > 0.7
 
 
+@pytest.mark.parametrize("times", [5, 10])
+def test_toxicity_of_enriched_labels(times):
+    """The labels hold ``times`` the share of toxic texts that the unlabelled rows hold."""
+    rng = np.random.default_rng(times)
+    pick = lambda kind, n, k: [f"{kind}{i}{kind}" for i in rng.integers(0, n, k)]
+    toxic = lambda: " ".join(pick("vile", 6, 2) + pick("edgy", 6, 2) + pick("w", 300, 20))
+    clean = lambda: " ".join(pick("edgy", 6, int(rng.random() < 0.15)) + pick("w", 300, 20))
+    prior, n = 0.2, 2000
+    texts = [(toxic(), 1) for _ in range(200)] + [(toxic() if i < n * prior / times else clean(), 0) for i in range(n)]
+    rows = pd.DataFrame([(f"{i}", t, y) for i, (t, y) in enumerate(texts)], columns=["doc", "text", "toxic"])
+    model = toxicity.fit(rows, prior)
+    assert all(toxicity.features_of(f"vile{i}vile".encode())[0] in model.index for i in range(6))
+    score = lambda make: np.array(model.score([make() for _ in range(300)], toxicity.Weights(model.index)))
+    assert (score(toxic) >= queries.TOXIC_FROM).mean() > 0.95 and np.median(score(clean)) < 0.5
+    assert np.quantile(score(toxic), 0.05) > np.quantile(score(clean), 0.95)
+
+
 def test_toxicity_cases(spark):
     texts = [None, "", "..", "plain words here", "you are a moron", "moron " * 50_000]
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)] + [(None, "x", 0.1)], "doc_id long, text string, score double")
