@@ -48,7 +48,8 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = packed(docs, text=F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     df = df.select("*", F.btrim("text", F.lit(SPACE)).alias("body"))
     df = df.select("*", F.when(F.col("body") == "", F.expr(EMPTY)).otherwise(F.split("body", GAP, -1)).alias("words"))
-    df = df.select("*", F.expr("filter(split(text, '\\n', -1), x -> btrim(x, ' \\t\\n\\u000b\\f\\r') <> '')").alias("lines"))
+    # A literal of its own: in SQL text, \f would be read as the letter f.
+    df = df.select("*", F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("lines"))
     df = df.select(
         "row", "text", F.size("words").alias("n"), F.char_length(F.array_join("words", "")).alias("word_chars"),
         F.expr(f"regexp_count(text, '{SYMBOL}')").alias("n_symbols"), F.size("lines").alias("n_full_lines"),

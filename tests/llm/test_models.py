@@ -75,6 +75,16 @@ def test_rules_cases_and_any_order(spark):
     assert quality_rules.judged(df.limit(0)).count() == 0
 
 
+def test_rules_lines_of_form_feeds_and_of_f(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    texts = [words + "\n\x0c" * 9, words + "\nf" * 9, words + "\n f \x0c\nff", "\x0c\n\x0c", "f\nf"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality_rules.judged(df, order=list(quality_rules.RULES)).orderBy("row.doc_id").collect()
+    assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got] == [base_counts(t) for t in texts]
+    assert [r.n_full_lines for r in got] == [1, 10, 3, 0, 2] and [r.n_dup_lines for r in got] == [0, 8, 0, 0, 1]
+    assert [r.kept for r in got] == [True, False, True, False, False]
+
+
 def test_rules_order_is_by_rejection_per_cost(spark):
     df = spark.createDataFrame([(i, "some words here " * 30 + str(i)) for i in range(50)], "doc_id long, text string")
     never = {"never": "n_words < 0", "always": "n_words >= 0"}
