@@ -2,11 +2,11 @@
 
 The text of a document is split once.  Each line with a long enough key becomes
 a narrow row (document, position, 128-bit hash of the key).  Those rows are
-dealt out by ranges of (hash, document) and sorted within a range by document
-and position, so the lines of one hash are read in document order; a hash that
-a third of all documents hold simply covers several ranges.  Each range streams
-out the first occurrence of a hash in each document and sums them up; one row
-per hash and range is shuffled again.  Lines to drop go back as sparse bitmaps
+dealt out by ranges of (hash, document); a hash that a third of all documents
+hold simply covers several ranges.  Each range makes (hash, document) distinct
+by hashing and sums up; one row per hash and range is shuffled again.  The sort
+within ranges and the first position, though written, do not run: no result
+depends on them and the optimiser removes both.  Lines to drop go back as sparse bitmaps
 of 64 positions a word, not as text.
 
 Results: a document is a doc_id.  Null and empty texts are one empty line and
