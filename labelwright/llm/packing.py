@@ -43,7 +43,7 @@ ROUNDS = 300
 RATE = 1.0
 SHARE = 0.5
 # Characters on which both readers of the vocabulary are tested to agree.
-_PLAIN = re.compile(r"[^\x00-\x7f¡-ɏ‘-‟]")
+PLAIN = re.compile(r"[^\x00-\x7f¡-ɏ‘-‟]")
 
 
 @lru_cache(maxsize=4)
@@ -71,7 +71,7 @@ def byte_bpe(vocabulary: str, ranks: str | None = None, pattern: str | None = No
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def ids(text: str) -> list[int]:
-        if "<|" in text or _PLAIN.search(text):
+        if "<|" in text or PLAIN.search(text):
             return slow(text)
         return fast.encode_ordinary(text)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm import (
-    cotrain, html_crf, langid, line_dedup, minhash, packing, quality_rules, sql, toxicity, url_templates, winnow,
+    alignment, cotrain, html_crf, langid, line_dedup, minhash, packing, quality_rules, sql, toxicity, url_templates, whitening, winnow,
 )
 from labelwright.llm.common import crc_of
 
@@ -110,11 +110,39 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
         winnow.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def public_readers():
+    """The two tokenizers of the alignment query."""
+    import public_tokenizers
+
+    return (
+        alignment.byte_level_reader(
+            public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        alignment.piece_reader(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers over every text; see ``alignment``."""
+    return alignment.alignment(table(spark, folder, "documents"), public_readers).withColumnRenamed("doc", "doc_id")
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector's first sixteen whitened components; see ``whitening``."""
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.train(vectors)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained])
+    rows = whitening.whitened(vectors, model).select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+        "whitened", F.element_at(explained.cast("array<double>"), F.col("at") + 1).alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quality_rules, op3_toxicity, op4_line_dedup, op5_quality_cotraining, op6_url_templates,
-        op7_minhash_near_dedup, op8_language_id, op9_html_crf, op10_benchmark_decontamination)
+        op7_minhash_near_dedup, op8_language_id, op9_html_crf, op10_benchmark_decontamination, op12_tokenizer_alignment,
+        op13_embedding_whitening)
 }
 
 # Models, groups and packings are not SQL's; their queries are tested against plain Python.
