@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm import (
-    alignment, cotrain, html_crf, langid, line_dedup, minhash, packing, quality_rules, sql, toxicity, url_templates, whitening, winnow,
+    alignment, cotrain, factors, html_crf, langid, line_dedup, minhash, packing, quality_rules, sql, toxicity, url_templates, whitening, winnow,
 )
 from labelwright.llm.common import crc_of
 
@@ -110,6 +110,13 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
         winnow.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words before and removed, and the digest of the kept words; see ``factors``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return factors.without_repeats(docs, counts=True).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def public_readers():
     """The two tokenizers of the alignment query."""
     import public_tokenizers
@@ -141,7 +148,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quality_rules, op3_toxicity, op4_line_dedup, op5_quality_cotraining, op6_url_templates,
-        op7_minhash_near_dedup, op8_language_id, op9_html_crf, op10_benchmark_decontamination, op12_tokenizer_alignment,
+        op7_minhash_near_dedup, op8_language_id, op9_html_crf, op10_benchmark_decontamination, op11_substring_dedup, op12_tokenizer_alignment,
         op13_embedding_whitening)
 }
 
