@@ -24,9 +24,11 @@ table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import accumulate, count
 from typing import NamedTuple
 
 import numpy as np
@@ -48,6 +50,10 @@ class Reader:
     encode: Callable[[str], list[int]]
     bytes_of: list[bytes]
 
+    @cached_property
+    def lengths(self) -> list[int]:
+        return list(map(len, self.bytes_of))
+
 
 class Aligned(NamedTuple):
     a: list[int]
@@ -71,31 +77,35 @@ def byte_alphabet() -> dict[str, int]:
 def byte_level_reader(vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> Reader:
     """Byte-level BPE by a ``tokenizers`` file, fed with a space before the text; special tokens' strings are plain text.
 
-    Given the same vocabulary as ranks, plain Latin texts take the faster reader to the same ids.
+    Given the same vocabulary as ranks, plain Latin texts take the faster reader to
+    the same ids, and the file is read once another text comes along.
     """
-    from tokenizers import Tokenizer
+    @lru_cache(maxsize=1)
+    def whole():
+        from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(vocabulary)
-    whole.encode_special_tokens = True
-    alphabet = byte_alphabet()
-    names = {i: name for name, i in whole.get_vocab(with_added_tokens=True).items()}
-    bytes_of = [
-        bytes(alphabet[c] for c in names[i]) if i in names and all(c in alphabet for c in names[i]) else b""
-        for i in range(max(names) + 1)]
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
 
     def slow(text: str) -> list[int]:
-        return whole.encode(" " + text, add_special_tokens=False).ids
+        return whole().encode(" " + text, add_special_tokens=False).ids
 
     if not ranks:
-        return Reader(slow, bytes_of)
+        alphabet = byte_alphabet()
+        names = {i: name for name, i in whole().get_vocab(with_added_tokens=True).items()}
+        return Reader(slow, [bytes(alphabet[c] for c in names[i]) if i in names else b"" for i in range(max(names) + 1)])
     import base64
 
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    by_rank = {rank: token for token, rank in table.items()}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return Reader(lambda text: slow(text) if PLAIN.search(text) else fast.encode_ordinary(" " + text), bytes_of)
+    return Reader(
+        lambda text: slow(text) if PLAIN.search(text) else fast.encode_ordinary(" " + text),
+        [by_rank.get(i, b"") for i in range(max(by_rank) + 1)])
 
 
 @lru_cache(maxsize=2)
@@ -114,13 +124,9 @@ def piece_reader(model: str) -> Reader:
     return Reader(lambda text: pieces.encode(text, num_threads=1), [own_bytes(i) for i in range(pieces.get_piece_size())])
 
 
-def token_ends(ids: list[int], bytes_of: list[bytes]) -> dict[int, int]:
+def token_ends(ids: list[int], lengths: list[int]) -> dict[int, int]:
     """Cumulative byte end of every token, and the index of the token that ends there."""
-    ends, at = {}, 0
-    for i, token in enumerate(ids):
-        at += len(bytes_of[token])
-        ends[at] = i
-    return ends
+    return dict(zip(accumulate(map(lengths.__getitem__, ids)), count()))
 
 
 def aligned(text: str | None, first: Reader, second: Reader) -> Aligned:
@@ -131,19 +137,36 @@ def aligned(text: str | None, first: Reader, second: Reader) -> Aligned:
     a, b = first.encode(text), second.encode(text)
     if b"".join(map(first.bytes_of.__getitem__, a)) != want or b"".join(map(second.bytes_of.__getitem__, b)) != want:
         return NOTHING
-    ends_a, ends_b = token_ends(a, first.bytes_of), token_ends(b, second.bytes_of)
-    common = sorted(ends_a.keys() & ends_b.keys())
-    return Aligned(a, b, [ends_a[end] for end in common], [ends_b[end] for end in common])
+    ends_a, ends_b = token_ends(a, first.lengths), token_ends(b, second.lengths)
+    # Ends grow, so the dictionaries' keys are in order and what both hold comes out sorted.
+    common = list(filter(ends_b.__contains__, ends_a))
+    return Aligned(a, b, list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common)))
+
+
+def written(found: Aligned, names: list[str]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides, group by group; ``names`` holds the ids as text."""
+    def sides(ids: list[int], ends: list[int]) -> list[str]:
+        shown, i = [], 0
+        for end in ends:
+            shown.append(names[ids[i]] if i == end else ",".join([names[k] for k in ids[i : end + 1]]))
+            i = end + 1
+        return shown
+
+    return ";".join(map("|".join, zip(sides(found.a, found.ends_a), sides(found.b, found.ends_b))))
 
 
-def written(found: Aligned) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides, group by group."""
-    left, right = list(map(str, found.a)), list(map(str, found.b))
-    groups, i, j = [], 0, 0
-    for end_a, end_b in zip(found.ends_a, found.ends_b):
-        groups.append(f"{','.join(left[i : end_a + 1])}|{','.join(right[j : end_b + 1])}")
-        i, j = end_a + 1, end_b + 1
-    return ";".join(groups)
+class Digest(NamedTuple):
+    n_a: int
+    n_b: int
+    link_a: bytes
+    link_b: bytes
+    groups: str
+
+
+def digested(found: Aligned, names: list[str]) -> Digest:
+    """Counts, links (32-bit ids) and written groups."""
+    link_a, link_b = [found.a[i] for i in found.ends_a], [found.b[j] for j in found.ends_b]
+    return Digest(len(found.a), len(found.b), array("i", link_a).tobytes(), array("i", link_b).tobytes(), written(found, names))
 
 
 def pair_bound(*readers: Reader) -> int:
@@ -169,22 +192,25 @@ def groups(docs: DataFrame, readers: Readers, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = readers()
-        listed = pa.list_(pa.int32())
+        names, listed = list(map(str, range(max(len(first.bytes_of), len(second.bytes_of))))), pa.list_(pa.int32())
         for batch in batches:
-            rows = (aligned(text.as_py(), first, second) for text in batch.column(1))
             if not digest:
+                rows = (aligned(text.as_py(), first, second) for text in batch.column(1))
                 columns = [pa.array(x, listed) for x in zip(*rows)] if batch.num_rows else [pa.array([], listed)] * len(lists)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", *lists])
                 continue
             n_a, n_b, link_a, link_b, sha = [], [], [], [], []
-            for found in rows:
-                n_a.append(len(found.a)), n_b.append(len(found.b))
-                link_a.append(np.array([found.a[i] for i in found.ends_a], np.int32))
-                link_b.append(np.array([found.b[j] for j in found.ends_b], np.int32))
-                sha.append(hashlib.sha256(written(found).encode()).hexdigest() if found.a else "")
+            for text in batch.column(1):
+                found = digested(aligned(text.as_py(), first, second), names)
+                n_a.append(found.n_a), n_b.append(found.n_b)
+                link_a.append(found.link_a), link_b.append(found.link_b)
+                sha.append(hashlib.sha256(found.groups.encode()).hexdigest() if found.groups else "")
+            ends = np.cumsum([0, *(len(x) // 4 for x in link_a)])
+            at = pa.array(ends, pa.int32())
+            links = (pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(x), np.int32))) for x in (link_a, link_b))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(link_a, listed),
-                 pa.array(link_b, listed), pa.array(sha, pa.string())], [f.name for f in kind.fields])
+                [batch.column(0), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), *links, pa.array(sha, pa.string())],
+                [f.name for f in kind.fields])
 
     return docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, kind)
 

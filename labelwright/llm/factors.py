@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelwright.llm.common import WordHashes, cut_lineage, gram_hashes, packed, stirred, text_key, unpacked
 from labelwright.llm.winnow import print_filter
@@ -185,17 +186,17 @@ def parsed(blocks: DataFrame, window: int) -> DataFrame:
     longs = [*CLASS, "start", "stop", "w1", "w2"]
     kind = T.StructType([*[T.StructField(c, T.LongType()) for c in longs], blocks.schema["doc"]])
 
+    fields = to_arrow_schema(kind)
+
     def table(rows: list[tuple], docs: list) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [[]] * len(longs)
         return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int64()) for c in columns), pa.array(docs, doc_type)], [f.name for f in kind.fields])
+            [pa.array(c, f.type) for c, f in zip([*columns, docs], fields)], [f.name for f in kind.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal doc_type
         cache, block, anchor, doc, first = WordHashes(), Block(), None, None, True
         open_rows, open_docs = [], []
         for batch in batches:
-            doc_type = batch.column(3).type
             rows, docs = [], []
             for a, c1, c2, d, stretch in zip(*(c.to_pylist() for c in batch.columns)):
                 if a != anchor:
@@ -221,7 +222,6 @@ def parsed(blocks: DataFrame, window: int) -> DataFrame:
         if anchor is not None:
             yield table(open_rows, open_docs)
 
-    doc_type = None
     ordered = blocks.repartitionByRange("anchor", "doc").sortWithinPartitions("anchor", "doc")
     return ordered.select(*CLASS, "doc", "words").mapInArrow(run, kind)
 

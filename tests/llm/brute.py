@@ -119,3 +119,21 @@ def check_packing(docs, rows, ids_of, capacity):
             at += length
         assert at <= capacity
     return len(by_sequence)
+
+
+def passages(rows, window):
+    """(doc, words, removed words, kept text): words inside windows that also start in a smaller document."""
+    split = [(d, (t or "").encode().split()) for d, t in rows]
+    first = {}
+    for d, words in split:
+        for i in range(len(words) - window + 1 if d is not None else 0):
+            key = tuple(words[i : i + window])
+            first[key] = min(first.get(key, d), d)
+    out = []
+    for d, words in split:
+        gone = set()
+        for i in range(len(words) - window + 1 if d is not None else 0):
+            if first[tuple(words[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        out.append((d, len(words), len(gone), b" ".join(w for i, w in enumerate(words) if i not in gone).decode()))
+    return out
