@@ -14,6 +14,7 @@ _CASTS = {
     "unit_vectors": {"dimension": "INTEGER"},
     "oldest_chunks": {"score": "DOUBLE"},
     "bm25_documents": {"rank": "INTEGER"},
+    "bm25_blocks": {"n_blocks": "BIGINT"},
     "bm25_provisions": {"rank": "INTEGER"},
     "dense_topk": {"rank": "INTEGER"},
     "dense_topk_streamed": {"rank": "INTEGER"},

@@ -19,6 +19,7 @@ from labelwright.operators.exact import exact_matches, ranked_exact
 from labelwright.operators.fuse import fuse, fused_rank
 from labelwright.operators.index import matching
 from labelwright.operators.intent import INTENT_RESULT, _entry, normalize_intent
+from labelwright.operators import postings as ps
 from labelwright.operators.lexical import bm25_topk, build_index, document_frequencies
 from labelwright.operators.rerank import rerank
 from labelwright.functions.text import tokens
@@ -26,7 +27,8 @@ from labelwright.plans.compliance import dispatch
 from labelwright.plans.retrieval import search
 from labelwright.plans.scan import scan_labels
 from labelwright.queries.labels import part_labels
-from labelwright.queries.tables import case, table, text
+from labelwright.queries.tables import case, new_folder, table, text
+from labelwright.session import cut_lineage
 
 
 def _documents(spark, d) -> DataFrame:
@@ -57,11 +59,41 @@ def token_document_frequency(spark, d):
     return freq.select("token", F.col("n_docs"))
 
 
+def _searched(spark, d) -> ps.Search:
+    index = ps.write_postings(_documents(spark, d), new_folder(spark, "postings"), ["text"])
+    return ps.search_postings(_benchmark(spark, d), index, 20)
+
+
 def bm25_documents(spark, d):
-    """Benchmark passages searched in the documents; the queries are held, the documents stream."""
-    index = build_index(_documents(spark, d), ["text"])
-    return bm25_topk(_benchmark(spark, d), index, 20, hold="queries").select(
-        "query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+    """Benchmark passages searched in the written index of the documents."""
+    return _searched(spark, d).top.select("query_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
+def bm25_blocks(spark, d):
+    """Postings blocks each of these searches meets."""
+    return _searched(spark, d).bounds.groupBy("query_id").agg(F.sum("n_blocks").alias("n_blocks"), F.count(F.lit(1)).alias("n_segments"))
+
+
+def _changed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents; a batch that rewrites the labelled ones of good quality and adds the benchmark; the ids of toxic ones, which go."""
+    labels = table(spark, d, "labels")
+    docs = _documents(spark, d)
+    good = labels.filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    again = docs.join(good, "chunk_id", "left_semi").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" revised edition")))
+    added = _benchmark(spark, d).select(
+        (-1 - F.col("query_id")).alias("chunk_id"), (-1 - F.col("query_id")).alias("insert_ord"), F.col("query").alias("text"))
+    return docs, again.unionByName(added), labels.filter("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
+
+
+def bm25_weights_kept(spark, d):
+    """Token weights after an upsert and a deletion, from differences alone."""
+    docs, batch, gone = _changed(spark, d)
+    before, batch = ps.tokenised(docs, ["text"]), ps.tokenised(batch, ["text"])
+    after_upsert = ps.merged(document_frequencies(before), ps.replaced(before, batch))
+    store = before.join(batch, "chunk_id", "left_anti").unionByName(batch)
+    statistics = ps.merged(after_upsert, ps.difference(left=store.join(gone, "chunk_id", "left_semi")))
+    weights, n, mean = ps.weights_of(cut_lineage(statistics))
+    return weights.select("token", F.round("idf", 6).alias("idf"), F.lit(n).cast("long").alias("n"), F.round(F.lit(mean), 6).alias("mean"))
 
 
 def bm25_provisions(spark, d):
@@ -284,6 +316,8 @@ def compliance_evidence(spark, d):
 QUERIES = {
     "token_document_frequency": token_document_frequency,
     "bm25_documents": bm25_documents,
+    "bm25_blocks": bm25_blocks,
+    "bm25_weights_kept": bm25_weights_kept,
     "bm25_provisions": bm25_provisions,
     "dense_topk": dense_topk_query,
     "dense_topk_streamed": dense_topk_streamed,
@@ -454,6 +488,20 @@ ORACLE = {
     "token_document_frequency": rf"""
         SELECT token, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token""",
     "bm25_documents": f"WITH {_bm25(_DOCS, _ITEMS, 20)} SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM bm",
+    "bm25_blocks": rf"""
+        WITH tok AS (SELECT DISTINCT doc_id // {ps.SEGMENT} AS segment, unnest({_TOKENS.format('text')}) AS token FROM documents),
+        q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format('text')}) AS token FROM benchmark)
+        SELECT query_id, count(*) AS n_blocks, count(DISTINCT segment) AS n_segments FROM q JOIN tok USING (token) GROUP BY query_id""",
+    "bm25_weights_kept": rf"""
+        WITH docs AS (
+          SELECT {_TOKENS.format("coalesce(text, '') || CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN ' revised edition' ELSE '' END")} AS toks
+          FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+          UNION ALL SELECT {_TOKENS.format('text')} FROM benchmark),
+        st AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM docs),
+        df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS token FROM docs) GROUP BY token),
+        raw AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st),
+        fl AS (SELECT 0.25 * avg(idf) AS fl FROM raw)
+        SELECT token, round(CASE WHEN idf < 0 THEN fl ELSE idf END, 6) AS idf, n, round(mean, 6) AS mean FROM raw, fl, st""",
     "bm25_provisions": f"WITH {_bm25(_provision_docs(), _TURNS, 5)} SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM bm",
     "dense_topk": f"WITH {_CENTROID} {_TOP.format('', 20)}",
     "dense_topk_streamed": f"WITH {_CENTROID} {_TOP.format('', 20)}",

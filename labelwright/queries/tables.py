@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.session import spread
+from labelwright.session import ensure_checkpoint_dir, spread
 
 
 def table(spark: SparkSession, folder: str, name: str, even: bool = False) -> DataFrame:
@@ -14,6 +16,12 @@ def table(spark: SparkSession, folder: str, name: str, even: bool = False) -> Da
     return spread(df) if even else df
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this run, where every executor can write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
 def money(c: str | Column) -> Column:
     """A price as text with two decimals."""
     col = F.col(c) if isinstance(c, str) else c
