@@ -9,9 +9,8 @@ over the occupied places ``p``.  Two arrays replace a family of hash functions.
 with probability 1 - (1 - 0.8**5)**28 = 1 - 1.5e-5, at 0.9 all but certainly.
 
 Documents with equal shingle sets form one class from the start and only the
-class (its least doc_id) takes part in banding.  Inside a bucket
-
-Documents that share a bucket are gathered around pivots:
+class (its least doc_id) takes part in banding.  Documents that share a bucket are
+gathered around pivots:
 
 1. The pivot of a bucket is the member that meets most others over all buckets,
    likely the text the others were made from.  A document's home is the foremost
@@ -27,10 +26,15 @@ Documents that share a bucket are gathered around pivots:
    |x & y| = |p| - r(x) - r(y) + s, where s counts the shingles of p both lack
    and the others both have; similarity t needs s >= (t (|p| + a(x) + a(y)) -
    (|p| - r(x) - r(y))) / (1 + t).  The first part of s is at most min(r(x),
-   r(y)).  So x and y are compared only if that alone can do, or if they share a
-   shingle that p lacks.  Those who share one are a bucket of their own: its
-   pairs are compared if it is small (``SUB_SMALL`` members), else the procedure
-   starts again there; stars left after ``ROUNDS`` rounds are treated as small.
+   r(y)).  So x and y are compared only if that alone can do, or if they share
+   enough shingles that p lacks: c(x, y), what is missing from s, and at least
+   c(x) = (t |p| - |p| + t a(x) + r(x) + t d) / (1 + t) whatever y is, d being the
+   least a - r of the star.  Of sets that share c(x) elements, the first a(x) -
+   c(x) + 1 elements of x in a common order hold one (a prefix filter); the order
+   is by how many members of the star hold a shingle, rarest first.  Those who
+   share a shingle of their prefixes are a bucket of their own: its pairs are
+   compared if it is small (``SUB_SMALL`` members), else the procedure starts
+   again there; in the last of ``ROUNDS`` rounds all are treated as small.
 
 No pair that shares a band and could be linked goes unexamined, and no large
 bucket gives all its pairs.
@@ -54,7 +58,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import STEP, WordHashes, cut_lineage, gram_hashes, packed, stirred, unpacked
+from labelwright.llm.common import STEP, WordHashes, cut_lineage, gram_hashes, packed, stirred, text_key, unpacked
 from labelwright.llm.components import components
 
 WORDS = 5
@@ -104,16 +108,16 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc, n_shingles, k1, k2, bands) of a (doc, text) table; k1, k2 name the set and are null when it is empty."""
+    """(doc, key, n_shingles, k1, k2, bands) of a (doc, key, text) table; k1, k2 name the set and are null when it is empty."""
     kind = T.StructType([
-        T.StructField("doc", docs.schema["doc"].dataType), T.StructField("n_shingles", T.LongType()),
+        T.StructField("doc", docs.schema["doc"].dataType), T.StructField("key", T.LongType()), T.StructField("n_shingles", T.LongType()),
         T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             n, k1, k2, sig = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(cache.of(words_of(text.as_py())), words)
                 n.append(len(s))
                 if not len(s):
@@ -123,7 +127,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 k2.append(int(np.add.reduce(stirred(s ^ STEP)).view(np.int64)))
                 sig.append(band_hashes(signature(s, bands * rows), bands, rows).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                  pa.array(sig, pa.list_(pa.int64()))], [f.name for f in kind.fields])
 
     return docs.mapInArrow(run, kind)
@@ -184,16 +188,32 @@ def _opened(rows: DataFrame, key: str) -> DataFrame:
     return cut_lineage(sums.where("p <> q AND (h <> i OR own > 1)").select(key, "n"))
 
 
-def _all_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Pairs (a, b, deep) to be looked at among the members of one ``key``; the groups are of bounded size."""
-    member = F.struct("b", "part", "home", (F.col("home") == F.col("a")).alias("own"))
+def _all_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Pairs (a, b, deep) to be looked at among the members of one ``key``: those whose sizes allow a link."""
+    member = F.struct("b", "part", "home", (F.col("home") == F.col("a")).alias("own"), "size_a", "lacks", "adds")
     sets = rows.groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("all")).select("all").distinct()
     one = sets.select("all", F.explode("all").alias("x"))
+    # What both can share beyond the pivot's part: see the module's text.
+    able = (f"{threshold} * (x.size_a + x.adds + y.adds) - (x.size_a - x.lacks - y.lacks)"
+            f" <= (1 + {threshold}) * (least(x.lacks, y.lacks) + least(x.adds, y.adds)) + 1e-6")
     two = one.select("x", F.explode(F.expr(
-        "filter(all, y -> y.b > x.b AND y.part <> x.part AND (y.home <> x.home OR x.own))")).alias("y"))
+        f"filter(all, y -> y.b > x.b AND y.part <> x.part AND (y.home <> x.home OR x.own) AND {able})")).alias("y"))
     return two.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(False).alias("deep")).distinct()
 
 
+def _prefixes(stars: DataFrame, threshold: float) -> DataFrame:
+    """The rarest added shingles of every member, one row each with a ``bucket``: a pair that shares enough shares one."""
+    own = stars.select("a", "b", F.explode("added").alias("own"))
+    held = own.groupBy("a", "own").agg(F.count(F.lit(1)).alias("n"))
+    ranked = own.join(held, ["a", "own"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "own"))).alias("keys"))
+    gains = stars.groupBy("a").agg(F.min(F.col("adds") - F.col("lacks")).alias("gain"))
+    both = stars.drop("added").join(gains, "a").join(ranked, ["a", "b"])
+    need = F.expr(f"cast(greatest(ceil(({threshold} * size_a - size_a + {threshold} * adds + lacks + {threshold} * gain) / (1 + {threshold}) - 1e-6), 1) AS int)")
+    prefix = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - need + 1, F.lit(0)))
+    rows = both.select("a", "b", "home", "part", "size_a", "lacks", "adds", F.explode(prefix).alias("key")).where("key.n > 1")
+    return cut_lineage(rows.select("a", "b", "home", "part", "size_a", "lacks", "adds", F.xxhash64("a", "key.own").alias("bucket")))
+
+
 def _across(stars: DataFrame, condition: Column) -> DataFrame:
     """Pairs (a, b, deep) to be looked at among the members x, y of one star for which ``condition`` holds."""
     x = stars.select("a", *[F.col(c).alias(f"x_{c}") for c in stars.columns if c != "a"])
@@ -218,22 +238,17 @@ def linked_classes(members: DataFrame, texts: DataFrame, words: int, threshold:
         opened = _opened(placed, "a")
         if opened.isEmpty():
             return joined
-        placed = cut_lineage(placed.join(opened, "a"))
+        placed = cut_lineage(placed.join(opened, "a").join(told, ["a", "b"]))
         few, large = placed.where(F.col("n") <= SMALL).drop("n"), placed.where(F.col("n") > SMALL).drop("n")
-        pairs = _all_pairs(few, "a")
-        if turn == ROUNDS:
-            pairs = pairs.union(_across(large, F.col("x_b") < F.col("y_b")))
-        else:
-            large = cut_lineage(large.join(told, ["a", "b"]))
-            # x is not linked with the pivot, y lacks more than it adds: else what both lack cannot be enough.
-            lack = large.drop("added").where("NOT linked OR lacks > adds")
-            enough = F.expr(
-                f"NOT x_linked AND y_lacks > y_adds AND {threshold} * (x_size_a + x_adds + y_adds) - (x_size_a - x_lacks - y_lacks)"
-                f" <= (1 + {threshold}) * least(x_lacks, y_lacks) + 1e-6")
-            own = cut_lineage(large.select("a", "b", "home", "part", F.explode("added").alias("own")).withColumn(
-                "bucket", F.xxhash64("a", "own")))
-            own = cut_lineage(own.join(_opened(own, "bucket"), "bucket"))
-            pairs = pairs.union(_across(lack, enough)).union(_all_pairs(own.where(F.col("n") <= SUB_SMALL), "bucket"))
+        # x is not linked with the pivot, y lacks more than it adds: else what both lack cannot be enough.
+        lack = large.drop("added").where("NOT linked OR lacks > adds")
+        enough = F.expr(
+            f"NOT x_linked AND y_lacks > y_adds AND {threshold} * (x_size_a + x_adds + y_adds) - (x_size_a - x_lacks - y_lacks)"
+            f" <= (1 + {threshold}) * least(x_lacks, y_lacks) + 1e-6")
+        own = _prefixes(large, threshold)
+        own = cut_lineage(own.join(_opened(own, "bucket"), "bucket"))
+        small = F.lit(True) if turn == ROUNDS else F.col("n") <= SUB_SMALL
+        pairs = _all_pairs(few, "a", threshold).union(_across(lack, enough)).union(_all_pairs(own.where(small), "bucket", threshold))
         pairs = cut_lineage(pairs.distinct())
         links = links.union(cut_lineage(compared(pairs, texts, words, threshold)).where("linked").select("a", "b"))
         if turn < ROUNDS:
@@ -247,8 +262,9 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD,
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """(doc, n_shingles, component), one row per row of ``docs``."""
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    """(doc, key, n_shingles, component), one row per row of ``docs``; ``key`` tells rows of one id apart by their text."""
+    text = F.col(f"`{text_col}`")
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc"), text_key(text).alias("key"), text.alias("text"))
     seen = cut_lineage(signatures(narrow, words, bands, rows))
     sets = seen.where(F.col("k1").isNotNull() & F.col("doc").isNotNull())
     classes = sets.groupBy("k1", "k2").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -260,16 +276,16 @@ def near_duplicates(
     members = cut_lineage(buckets.join(several, "bucket"))
     involved = members.select("doc").distinct()
     # The same plan at every size: texts are the bulk, and move once by id.
-    texts = cut_lineage(narrow.join(involved.hint("merge"), "doc", "left_semi"))
+    texts = cut_lineage(narrow.drop("key").join(involved.hint("merge"), "doc", "left_semi"))
     joined = linked_classes(members, texts, words, threshold)
 
-    rep_of = seen.join(copied, ["k1", "k2"], "left").select("doc", "n_shingles", F.coalesce("rep", "doc").alias("rep"))
+    rep_of = seen.join(copied, ["k1", "k2"], "left").select("doc", "key", "n_shingles", F.coalesce("rep", "doc").alias("rep"))
     to = joined.select(F.col("node").alias("rep"), "component")
-    return rep_of.join(to, "rep", "left").select("doc", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    return rep_of.join(to, "rep", "left").select("doc", "key", "n_shingles", F.coalesce("component", "rep").alias("component"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents whose group has a smaller doc_id; all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where(F.col("doc") != F.col("component")).select("doc").distinct()
-    rows = packed(docs, row_doc=F.col(f"`{id_col}`"))
-    return unpacked(rows.join(gone, F.col("row_doc") == F.col("doc"), "left_anti"))
+    gone = near_duplicates(docs, id_col, text_col, **options).where(F.col("doc") != F.col("component")).select("doc", "key").distinct()
+    rows = packed(docs, row_doc=F.col(f"`{id_col}`"), row_key=text_key(F.col(f"`{text_col}`")))
+    return unpacked(rows.join(gone, (F.col("row_doc") == F.col("doc")) & (F.col("row_key") == F.col("key")), "left_anti"))

@@ -229,3 +229,27 @@ def test_both_readers_of_the_vocabulary_agree():
     for c in chars:
         for text in (c, f"a{c}b", f" {c} {c}{c}", f"1{c}\n{c}", f"{c}'s {c}'ll"):
             assert fast(text) == slow.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_one_id_with_two_texts(spark):
+    """Of two rows that share an id only the copy goes."""
+    copy, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(1, copy), (2, copy), (2, other)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.keep_first(df).collect())) == [(1, copy), (2, other)]
+
+
+def test_prefixes_lose_no_link(spark):
+    """Many texts around one template, most unlike it and linked with a few others only by what they add."""
+    rng = random.Random(11)
+    template = [f"w{i}" for i in range(150)]
+    rows = []
+    for family in range(12):
+        edits = {rng.randrange(150): f"f{family}-{i}" for i in range(rng.randrange(6, 12))}
+        tail = [f"t{family}-{i}" for i in range(rng.randrange(0, 25))]
+        for member in range(6):
+            own = edits | {rng.randrange(150): f"m{family}-{member}-{i}" for i in range(rng.randrange(0, 4))}
+            rows.append((len(rows), " ".join([own.get(i, w) for i, w in enumerate(template)] + tail)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc: (r.n_shingles, r.component) for r in minhash.near_duplicates(df, words=4, bands=60, rows=2).collect()}
+    want = brute.near(rows, 4)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
