@@ -88,6 +88,12 @@ def orientation_score(joined_text: Column, high_confidence: Column, mean_confide
     return words * F.lit(10.0) + high_confidence * F.lit(1.0) + mean_confidence * F.lit(5.0)
 
 
+def label_words(joined_text: Column) -> Column:
+    """How many of the words that labels carry a probe's text holds."""
+    lowered = F.lower(joined_text)
+    return sum((F.contains(lowered, F.lit(word)).cast("int") for word in ORIENTATION_WORDS), F.lit(0))
+
+
 def field_status(normalized: Column, raw: Column, confidence: Column) -> Column:
     conf = F.coalesce(confidence, F.lit(0.0))
     return (

@@ -15,6 +15,7 @@ _CASTS = {
     "oldest_chunks": {"score": "DOUBLE"},
     "bm25_documents": {"rank": "INTEGER"},
     "bm25_blocks": {"n_blocks": "BIGINT"},
+    "orientation_turns": {"turn": "INTEGER"},
     "bm25_provisions": {"rank": "INTEGER"},
     "dense_topk": {"rank": "INTEGER"},
     "dense_topk_streamed": {"rank": "INTEGER"},

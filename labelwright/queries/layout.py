@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelwright.fixed.label_patterns import ORIENTATION_WORDS
 from labelwright.functions import measures as ms
 from labelwright.operators import layout as ly
+from labelwright.operators import orientation as og
 from labelwright.queries.tables import SECONDS_SQL, case, seconds, table, text
 from labelwright.sources.images import sharpness
 
@@ -85,6 +86,17 @@ def orientation_score(spark, d):
     return docs.select("doc_id", F.round(score, 6).alias("score"))
 
 
+def orientation_turns(spark, d):
+    """Conversations as images: their turns are text blocks, dealt over four probes; the first is also read with label words."""
+    turn = F.col("turn")
+    words = case(turn % 4, F.lit("mrp rs net qty "), F.lit("batch "), F.lit("fssai lic "), F.lit("exp "))
+    blocks = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("image_id"), ((F.col("conv_id") + turn) % 4 * 90).alias("angle"), turn.alias("block_ord"),
+        F.concat(F.when(F.col("conv_id") % 3 == 0, words).otherwise(F.lit("")), F.col("text")).alias("text"),
+        (F.char_length("text") % 11 / F.lit(10.0)).alias("confidence"))
+    return og.turns(og.probe_scores(blocks))
+
+
 def image_quality(spark, d):
     q = ms.image_quality(F.col("p_size") * 100, F.col("p_size") * 60, F.col("p_partkey") * 1000)
     return table(spark, d, "part").select("p_partkey", q.alias("q")).select(
@@ -114,6 +126,7 @@ QUERIES = {
     "font_height_rule": font_height_rule,
     "bounding_box": bounding_box,
     "orientation_score": orientation_score,
+    "orientation_turns": orientation_turns,
     "image_quality": image_quality,
     "image_sharpness": image_sharpness,
     "camera_urls": camera_urls,
@@ -136,6 +149,8 @@ _R, _C = "(i // 8)", "(i % 8)"
 _LAPLACE = (f"{_at(f'({_R} - 1)', _C)} + {_at(f'({_R} + 1)', _C)} + {_at(_R, f'({_C} - 1)')} + {_at(_R, f'({_C} + 1)')}"
             f" - 4 * {_at(_R, _C)}")
 
+_LABEL_WORDS = " + ".join(f"CAST(contains(t, '{w}') AS INT)" for w in ORIENTATION_WORDS)
+
 ORACLE = {
     "zone_partition": f"""
         SELECT event_type, CASE WHEN r < 0.25 THEN 'top' WHEN r > 0.8 THEN 'bottom' ELSE 'middle' END AS zone, count(*) AS n_blocks
@@ -182,6 +197,18 @@ ORACLE = {
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN 50 ELSE c + 1 END) AS BIGINT) AS w,
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN 20 ELSE greatest(a, c) + 1 END) AS BIGINT) AS h
         FROM p GROUP BY l_returnflag""",
+    "orientation_turns": f"""
+        WITH b AS (SELECT conv_id AS image_id, (conv_id + turn) % 4 * 90 AS angle, turn,
+            CASE WHEN conv_id % 3 = 0 THEN CASE turn % 4 WHEN 0 THEN 'mrp rs net qty ' WHEN 1 THEN 'batch ' WHEN 2 THEN 'fssai lic ' ELSE 'exp ' END ELSE '' END || text AS text,
+            coalesce(length(text) % 11 / 10.0, 0) AS confidence FROM conversations),
+        p AS (SELECT image_id, angle, lower(string_agg(coalesce(text, ''), ' ' ORDER BY turn)) AS t, count(*) FILTER (confidence >= 0.7) AS hc, avg(confidence) AS mean
+            FROM b GROUP BY ALL),
+        s AS (SELECT image_id, angle, hc, {_LABEL_WORDS} AS kw, ({_LABEL_WORDS}) * 10.0 + hc + mean * 5.0 AS score FROM p),
+        w AS (SELECT image_id, coalesce(max(kw) FILTER (angle = 0), 0) AS kw, coalesce(max(hc) FILTER (angle = 0), 0) AS hc,
+            coalesce(max(score) FILTER (angle = 0), 0) AS s0, coalesce(max(score) FILTER (angle = 90), 0) AS s90,
+            coalesce(max(score) FILTER (angle = 180), 0) AS s180, coalesce(max(score) FILTER (angle = 270), 0) AS s270 FROM s GROUP BY image_id)
+        SELECT image_id, CASE WHEN kw >= 4 AND hc >= 10 THEN 0 WHEN s90 > s0 * 1.3 AND s90 > 15 THEN 90 WHEN s270 > s0 * 1.3 AND s270 > s90 AND s270 > 15 THEN 270
+          WHEN s0 < 10 AND s180 > s0 * 1.4 AND s180 > 15 THEN 180 ELSE 0 END AS turn FROM w""",
     "orientation_score": f"""
         SELECT doc_id, round(({' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ORIENTATION_WORDS)}) * 10.0
           + (n_chars % 20) * 1.0 + (doc_id % 10) / 10.0 * 5.0, 6) AS score FROM documents""",
