@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.session import ensure_checkpoint_dir
@@ -116,3 +116,21 @@ def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     The order is by hash, so a top-k per task is all that travels.
     """
     return df.orderBy(F.xxhash64(*keys), *keys).limit(rows)
+
+
+def spread_sample(df: DataFrame, rows: int, of: str, *keys: str) -> DataFrame:
+    """``bounded_sample`` that takes one row of every value of ``of`` before a second of any.
+
+    So no value is lost while there are at most ``rows`` of them.  The rank is
+    cut at ``rows`` by every task before the shuffle, however hot a value is.
+    """
+    first = Window.partitionBy(of).orderBy(F.xxhash64(*keys), *keys)
+    ranked = df.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= rows)
+    return ranked.orderBy("_rank", F.xxhash64(*keys), *keys).limit(rows).drop("_rank")
+
+
+def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of each key, the first by hash: bounds on keys are bounds on rows then.  Combines map-side."""
+    rest = [c for c in df.columns if c not in keys]
+    chosen = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_one"))
+    return chosen.select(*keys, *[F.col("_one").getField(c).alias(c) for c in rest])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import WordHashes, bounded_sample, gram_hashes, packed, texts_of, unpacked
+from labelwright.llm.common import WordHashes, bounded_sample, gram_hashes, one_of_each, packed, texts_of, unpacked
 
 MAX_LABELLED = 20_000
 MAX_UNLABELLED = 10_000
@@ -162,7 +162,7 @@ def train(
         bounded_sample(unmarked, max_unlabelled, "doc").select("doc", F.lit(-1).alias("y")))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), *_meta_columns(docs))
     # The chosen ids are at most max_labelled + max_unlabelled rows: a broadcast of proven size.
-    rows = rows.join(F.broadcast(chosen), "doc")
+    rows = one_of_each(rows.join(F.broadcast(chosen), "doc"), "doc", "y")
     kind = "doc string, y int, view_text array<float>, view_meta array<float>"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ aside give the temperature by which margins are divided, so that scores are
 probabilities.
 
 Document frequencies are counted over all learn rows; ``MAX_ROWS`` bounds the
-labelled rows the weights are fitted on.  Whole texts are read, long ones in
+labelled rows the weights are fitted on, one row per document and language.  Languages take turns in that
+sample, so a rare one is learned beside a hot one.  Whole texts are read, long ones in
 slices that overlap, so memory per task is bounded.
 
 Results: lang_pred is a learned language, or ``und`` with score 0 for null texts
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import bounded_sample, packed, texts_of
+from labelwright.llm.common import one_of_each, packed, spread_sample, texts_of
 
 SIZE = 1 << 14
 SLICE = 1 << 18
@@ -151,7 +152,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.full(SIZE, np.log(1.0 + total) + 1)
     for at, n in sums.items():
         idf[at] = np.log((1 + total) / (1 + n)) + 1
-    chosen = bounded_sample(rows.where(F.col("doc").isNotNull()).select("doc", "lang"), max_rows, "doc", "lang").distinct()
+    chosen = spread_sample(rows.where(F.col("doc").isNotNull()).select("doc", "lang").distinct(), max_rows, "lang", "doc", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +165,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, lists), pa.array(n, lists)], ["doc", "lang", "at", "n"])
 
     # At most max_rows rows of names: a broadcast of proven size.
-    got = rows.join(F.broadcast(chosen), ["doc", "lang"]).select("doc", "lang", "text").mapInArrow(
+    got = one_of_each(rows.join(F.broadcast(chosen), ["doc", "lang"]).select("doc", "lang", "text"), "doc", "lang").mapInArrow(
         counted, "doc string, lang string, at array<long>, n array<long>")
     return fit(got.toPandas(), idf)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import bounded_sample, packed, texts_of
+from labelwright.llm.common import bounded_sample, one_of_each, packed, texts_of
 
 MAX_TOXIC = 3000
 MAX_UNLABELLED = 6000
@@ -168,7 +168,8 @@ def train(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.string()), b.column(2)], ["doc", "text", "toxic"])
 
     # At most max_toxic + max_unlabelled ids: a broadcast of proven size.
-    got = text.join(F.broadcast(chosen), "doc").select(F.col("doc").cast("string").alias("doc"), "text", "toxic").mapInArrow(shortened, "doc string, text string, toxic int")
+    one = one_of_each(text.join(F.broadcast(chosen), "doc"), "doc", "toxic")
+    got = one.select(F.col("doc").cast("string").alias("doc"), "text", "toxic").mapInArrow(shortened, "doc string, text string, toxic int")
     return fit(got.toPandas(), DEFAULT_PRIOR if prior is None else prior)
 
 
