@@ -1,8 +1,8 @@
 """Registered queries and the SQL that says what they should return."""
 
-from labelwright.queries import corpus, labels, layout, retrieval, streams, verdicts
+from labelwright.queries import contracts, corpus, labels, layout, retrieval, streams, verdicts
 
-_MODULES = (labels, layout, verdicts, corpus, retrieval, streams)
+_MODULES = (labels, layout, verdicts, contracts, corpus, retrieval, streams)
 
 # Column types the SQL is cast to, so that both sides agree.
 _CASTS = {
