@@ -189,15 +189,77 @@ def _inside_each_other(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | F.contains(a, b) | F.contains(b, a)
 
 
+_PART = ("sub_rule", "clause")
+
+
+def _inner(c: Column, longest: Column) -> Column:
+    """Every part of a string, up to a length."""
+    starts = F.sequence(F.lit(1), F.char_length(c))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(longest, F.char_length(c) - i + 1)), lambda n: F.substring(c, i, n)))))
+
+
+def _marked(mark: str, names: Column) -> Column:
+    return F.transform(names, lambda x: F.concat(F.lit(mark), x))
+
+
+def _chunk_keys(c: Column, longest: int) -> Column:
+    """Keys of a chunk's part: all targets without one, itself, and whatever lies inside it."""
+    whole = F.array(F.lit("*"), F.concat(F.lit("="), c))
+    return F.when(c.isNull(), F.array(F.lit("*"), F.lit("0"))).otherwise(F.concat(whole, _marked("<", _inner(c, F.lit(longest)))))
+
+
+def _target_keys(c: Column) -> Column:
+    """Keys a target's part looks under: chunks without one, chunks it lies inside of, and chunks inside it."""
+    whole = F.array(F.lit("0"), F.concat(F.lit("<"), c))
+    return F.when(c.isNull(), F.array(F.lit("*"))).otherwise(F.concat(whole, _marked("=", _inner(c, F.char_length(c)))))
+
+
+def _unfolded(df: DataFrame, **keys: Column) -> DataFrame:
+    for name, values in keys.items():
+        df = df.withColumn(name, F.explode(values))
+    return df
+
+
+def _first_without_rule(targets: DataFrame, classes: DataFrame) -> DataFrame:
+    """First chunk of every target without a rule: (check_id, ord).
+
+    Such a target meets chunks of every rule.  Chunk classes are filed under
+    the keys they can be asked by, the first one per key stays (a ``min``,
+    combined map-side), and targets look their keys up: no pair of a target
+    and a chunk is ever formed.
+    """
+    lengths = [F.max(F.char_length(f"t_{c}")).alias(c) for c in _PART]
+    longest = targets.agg(*lengths).head()
+    tolerance = lim.PAGE_TOLERANCE
+    start, end, page = F.col("page_start"), F.col("page_end"), F.col("page")
+    around = F.sequence(start - tolerance, start + tolerance)
+    pages = F.when(end >= start, F.array_union(F.sequence(start, end), around)).otherwise(around)
+    on_pages = F.when(F.coalesce(start, F.lit(0)) == 0, F.array(F.lit("*"), F.lit("0"))).otherwise(
+        F.concat(F.array(F.lit("*")), F.transform(pages, lambda p: F.concat(F.lit("p"), p.cast("string")))))
+    asked_pages = F.when(F.coalesce(page, F.lit(0)) == 0, F.array(F.lit("*"))).otherwise(
+        F.array(F.lit("0"), F.concat(F.lit("p"), page.cast("string"))))
+    names = ["_sub", "_clause", "_page"]
+    filed = _unfolded(classes.groupBy("c_sub_rule", "c_clause", "page_start", "page_end").agg(F.min("ord").alias("ord")),
+                      _sub=_chunk_keys(F.col("c_sub_rule"), longest["sub_rule"] or 0),
+                      _clause=_chunk_keys(F.col("c_clause"), longest["clause"] or 0), _page=on_pages)
+    asked = _unfolded(targets, _sub=_target_keys(F.col("t_sub_rule")), _clause=_target_keys(F.col("t_clause")), _page=asked_pages)
+    first = filed.groupBy(*names).agg(F.min("ord").alias("ord"))
+    return first.join(small_side(asked.select("check_id", *names)), names).groupBy("check_id").agg(F.min("ord").alias("ord"))
+
+
 def validate_catalogue(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     """Match each target citation with the first fitting chunk.
 
     targets: check_id, requirement_name, rule, sub_rule, clause, page.
     chunks: chunk_id, insert_ord, rule, sub_rule, clause, page_start, page_end, text.
     Strict fit first (rule, compatible sub-rule and clause, page within two),
-    else the first chunk of the same rule.  The pair test runs inside a hash
-    join on the rule and the choice is a ``min_by``, so a rule that owns most
-    chunks is combined map-side.
+    else the first chunk of the same rule.  A target without a rule fits chunks
+    of every rule and has no second try.
+
+    Chunks that agree in rule, sub-rule, clause and pages are one class with its
+    first place, so what is joined and compared are classes, and both tries are
+    decided on places.  Texts are read for the chosen chunks alone.
     """
     wanted = targets.select(
         *[c for c in targets.columns if c not in ("rule", "sub_rule", "clause")],
@@ -205,16 +267,22 @@ def validate_catalogue(targets: DataFrame, chunks: DataFrame) -> DataFrame:
     filed = chunks.select(
         "chunk_id", "insert_ord", "text", "page_start", "page_end",
         *[truthy(strip(F.col(c).cast("string"))).alias(f"c_{c}") for c in ("rule", "sub_rule", "clause")])
+    classes = filed.groupBy("c_rule", "c_sub_rule", "c_clause", "page_start", "page_end").agg(
+        F.min(F.struct("insert_ord", "chunk_id")).alias("ord"))
     start, end, page = F.col("page_start"), F.col("page_end"), F.col("page")
     no_page = F.coalesce(page, F.lit(0)).eqNullSafe(F.lit(0)) | F.coalesce(start, F.lit(0)).eqNullSafe(F.lit(0))
-    near = no_page | page.between(start, end) | (F.abs(start - page) <= lim.PAGE_TOLERANCE)
+    near = no_page | F.coalesce(page.between(start, end), F.lit(False)) | (F.abs(start - page) <= lim.PAGE_TOLERANCE)
     strict = (
         _inside_each_other(F.col("t_sub_rule"), F.col("c_sub_rule"))
         & _inside_each_other(F.col("t_clause"), F.col("c_clause")) & near)
-    pairs = small_side(wanted).join(filed, F.col("t_rule") == F.col("c_rule"))
-    choice = F.struct(F.when(strict, F.lit(1)).otherwise(F.lit(2)).alias("tier"), F.col("insert_ord").alias("ord"))
-    best = pairs.groupBy("check_id").agg(
-        F.min_by(F.struct("chunk_id", "text", choice["tier"].alias("tier")), choice).alias("_m"))
+    pairs = small_side(wanted).join(classes, F.col("t_rule") == F.col("c_rule"))
+    ruled = pairs.groupBy("check_id").agg(F.min(F.struct(F.when(strict, F.lit(1)).otherwise(F.lit(2)).alias("tier"), "ord")).alias("_b"))
+    free = _first_without_rule(wanted.where("t_rule IS NULL"), classes).select(
+        "check_id", F.struct(F.lit(1).alias("tier"), "ord").alias("_b"))
+    chosen = ruled.unionByName(free).groupBy("check_id").agg(F.min("_b").alias("_b")).select(
+        "check_id", "_b.tier", "_b.ord.insert_ord", "_b.ord.chunk_id")
+    read = filed.select("insert_ord", "chunk_id", "text").join(small_side(chosen), ["insert_ord", "chunk_id"])
+    best = read.groupBy("check_id").agg(F.min(F.struct("chunk_id", "tier", "text")).alias("_m"))
     out = wanted.join(best, "check_id", "left")
     found = F.col("_m").isNotNull()
     agrees = content_consistent(F.lower(F.col("_m.text")), F.col("requirement_name"))

@@ -16,6 +16,7 @@ _CASTS = {
     "bm25_documents": {"rank": "INTEGER"},
     "bm25_blocks": {"n_blocks": "BIGINT"},
     "orientation_turns": {"turn": "INTEGER"},
+    "catalogue_open_targets": {"tier": "INTEGER"},
     "bm25_provisions": {"rank": "INTEGER"},
     "dense_topk": {"rank": "INTEGER"},
     "dense_topk_streamed": {"rank": "INTEGER"},

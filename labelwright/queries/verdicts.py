@@ -132,15 +132,17 @@ def catalogue_validity(spark, d):
         ck.every_valid(F.col("rule_ok")).alias("all_rules_valid"))
 
 
-def _catalogue_details(spark, d):
-    """Targets (one per supplier nation and brand number) against part chunks."""
-    parts = table(spark, d, "part")
-    chunks = parts.select(
+def _part_chunks(spark, d):
+    return table(spark, d, "part").select(
         F.col("p_partkey").cast("string").alias("chunk_id"), F.col("p_partkey").alias("insert_ord"),
         F.col("p_size").cast("string").alias("rule"), text(F.col("p_size"), "(", F.col("p_partkey") % 3, ")").alias("sub_rule"),
         F.lit(None).cast("string").alias("clause"), (F.col("p_partkey") % 30).cast("int").alias("page_start"),
         (F.col("p_partkey") % 30 + 1).cast("int").alias("page_end"),
         F.when(F.col("p_partkey") % 2 == 0, text("the net weight of ", F.col("p_name"))).otherwise(F.lit("short")).alias("text"))
+
+
+def _catalogue_details(spark, d):
+    """Targets (one per supplier nation and brand number) against part chunks."""
     nation = F.col("s_nationkey")
     targets = table(spark, d, "supplier").groupBy(nation).agg(F.count(F.lit(1)).alias("n")).select(
         F.concat(F.lit("T"), nation.cast("string")).alias("check_id"),
@@ -148,7 +150,20 @@ def _catalogue_details(spark, d):
         (nation * 3 + 1).cast("string").alias("rule"),
         F.when(nation % 2 == 0, text(nation * 3 + 1, "(1)")).alias("sub_rule"), F.lit(None).cast("string").alias("clause"),
         (nation + 2).cast("int").alias("page"))
-    return ck.validate_catalogue(targets, chunks)
+    return ck.validate_catalogue(targets, _part_chunks(spark, d))
+
+
+def catalogue_open_targets(spark, d):
+    """One target per supplier; every third names no rule, every other one no sub-rule, some no page."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    targets = table(spark, d, "supplier").select(
+        key.cast("string").alias("check_id"), F.lit("Net Quantity").alias("requirement_name"),
+        F.when(key % 3 != 0, (nation * 2 + 1).cast("string")).alias("rule"),
+        F.when(key % 2 == 0, text(nation * 2 + 1, "(1)")).alias("sub_rule"), F.lit(None).cast("string").alias("clause"),
+        (key % 40).cast("int").alias("page"))
+    return ck.validate_catalogue(targets, _part_chunks(spark, d)).select(
+        "check_id", F.coalesce(F.col("matched_chunk_id").cast("bigint"), F.lit(0).cast("bigint")).alias("first_chunk"),
+        F.coalesce("tier", F.lit(0)).alias("tier"))
 
 
 def catalogue_summary(spark, d):
@@ -186,6 +201,7 @@ QUERIES = {
     "field_queries": field_queries,
     "catalogue_validity": catalogue_validity,
     "catalogue_first_match": catalogue_first_match,
+    "catalogue_open_targets": catalogue_open_targets,
     "catalogue_summary": catalogue_summary,
     "contract_validate": contract_validate,
 }
@@ -317,6 +333,17 @@ ORACLE = {
           count(*) FILTER (p_partkey % 3 <> 0 AND p_partkey % 5 <> 0) AS valid_checks,
           bool_and(p_partkey % 4 <> 0) AS all_rules_valid FROM part GROUP BY p_brand""",
     "catalogue_first_match": _FIRST_MATCH,
+    "catalogue_open_targets": """
+        WITH c AS (SELECT p_partkey AS ord, CAST(p_size AS VARCHAR) AS c_rule, p_size || '(' || p_partkey % 3 || ')' AS c_sub,
+            p_partkey % 30 AS first_page, p_partkey % 30 + 1 AS last_page FROM part),
+        t AS (SELECT CAST(s_suppkey AS VARCHAR) AS check_id, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_nationkey * 2 + 1 AS VARCHAR) END AS t_rule,
+            CASE WHEN s_suppkey % 2 = 0 THEN (s_nationkey * 2 + 1) || '(1)' END AS t_sub, s_suppkey % 40 AS page FROM supplier),
+        p AS (SELECT check_id, ord, CASE
+            WHEN (t_rule IS NULL OR t_rule = c_rule) AND (t_sub IS NULL OR contains(t_sub, c_sub) OR contains(c_sub, t_sub))
+              AND (page = 0 OR first_page = 0 OR page BETWEEN first_page AND last_page OR abs(first_page - page) <= 2) THEN 1
+            WHEN t_rule = c_rule THEN 2 END AS tier FROM t, c),
+        b AS (SELECT check_id, min(tier) AS tier, arg_min(ord, tier * 1000000000 + ord) AS ord FROM p WHERE tier IS NOT NULL GROUP BY 1)
+        SELECT t.check_id, coalesce(b.ord, 0) AS first_chunk, coalesce(b.tier, 0) AS tier FROM t LEFT JOIN b USING (check_id)""",
     "catalogue_summary": f"""
         SELECT count(*) AS total_checks, count(*) FILTER (status = 'MATCHED') AS matched, count(*) FILTER (status = 'MISMATCH') AS mismatch,
           count(*) FILTER (status = 'NOT_FOUND') AS not_found, round(CAST(count(*) FILTER (status = 'MATCHED') AS DOUBLE) / count(*), 6) AS pass_rate
