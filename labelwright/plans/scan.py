@@ -52,7 +52,7 @@ def scan_labels(labels: DataFrame, blocks: str = "blocks", layout: LayoutConfig
 
 
 def response(scanned: DataFrame, scan_id: Column) -> DataFrame:
-    """Scan results in the shape of the service's answer."""
+    """Scan results in the shape of the service's answer, with their evidence where the scan found some."""
     fields = F.col("extracted_fields")
     data = F.struct(
         *[(net_quantity_of(fields) if n == "net_quantity" else value_of(fields, n)).alias(n) for n in VALUE_FIELDS],
@@ -61,10 +61,11 @@ def response(scanned: DataFrame, scan_id: Column) -> DataFrame:
         listed(fields, "ins_additives").alias("additives"),
     )
     compliance = F.struct("is_compliant", "issues", "overall_status")
+    payload = ["commodity_type", "extracted_fields", *(c for c in ("evidences",) if c in scanned.columns)]
     return scanned.select(
         scan_id.alias("scan_id"), "ocr_detections_count", data.alias("extracted_data"), "missing_mandatory_fields",
         compliance.alias("compliance"),
-        F.struct("commodity_type", "extracted_fields").alias("rag_payload"),
+        F.struct(*payload).alias("rag_payload"),
     )
 
 

@@ -17,6 +17,7 @@ _CASTS = {
     "bm25_blocks": {"n_blocks": "BIGINT"},
     "orientation_turns": {"turn": "INTEGER"},
     "catalogue_open_targets": {"tier": "INTEGER"},
+    "scan_evidence": {"evidence_ord": "INTEGER"},
     "bm25_provisions": {"rank": "INTEGER"},
     "dense_topk": {"rank": "INTEGER"},
     "dense_topk_streamed": {"rank": "INTEGER"},

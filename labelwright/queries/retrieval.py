@@ -13,7 +13,7 @@ from labelwright.functions.citations import reference
 from labelwright.operators import corpus as cp
 from labelwright.operators import evaluate as ev
 from labelwright.operators import evidence as ed
-from labelwright.operators.checks import checks_for_fields
+from labelwright.operators.checks import checks_for_fields, rule_catalogue
 from labelwright.operators.dense import dense_topk
 from labelwright.operators.exact import exact_matches, ranked_exact
 from labelwright.operators.fuse import fuse, fused_rank
@@ -23,7 +23,8 @@ from labelwright.operators import postings as ps
 from labelwright.operators.lexical import bm25_topk, build_index, document_frequencies
 from labelwright.operators.rerank import rerank
 from labelwright.functions.text import tokens
-from labelwright.plans.compliance import dispatch
+from labelwright.plans.compliance import dispatch, food_corpus
+from labelwright.plans.evidence_scan import scan_with_evidence
 from labelwright.plans.retrieval import search
 from labelwright.plans.scan import scan_labels
 from labelwright.queries.labels import part_labels
@@ -313,6 +314,16 @@ def compliance_evidence(spark, d):
     return found.groupBy("field", "routed_domain", "chunk_id", "rule").agg(F.count(F.lit(1)).alias("n_labels"))
 
 
+def scan_evidence(spark, d):
+    """Labels scanned with evidence from both domains: how often each declaration is answered by which chunk."""
+    labels = part_labels(table(spark, d, "part"))
+    food = food_corpus(rule_catalogue(spark, "fssai"))
+    scanned = scan_with_evidence(labels, cp.provisions(spark), food, "2024-01-01")
+    rows = scanned.select("commodity_type", F.posexplode("field_evidences").alias("field_ord", "e")).select(
+        "commodity_type", "e.field_name", F.posexplode("e.evidences").alias("evidence_ord", "v"))
+    return rows.groupBy("commodity_type", "field_name", "evidence_ord", "v.check_id", "v.chunk_id", "v.rule").agg(F.count(F.lit(1)).alias("n_labels"))
+
+
 QUERIES = {
     "token_document_frequency": token_document_frequency,
     "bm25_documents": bm25_documents,
@@ -335,6 +346,7 @@ QUERIES = {
     "corpus_gap": corpus_gap,
     "provision_search": provision_search,
     "compliance_evidence": compliance_evidence,
+    "scan_evidence": scan_evidence,
 }
 
 # ---------------------------------------------------------------- expected results in SQL
@@ -485,6 +497,19 @@ _EXACT = """
 _TOP = "SELECT query_id, chunk_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sim {0} QUALIFY rank <= {1}"
 
 ORACLE = {
+    # The answers of the packaged corpora are stated; which label asks for which of them is computed.
+    "scan_evidence": """
+        WITH l AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 <> 0 OR p_partkey % 7 <> 0 THEN 'food' ELSE 'general_commodity' END AS commodity_type FROM part),
+        a(field_name, lacking_every, check_id, chunk_id) AS (VALUES
+          ('mrp', 2, 'LM_MRP_001', 'chk_lm_6_6(1)_6(1)(e)_12'), ('net_quantity', NULL, 'LM_NET_001', 'chk_lm_6_6(1)_6(1)(c)_11'),
+          ('mfg_date', 5, 'LM_DATE_001', 'chk_lm_6_6(1)_6(1)(d)_11'), ('fssai_license', 7, 'LM_FSSAI_LICENSE_001', 'chk_lm_6_6(1)_6(1)(d)_11'),
+          ('ingredients', 3, 'LM_INGREDIENTS_001', 'chk_lm_6_6(1)_6(1)(d)_11'), ('allergens', 3, 'LM_ALLERGENS_001', 'chk_lm_6_6(1)_6(1)(d)_11'),
+          ('ins_additives', 3, 'LM_INS_ADDITIVES_001', 'chk_lm_6_6(1)_6(1)(d)_11')),
+        f AS (SELECT * FROM l JOIN a ON lacking_every IS NULL OR k % lacking_every <> 0)
+        SELECT commodity_type, field_name, 0 AS evidence_ord, check_id, chunk_id, '6' AS rule, count(*) AS n_labels FROM f GROUP BY ALL
+        UNION ALL
+        SELECT commodity_type, field_name, 1, check_id, 'chk_fssai_lic_01', 'FSSAI Labelling Regulation 2.2.1', count(*) FROM f
+        WHERE commodity_type = 'food' GROUP BY ALL""",
     "token_document_frequency": rf"""
         SELECT token, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format('text')}) AS token FROM documents) GROUP BY token""",
     "bm25_documents": f"WITH {_bm25(_DOCS, _ITEMS, 20)} SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM bm",
