@@ -3,21 +3,23 @@
 The text of a document is split once.  Each line with a long enough key becomes
 a narrow row (document, position, 128-bit hash of the key).  Those rows are
 dealt out by ranges of (hash, document); a hash that a third of all documents
-hold simply covers several ranges.  Each range makes (hash, document) distinct
-by hashing and sums up; one row per hash and range is shuffled again.  The sort
-within ranges and the first position, though written, do not run: no result
-depends on them and the optimiser removes both.  Lines to drop go back as sparse bitmaps
-of 64 positions a word, not as text.
+hold simply covers several ranges.  Each range is sorted by hash, document and
+position, and passed through once: of every document's run of a hash the first
+position goes on.  The range already keeps a run together, so that this takes
+no second shuffle, and holding one row of each run takes no memory.  The first
+occurrences are summed up per hash and range; one row of each is shuffled again.
+Lines to drop go back as sparse bitmaps of 64 positions a word, not as text.
 
 Results: a document is a doc_id.  Null and empty texts are one empty line and
-keep it.  Rows that share a doc_id count as one document, and each is rewritten
-by its own text.  A null doc_id is a document smaller than any other.  Other
-columns, whatever their names, are passed on.
+keep it.  Very long texts are split whole, into as many rows as they have lines.
+Rows that share a doc_id count as one document, and each is rewritten by its own
+text.  A null doc_id is a document smaller than any other.  An empty table gives
+an empty one.  Other columns, whatever their names, are passed on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.llm.common import ascii_lower, cut_lineage, packed, text_key, unpacked
@@ -41,11 +43,16 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return keys.select("doc", "text_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """The first row of every (hash, document), streamed from ranges sorted by hash, document and position."""
+    ranges = lines.repartitionByRange("h1", "h2", "doc")
+    run = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
+    return ranges.withColumn("_at", F.row_number().over(run)).where(F.col("_at") == 1).drop("_at")
+
+
 def repeated_keys(lines: DataFrame, min_documents: int) -> DataFrame:
     """(h1, h2, keeper): hashes that at least ``min_documents`` documents hold, and the largest of these documents."""
-    ordered = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
-    first = ordered.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("first_pos"))
-    held = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
+    held = first_occurrences(lines).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper"))
     return held.where(F.col("n") >= min_documents).select("h1", "h2", "keeper")
 
 
