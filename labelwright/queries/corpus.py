@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelwright.fixed import provisions as pv
+from labelwright.fixed.limits import PAGE_BREAK
 from labelwright.functions.citations import reference
 from labelwright.functions.embed import codepoint_embedder
+from labelwright.functions.pages import register_pages
 from labelwright.operators import corpus as cp
 from labelwright.operators import index as ix
 from labelwright.queries.tables import case, table, text
@@ -22,6 +24,16 @@ def page_split(spark, d):
         F.count_if(F.col("text").startswith("[OCR Fallback")).alias("n_blank"))
 
 
+def page_lateral(spark, d):
+    """Every sentence of a document as a page, by the table function in a lateral join."""
+    register_pages(spark)
+    docs = table(spark, d, "documents", even=True).select("doc_id", F.replace("text", F.lit(". "), F.lit(PAGE_BREAK)).alias("text"))
+    pages = spark.sql("SELECT d.doc_id, p.page_number, p.text FROM {docs} AS d, LATERAL pages_of(d.text) AS p", docs=docs)
+    return pages.groupBy("doc_id").agg(
+        F.max("page_number").cast("long").alias("n_pages"), F.sum(F.length("text")).alias("n_chars"),
+        F.min_by("text", "page_number").alias("first_page"))
+
+
 def printed_page(spark, d):
     key = F.col("doc_id")
     body = F.when(key % 3 == 0, text(F.col("text"), "\n\n  ", key % 50, " \n")).when(
@@ -189,6 +201,7 @@ def oldest_chunks(spark, d):
 
 QUERIES = {
     "page_split": page_split,
+    "page_lateral": page_lateral,
     "printed_page": printed_page,
     "amendment_parse": amendment_parse,
     "page_structure": page_structure,
@@ -263,6 +276,11 @@ ORACLE = {
         q AS (SELECT doc_id, n, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM p)
         SELECT doc_id, count(*) AS n_pages, CAST(sum(CASE WHEN line = '' THEN length('[OCR Fallback Extracted Text for Page ' || n || ']') ELSE length(line) END) AS BIGINT) AS n_chars,
           count(*) FILTER (line = '') AS n_blank FROM q GROUP BY doc_id""",
+    "page_lateral": r"""
+        WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS page, unnest(range(1, len(string_split(text, '. ')) + 1)) AS n FROM documents),
+        q AS (SELECT doc_id, n, regexp_replace(page, '^\s+|\s+$', '', 'g') AS page FROM p),
+        r AS (SELECT doc_id, n, CASE WHEN page = '' THEN '[OCR Fallback Extracted Text for Page ' || n || ']' ELSE page END AS page FROM q)
+        SELECT doc_id, max(n) AS n_pages, CAST(sum(length(page)) AS BIGINT) AS n_chars, arg_min(page, n) AS first_page FROM r GROUP BY doc_id""",
     "printed_page": r"""
         WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents)
         SELECT doc_id, CAST(len(ls) + CASE WHEN doc_id % 3 < 2 THEN 1 ELSE 0 END AS INTEGER) AS n_lines,
