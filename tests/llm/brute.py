@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -137,3 +139,64 @@ def passages(rows, window):
                 gone.update(range(i, i + window))
         out.append((d, len(words), len(gone), b" ".join(w for i, w in enumerate(words) if i not in gone).decode()))
     return out
+
+
+def url_shape(path):
+    typed = [
+        re.sub(r"\d+", "{n}", re.sub(r"\b(?=[0-9a-f-]*\d)[0-9a-f]{8,}(-[0-9a-f]{4,})*\b", "{id}", s, flags=re.I | re.A), flags=re.A)
+        for s in path.split("/") if s]
+    runs = [(s, len(list(run))) for s, run in itertools.groupby(typed)]
+    return tuple(s + "+" * (n > 1) for s, n in runs) + (("/",) if path.endswith("/") else ())
+
+
+def _same_share(b, k, others_b, others_k, chance):
+    slack = math.sqrt(math.log(2 / chance) / 2) * (k ** -0.5 + others_k ** -0.5) if k and others_k else 0
+    return not k or not others_k or abs(b / k - others_b / others_k) <= slack
+
+
+def url_rejected(rows, chance=0.05, purity=0.8):
+    """[(host, path, blocked or None)] -> {(host, shape)} whose template is rejected; a node's children are compared one by one."""
+    counts = defaultdict(lambda: [0, 0, 0])
+    for host, path, blocked in rows:
+        c = counts[host, url_shape(path)]
+        c[0], c[1], c[2] = c[0] + 1, c[1] + (blocked is not None), c[2] + bool(blocked)
+    template, nodes, level = {}, defaultdict(list), 0
+    for host, shape in counts:
+        nodes[host, ""].append(shape)
+    while nodes:
+        below = defaultdict(list)
+        for (host, name), shapes in nodes.items():
+            children = defaultdict(list)
+            for s in shapes:
+                if len(shapes) == 1 or len(s) <= level:
+                    template[host, s] = "/".join([name, *s[level:]])
+                else:
+                    children[s[level]].append(s)
+            following, labels, groups = {}, {}, defaultdict(list)
+            for child, under in children.items():
+                following[child] = Counter()
+                for s in under:
+                    following[child][s[level + 1] if len(s) > level + 1 else ""] += counts[host, s][0]
+                labels[child] = [sum(counts[host, s][i] for s in under) for i in (1, 2)]
+                groups[min(following[child], key=lambda x: (-following[child][x], x))].append(child)
+            for usual, group in groups.items():
+                for child in group:
+                    own, others = following[child], Counter()
+                    for c in group:
+                        if c != child:
+                            others.update(following[c])
+                    called = child
+                    if others:
+                        m, n = own.total(), others.total()
+                        distance = math.sqrt(sum((own[x] / m - others[x] / n) ** 2 for x in own | others))
+                        k, b = (sum(labels[c][i] for c in group if c != child) for i in (0, 1))
+                        if distance <= (1 + math.sqrt(2 * math.log(1 / chance))) * (m ** -0.5 + n ** -0.5) and _same_share(
+                                labels[child][1], labels[child][0], b, k, chance):
+                            called = "*?" + usual
+                    below[host, f"{name}/{called}"] += children[child]
+        nodes, level = below, level + 1
+    sums = defaultdict(lambda: [0, 0])
+    for (host, shape), name in template.items():
+        sums[host, name][0] += counts[host, shape][1]
+        sums[host, name][1] += counts[host, shape][2]
+    return {(h, s) for (h, s), name in template.items() if (sums[h, name][1] + 1) / (sums[h, name][0] + 2) >= purity}
