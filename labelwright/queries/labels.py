@@ -11,6 +11,7 @@ from labelwright.operators import blocks as bl
 from labelwright.operators import extract as ex
 from labelwright.plans import scan as sc
 from labelwright.queries.tables import case, money, table, text
+from labelwright.session import dealt
 
 # ---------------------------------------------------------------- label texts made from columns
 
@@ -169,7 +170,7 @@ def confidence_filter_mean(spark, d):
 
 
 def label_scan(spark, d):
-    scanned = sc.scan_labels(part_labels(table(spark, d, "part", even=True)))
+    scanned = sc.scan_labels(part_labels(dealt(table(spark, d, "part"))))
     f = F.col("extracted_fields")
     return scanned.select(
         "p_partkey", "commodity_type", "overall_status", "is_compliant", "ocr_detections_count",
@@ -191,7 +192,7 @@ def label_scan_verdicts(spark, d):
             F.lit(None).cast("string").alias("block_id"), words.alias("text"), conf.alias("confidence"),
             F.array(*[F.lit(float(v)) for v in (0, 0, 100, 20)]).alias("bbox"))
 
-    labels = table(spark, d, "lineitem", even=True).select("l_returnflag", F.array_compact(F.array(
+    labels = dealt(table(spark, d, "lineitem")).select("l_returnflag", F.array_compact(F.array(
         F.when(key % 2 == 0, block(text("MRP Rs. ", money("l_extendedprice")))),
         block(text("Net Wt ", size, " g")),
         F.when(key % 3 == 0, block(text("PKD ", F.date_format("l_shipdate", "dd/MM/yyyy")))),
@@ -208,7 +209,7 @@ def merge_panels(spark, d):
         F.when(line % 2 == 0, text("MRP Rs. ", money("l_extendedprice"))).otherwise(
             text("Net Wt ", F.col("l_quantity").cast("int"), " g")).alias("text"),
         F.lit(0.9).alias("confidence"), F.array(*[F.lit(0.0)] * 4).alias("bbox"))
-    panels = table(spark, d, "lineitem", even=True).select(
+    panels = dealt(table(spark, d, "lineitem")).select(
         F.col("l_orderkey").alias("scan_id"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity").alias("panel_ord"),
         F.array(block).alias("blocks"))

@@ -57,6 +57,12 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+# Bytes of a table file per task where every row is read by many patterns: some 200,000 order lines.
+SCAN_TASK_BYTES = 4 << 20
+# A stream's size is not known ahead; its batches get this many tasks per core.
+STREAM_TASKS_PER_CORE = 4
+
+
 def spread(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
     """Give a small scan one task per core.
 
@@ -67,3 +73,18 @@ def spread(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
+def dealt(df: DataFrame, bytes_per_task: int = SCAN_TASK_BYTES) -> DataFrame:
+    """Deal rows that cost much more to work on than to move out to tasks of a bounded size.
+
+    A file's splits hold whole row groups, millions of rows, so the longest task
+    would grow with the table until a split is full.  Here the number of tasks
+    grows with the input instead, one per core at least.  Only the columns read
+    later are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df.repartition(STREAM_TASKS_PER_CORE * cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(cores, -(-size // bytes_per_task)))
