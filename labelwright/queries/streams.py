@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from labelwright.queries.labels import part_labels
 from labelwright.queries.tables import new_folder, table
-from labelwright.session import ensure_checkpoint_dir
+from labelwright.session import dealt, ensure_checkpoint_dir
 from labelwright.streaming.labels import scan_stream, status_counts
 from labelwright.streaming.panels import late_panels, merged_panels
 
@@ -19,7 +19,7 @@ def streaming_scan(spark, d):
     out = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/part.parquet").schema
     parts = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(str(d))
-    scanned = scan_stream(part_labels(parts)).select("p_partkey", "overall_status", F.size("issues").alias("n_issues"))
+    scanned = scan_stream(part_labels(dealt(parts))).select("p_partkey", "overall_status", F.size("issues").alias("n_issues"))
     query = (
         scanned.writeStream.format("parquet").option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -57,7 +57,7 @@ def streaming_status_counts(spark, d):
         *[(F.col(c) + 1000 if c == "p_partkey" else F.lit(None)).cast(t).alias(c) for c, t in parts.dtypes])
 
     def plan(arriving):
-        scanned = scan_stream(part_labels(arriving)).select("overall_status", minute.alias("at"))
+        scanned = scan_stream(part_labels(dealt(arriving))).select("overall_status", minute.alias("at"))
         return status_counts(scanned, "at").select(
             F.unix_seconds("period.start").alias("period_second"), "overall_status", "n_labels")
 
