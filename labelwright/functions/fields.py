@@ -160,6 +160,10 @@ def pattern_score(lowered: Column, patterns: list[str]) -> Column:
     return score
 
 
+# Every class a text can have.
+COMMODITIES = ["food", "drugs_cosmetics", "general_commodity"]
+
+
 def commodity_class(food: Column, drug: Column) -> Column:
     return (
         F.when((food >= 1) & (food >= drug), F.lit("food"))

@@ -11,6 +11,10 @@ from labelwright.functions.text import let, rx, strip
 from labelwright.operators.blocks import joined_text
 from labelwright.types import FIELD
 
+# Read off the joined text, after the declarations of single blocks.
+SECTION_FIELDS = ["ingredients", "allergens", "ins_additives"]
+# Every name a declaration can have.
+DECLARED = [*lp.FIELD_ORDER, *SECTION_FIELDS]
 _DEFAULT_CONFIDENCE = 0.90
 _DEFAULT_BOX = (0, 0, 100, 20)
 _SECTION_BOX = (0, 0, 500, 100)

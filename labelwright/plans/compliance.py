@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.config import RetrievalConfig
@@ -82,16 +84,16 @@ def dispatch(
     routed = route(checks)
     # Only the food domain asks with the value; elsewhere it would only multiply the questions.
     value = F.col("field_value") if "field_value" in routed.columns else F.lit(None).cast("string")
-    value = F.when(F.col("routed_domain") == "fssai", value)
-    terms = F.coalesce("query_terms", F.array().cast("array<string>")).alias("terms")
-    # Nulls are left out by name, so that no two different checks share a key.
-    keyed = routed.withColumn("_key", F.sha2(F.to_json(F.struct("check_id", "field", terms, value.alias("value"))), 256))
-    distinct = cut_lineage(keyed.groupBy("_key", "routed_domain").agg(
-        *[F.first(c).alias(c) for c in ("check_id", "field", "query_terms")], F.first(value).alias("field_value"),
-    )).withColumnRenamed("_key", "query_id")
+    asked = routed.withColumn("_value", F.when(F.col("routed_domain") == "fssai", value))
+    # Told apart by the columns themselves: hash aggregation combines repeats map-side, and no row is hashed as text.
+    names = {"check_id": "_id", "field": "_field", "query_terms": "_terms", "_value": "_given", "routed_domain": "_domain"}
+    known = cut_lineage(asked.select(*names).distinct().withColumn("_key", F.monotonically_increasing_id()))
+    distinct = known.withColumnsRenamed({"_key": "query_id", "_value": "field_value"})
     lm = metrology_evidence(distinct.filter("routed_domain = 'legal_metrology'"), metrology, as_of, embed)
     fs = food_evidence(distinct.filter("routed_domain = 'fssai'"), food, embed)
     found = lm.select("query_id", F.lit("legal_metrology").alias("routed_domain"), *EVIDENCE).unionByName(
         fs.select("query_id", F.lit("fssai").alias("routed_domain"), *EVIDENCE))
-    answers = cut_lineage(found.withColumnRenamed("query_id", "_key").drop("check_id"))
-    return keyed.join(small_side(answers), ["_key", "routed_domain"]).drop("_key")
+    best = found.withColumnRenamed("query_id", "_key").drop("check_id", "routed_domain")
+    answers = cut_lineage(known.withColumnsRenamed(names).join(best, "_key").drop("_key"))
+    same = reduce(Column.__and__, [asked[c].eqNullSafe(answers[n]) for c, n in names.items()])
+    return asked.join(small_side(answers), same).drop(*names.values(), "_value")

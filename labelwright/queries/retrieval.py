@@ -29,7 +29,7 @@ from labelwright.plans.retrieval import search
 from labelwright.plans.scan import scan_labels
 from labelwright.queries.labels import part_labels
 from labelwright.queries.tables import case, new_folder, table, text
-from labelwright.session import cut_lineage
+from labelwright.session import cut_lineage, dealt
 
 
 def _documents(spark, d) -> DataFrame:
@@ -306,17 +306,17 @@ def provision_search(spark, d):
 
 def compliance_evidence(spark, d):
     """Labels scanned, their declarations mapped to checks, evidence found once per check and joined back."""
-    scanned = scan_labels(part_labels(table(spark, d, "part", even=True)))
+    scanned = scan_labels(part_labels(dealt(table(spark, d, "part"))))
     fields = scanned.select("p_partkey", "commodity_type", F.explode_outer("extracted_fields").alias("f")).select(
         "p_partkey", "commodity_type", F.col("f.field_name").alias("field")).filter("field is not null")
-    checks = checks_for_fields(fields).withColumn("query_id", F.concat_ws("-", "p_partkey", "field", "check_id"))
+    checks = checks_for_fields(cut_lineage(fields)).withColumn("query_id", F.concat_ws("-", "p_partkey", "field", "check_id"))
     found = dispatch(checks, cp.provisions(spark), None, "2024-01-01")
     return found.groupBy("field", "routed_domain", "chunk_id", "rule").agg(F.count(F.lit(1)).alias("n_labels"))
 
 
 def scan_evidence(spark, d):
     """Labels scanned with evidence from both domains: how often each declaration is answered by which chunk."""
-    labels = part_labels(table(spark, d, "part"))
+    labels = part_labels(dealt(table(spark, d, "part")))
     food = food_corpus(rule_catalogue(spark, "fssai"))
     scanned = scan_with_evidence(labels, cp.provisions(spark), food, "2024-01-01")
     rows = scanned.select("commodity_type", F.posexplode("field_evidences").alias("field_ord", "e")).select(
