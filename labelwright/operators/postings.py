@@ -7,9 +7,10 @@ becomes.  A search reads the bounds alone first (the arrays stay on disk), score
 query's most promising segments, and leaves out every segment whose bound is below the
 k-th score found there: exact, ties included.
 
-Writing moves each document once, to its segment; counting and gathering need no
-further shuffle.  A token found everywhere is one block per segment, so no task meets
-all of it.
+Writing moves each document's text once, to its segment, in parts of a bounded size;
+counting and gathering need no further shuffle.  A token found everywhere is one block
+per segment, so no task meets all of it.  Searching sends the few asked tokens, and the
+segments to be read, to the blocks; postings are not moved.
 
 Statistics are sums (documents per token, documents, words), so a change of the corpus
 is a table of differences: what left counts minus, what came counts plus.
@@ -27,24 +28,36 @@ from labelwright.fixed.limits import BM25_B, BM25_EPSILON, BM25_K1
 from labelwright.functions.text import tokens
 from labelwright.operators.lexical import INDEXED, document_frequencies, indexed_text
 from labelwright.operators.topk import SCORE_DIGITS
-from labelwright.session import cut_lineage
+from labelwright.session import cut_lineage, fits, small_side
 
 SEGMENT = 1024
 # Segments of a query that are scored first, by their bound; any number gives the same result.
 STARTS = 4
+# Bytes of the corpus per task that counts and gathers: its tables stay in memory.
+WRITE_TASK_BYTES = 4 << 20
+# (query, segment) pairs are two numbers; this many are sent to every task.
+HELD_PAIRS = 1_000_000
 
 
 # ---- statistics -----------------------------------------------------------------------------
 
-def tokenised(
+def searchable(
     corpus: DataFrame, columns: list[str] | None = None, doc_id: str = "chunk_id", order: str = "insert_ord", null_token: str = "None",
 ) -> DataFrame:
-    """(doc id, insert_ord, status, tokens) of every chunk; a corpus without a status is current."""
+    """(doc id, insert_ord, status, text) of every chunk; a corpus without a status is current."""
     present = [c for c in (columns or INDEXED) if c in corpus.columns]
     status = F.col("status") if "status" in corpus.columns else F.lit("current")
     return corpus.select(
         F.col(doc_id), F.col(order).cast("long").alias("insert_ord"), status.alias("status"),
-        tokens(indexed_text(present, null_token)).alias("tokens"))
+        indexed_text(present, null_token).alias("text"))
+
+
+def tokenised(
+    corpus: DataFrame, columns: list[str] | None = None, doc_id: str = "chunk_id", order: str = "insert_ord", null_token: str = "None",
+) -> DataFrame:
+    """(doc id, insert_ord, status, tokens) of every chunk."""
+    whole = searchable(corpus, columns, doc_id, order, null_token)
+    return whole.withColumn("tokens", tokens(F.col("text"))).drop("text")
 
 
 def merged(*parts: DataFrame) -> DataFrame:
@@ -107,9 +120,12 @@ def write_postings(
 ) -> Postings:
     """Index every chunk of ``corpus`` under ``path``; ``insert_ord`` must be unique, so that segments are bounded."""
     docs = tokenised(corpus, columns, doc_id, order, null_token)
-    # The one shuffle: by segment.  Every grouping below is inside a segment.
-    by_segment = docs.withColumn("segment", F.floor(F.col("insert_ord") / segment)).repartition("segment")
-    counts = by_segment.select(
+    # The one shuffle: by segment, as text.  Every grouping below is inside a segment.
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // WRITE_TASK_BYTES))
+    whole = searchable(corpus, columns, doc_id, order, null_token)
+    by_segment = whole.withColumn("segment", F.floor(F.col("insert_ord") / segment)).repartition(parts, "segment")
+    counts = by_segment.withColumn("tokens", tokens(F.col("text"))).select(
         "segment", doc_id, "insert_ord", "status", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("token")
     ).groupBy("segment", "token", doc_id, "insert_ord", "status", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     posting = F.struct("insert_ord", F.col(doc_id).alias("doc"), "status", "tf", "len")
@@ -162,14 +178,18 @@ def search_postings(
     asked = words.groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("qtf")).join(weights, "token").select(
         query_id, "token", (F.col("qtf") * F.col("idf")).alias("weight"))
     asked = cut_lineage(asked)
+    by_token = small_side(asked)
     bound = F.greatest(F.col("weight") * _saturated(F.col("max_tf"), F.col("min_len"), mean or 1.0), F.lit(0.0))
-    bounds = index.blocks.select("token", "segment", "max_tf", "min_len").join(asked, "token").groupBy(query_id, "segment").agg(
+    bounds = index.blocks.select("token", "segment", "max_tf", "min_len").join(by_token, "token").groupBy(query_id, "segment").agg(
         F.sum(bound).alias("most"), F.count(F.lit(1)).alias("n_blocks"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(query_id, "segment").join(asked, query_id)
-        rows = index.blocks.select("token", "segment", "postings").join(wanted, ["token", "segment"]).select(
-            query_id, "weight", F.inline("postings"))
+        wanted, blocks = pairs.select(query_id, "segment"), index.blocks.select("token", "segment", "postings")
+        if fits(asked) and fits(wanted, HELD_PAIRS):
+            met = blocks.join(by_token, "token").join(F.broadcast(wanted), [query_id, "segment"])
+        else:
+            met = blocks.join(wanted.join(asked, query_id), ["token", "segment"])
+        rows = met.select(query_id, "weight", F.inline("postings"))
         if status is not None:
             rows = rows.filter(F.col("status") == status)
         value = F.col("weight") * _saturated(F.col("tf"), F.col("len"), mean or 1.0)
