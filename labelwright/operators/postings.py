@@ -28,7 +28,7 @@ from labelwright.fixed.limits import BM25_B, BM25_EPSILON, BM25_K1
 from labelwright.functions.text import tokens
 from labelwright.operators.lexical import INDEXED, document_frequencies, indexed_text
 from labelwright.operators.topk import SCORE_DIGITS
-from labelwright.session import cut_lineage, fits, small_side
+from labelwright.session import cut_lineage, fits, small_side, tasks_for
 
 SEGMENT = 1024
 # Segments of a query that are scored first, by their bound; any number gives the same result.
@@ -121,8 +121,7 @@ def write_postings(
     """Index every chunk of ``corpus`` under ``path``; ``insert_ord`` must be unique, so that segments are bounded."""
     docs = tokenised(corpus, columns, doc_id, order, null_token)
     # The one shuffle: by segment, as text.  Every grouping below is inside a segment.
-    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // WRITE_TASK_BYTES))
+    parts = tasks_for(corpus, WRITE_TASK_BYTES, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     whole = searchable(corpus, columns, doc_id, order, null_token)
     by_segment = whole.withColumn("segment", F.floor(F.col("insert_ord") / segment)).repartition(parts, "segment")
     counts = by_segment.withColumn("tokens", tokens(F.col("text"))).select(

@@ -75,6 +75,13 @@ def spread(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
     return df.repartition(cores) if size < cores * bytes_per_core else df
 
 
+def tasks_for(df: DataFrame, bytes_per_task: int, least: int) -> int:
+    """Tasks of ``bytes_per_task`` for the files ``df`` reads, ``least`` at least; sources of unknown size don't count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return max(least, -(-sum(s for s in sizes if s < 1 << 62) // bytes_per_task))
+
+
 def dealt(df: DataFrame, bytes_per_task: int = SCAN_TASK_BYTES) -> DataFrame:
     """Deal rows that cost much more to work on than to move out to tasks of a bounded size.
 
@@ -86,5 +93,4 @@ def dealt(df: DataFrame, bytes_per_task: int = SCAN_TASK_BYTES) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming:
         return df.repartition(STREAM_TASKS_PER_CORE * cores)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(max(cores, -(-size // bytes_per_task)))
+    return df.repartition(tasks_for(df, bytes_per_task, cores))

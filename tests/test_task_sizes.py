@@ -28,13 +28,17 @@ def test_tasks_grow_with_the_table(spark, tmp_path):
     tasks = dealt(df, size // 40)
     assert 40 <= tasks.rdd.getNumPartitions() <= 42
     assert sorted(r.id for r in tasks.select("id").collect()) == list(range(200_000))
-    assert dealt(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt(df).rdd.getNumPartitions() == cores
+    # Sources of unknown size, and joins, whose size is guessed as a product.
+    assert dealt(spark.createDataFrame(df.limit(3).rdd, df.schema)).rdd.getNumPartitions() == cores
+    assert dealt(df.join(df.select("id"), "id")).rdd.getNumPartitions() == cores
 
 
 def test_large_scans_are_dealt_out(spark, tmp_path, monkeypatch):
     # A table of plenty of bytes per core: its splits hold whole row groups.
     monkeypatch.setattr("pyspark.core.context.SparkContext.defaultParallelism", property(lambda self: 1))
-    lines = spark.range(3_000_000).select(
+    lines = spark.range(1_000_000).select(
         F.xxhash64("id").alias("l_orderkey"), F.xxhash64("id", F.lit(1)).alias("l_partkey"), F.xxhash64("id", F.lit(2)).alias("l_suppkey"),
         F.lit(1).alias("l_linenumber"), F.lit(2.0).alias("l_quantity"), F.rand(3).alias("l_extendedprice"),
         F.lit(0.01).alias("l_discount"), F.lit("N").alias("l_returnflag"), F.lit("2024-01-01").cast("timestamp").alias("l_shipdate"))
