@@ -57,8 +57,8 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-# Bytes of a table file per task where every row is read by many patterns: some 200,000 order lines.
-SCAN_TASK_BYTES = 4 << 20
+# Bytes of a table file per task where every row is read by many patterns: some 50,000 order lines or 100,000 parts.
+SCAN_TASK_BYTES = 1 << 20
 # A stream's size is not known ahead; its batches get this many tasks per core.
 STREAM_TASKS_PER_CORE = 4
 
