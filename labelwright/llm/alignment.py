@@ -1,9 +1,9 @@
 """Alignment of two tokenizers over the same bytes.
 
 Both tokenizers read the same bytes of a text.  The cumulative byte ends of either
-go into a dictionary from end to index; the intersection of the two key sets,
-sorted, are the offsets where both end a token.  They slice both id lists into
-groups, and the two tokens that end a group together are a link.
+go into an array from end to index; the offsets that both arrays hold are where both
+end a token.  They slice both id lists into groups, and the two tokens that end a
+group together are a link.
 
 How often the corpus links a pair of ids is counted over all documents: every task
 counts the links of its rows by id pair, and the counts are summed up in a shuffle
@@ -24,11 +24,9 @@ table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
-from itertools import accumulate, count
 from typing import NamedTuple
 
 import numpy as np
@@ -37,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelwright.llm.common import cut_lineage
+from labelwright.llm.common import cut_lineage, small_batches
 from labelwright.llm.packing import PLAIN
 
 SPACE_MARK = "▁"
+# Links that a task gathers before it counts them.
+WAITING_LINKS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -51,19 +51,19 @@ class Reader:
     bytes_of: list[bytes]
 
     @cached_property
-    def lengths(self) -> list[int]:
-        return list(map(len, self.bytes_of))
+    def lengths(self) -> np.ndarray:
+        return np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
 
 
 class Aligned(NamedTuple):
-    a: list[int]
-    b: list[int]
-    # Index of the last token of each group, in either list.
-    ends_a: list[int]
-    ends_b: list[int]
+    a: np.ndarray
+    b: np.ndarray
+    # Index of the last token of each group, in either array.
+    ends_a: np.ndarray
+    ends_b: np.ndarray
 
 
-NOTHING = Aligned([], [], [], [])
+NOTHING = Aligned(*[np.empty(0, np.int32)] * 4)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -124,9 +124,11 @@ def piece_reader(model: str) -> Reader:
     return Reader(lambda text: pieces.encode(text, num_threads=1), [own_bytes(i) for i in range(pieces.get_piece_size())])
 
 
-def token_ends(ids: list[int], lengths: list[int]) -> dict[int, int]:
-    """Cumulative byte end of every token, and the index of the token that ends there."""
-    return dict(zip(accumulate(map(lengths.__getitem__, ids)), count()))
+def token_at(ids: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Index of the last token that ends at each of the byte offsets 0 to ``size``; -1 where none does."""
+    at = np.full(size + 1, -1, np.int32)
+    at[np.cumsum(lengths[ids])] = np.arange(len(ids), dtype=np.int32)
+    return at
 
 
 def aligned(text: str | None, first: Reader, second: Reader) -> Aligned:
@@ -137,36 +139,31 @@ def aligned(text: str | None, first: Reader, second: Reader) -> Aligned:
     a, b = first.encode(text), second.encode(text)
     if b"".join(map(first.bytes_of.__getitem__, a)) != want or b"".join(map(second.bytes_of.__getitem__, b)) != want:
         return NOTHING
-    ends_a, ends_b = token_ends(a, first.lengths), token_ends(b, second.lengths)
-    # Ends grow, so the dictionaries' keys are in order and what both hold comes out sorted.
-    common = list(filter(ends_b.__contains__, ends_a))
-    return Aligned(a, b, list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common)))
+    a, b = np.array(a, np.int32), np.array(b, np.int32)
+    at_a, at_b = token_at(a, first.lengths, len(want)), token_at(b, second.lengths, len(want))
+    common = np.flatnonzero((at_a >= 0) & (at_b >= 0))
+    return Aligned(a, b, at_a[common], at_b[common])
 
 
-def written(found: Aligned, names: list[str]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides, group by group; ``names`` holds the ids as text."""
-    def sides(ids: list[int], ends: list[int]) -> list[str]:
-        shown, i = [], 0
-        for end in ends:
-            shown.append(names[ids[i]] if i == end else ",".join([names[k] for k in ids[i : end + 1]]))
-            i = end + 1
-        return shown
-
-    return ";".join(map("|".join, zip(sides(found.a, found.ends_a), sides(found.b, found.ends_b))))
-
+def names_of(n: int) -> np.ndarray:
+    """The ids below ``n`` as text, followed by ``,``, then all by ``|``, then all by ``;``: one row of bytes each, zeros at its end."""
+    width = len(str(n)) + 1
+    return np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(n)], f"S{width}").view(np.uint8).reshape(-1, width)
 
-class Digest(NamedTuple):
-    n_a: int
-    n_b: int
-    link_a: bytes
-    link_b: bytes
-    groups: str
 
-
-def digested(found: Aligned, names: list[str]) -> Digest:
-    """Counts, links (32-bit ids) and written groups."""
-    link_a, link_b = [found.a[i] for i in found.ends_a], [found.b[j] for j in found.ends_b]
-    return Digest(len(found.a), len(found.b), array("i", link_a).tobytes(), array("i", link_b).tobytes(), written(found, names))
+def written(found: Aligned, names: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: decimal ids of both sides, group by group; ``names`` holds the ids as text."""
+    if not len(found.ends_a):
+        return b""
+    n, after_a, after_b = len(names) // 3, found.ends_a + 1, found.ends_b + 1
+    # A token's place among both sides' tokens: a group's first side comes after the groups before, its second after that.
+    place_a = np.arange(after_a[-1]) + np.repeat(after_b - np.diff(after_b, prepend=0), np.diff(after_a, prepend=0))
+    place_b = np.arange(after_b[-1]) + np.repeat(after_a, np.diff(after_b, prepend=0))
+    ids = np.empty(len(place_a) + len(place_b), np.int64)
+    ids[place_a], ids[place_b] = found.a[: len(place_a)], found.b[: len(place_b)]
+    ids[place_a[found.ends_a]] += n
+    ids[place_b[found.ends_b]] += 2 * n
+    return names[ids].tobytes().translate(None, b"\0")[:-1]
 
 
 def pair_bound(*readers: Reader) -> int:
@@ -192,7 +189,7 @@ def groups(docs: DataFrame, readers: Readers, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = readers()
-        names, listed = list(map(str, range(max(len(first.bytes_of), len(second.bytes_of))))), pa.list_(pa.int32())
+        names, listed = names_of(max(len(first.bytes_of), len(second.bytes_of))), pa.list_(pa.int32())
         for batch in batches:
             if not digest:
                 rows = (aligned(text.as_py(), first, second) for text in batch.column(1))
@@ -201,13 +198,13 @@ def groups(docs: DataFrame, readers: Readers, id_col: str = "doc_id", text_col:
                 continue
             n_a, n_b, link_a, link_b, sha = [], [], [], [], []
             for text in batch.column(1):
-                found = digested(aligned(text.as_py(), first, second), names)
-                n_a.append(found.n_a), n_b.append(found.n_b)
-                link_a.append(found.link_a), link_b.append(found.link_b)
-                sha.append(hashlib.sha256(found.groups.encode()).hexdigest() if found.groups else "")
-            ends = np.cumsum([0, *(len(x) // 4 for x in link_a)])
-            at = pa.array(ends, pa.int32())
-            links = (pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(x), np.int32))) for x in (link_a, link_b))
+                found = aligned(text.as_py(), first, second)
+                groups = written(found, names)
+                n_a.append(len(found.a)), n_b.append(len(found.b))
+                link_a.append(found.a[found.ends_a]), link_b.append(found.b[found.ends_b])
+                sha.append(hashlib.sha256(groups).hexdigest() if groups else "")
+            at = pa.array(np.cumsum([0, *map(len, link_a)]), pa.int32())
+            links = (pa.ListArray.from_arrays(at, pa.array(np.concatenate([*x, NOTHING.a]))) for x in (link_a, link_b))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), *links, pa.array(sha, pa.string())],
                 [f.name for f in kind.fields])
@@ -223,12 +220,20 @@ def keys_of(link_a: pa.Array, link_b: pa.Array) -> np.ndarray:
 def link_counts(links: DataFrame) -> DataFrame:
     """(key, n): how often each id pair is linked in a (link_a, link_b) table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
+        keys, counts, waiting = np.empty(0, np.int64), np.empty(0, np.int64), []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
             # The running table holds pairs of ids, whose number is bounded.
-            more, n = np.unique(keys_of(batch.column(0), batch.column(1)), return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            more, n = np.unique(np.concatenate([*waiting, keys[:0]]), return_counts=True)
+            waiting.clear()
+            both, at = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+        for batch in batches:
+            waiting.append(keys_of(batch.column(0), batch.column(1)))
+            if sum(map(len, waiting)) > WAITING_LINKS:
+                keys, counts = added()
+        keys, counts = added()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
     return links.select("link_a", "link_b").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -242,7 +247,8 @@ def alignment(docs: DataFrame, readers: Readers, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     found = cut_lineage(groups(docs, readers, id_col, text_col, digest=True))
-    table = link_counts(found).toArrow()
+    with small_batches(spark):
+        table = link_counts(found).toArrow()
     order = np.argsort(table.column("key").to_numpy())
     keys, counts = (table.column(c).to_numpy()[order] for c in ("key", "n"))
     second = keys & 0xFFFFFFFF
@@ -266,4 +272,5 @@ def alignment(docs: DataFrame, readers: Readers, id_col: str = "doc_id", text_co
                 [*batch.columns[:3], n, n, *(pa.array(x[stops] - x[stops - sizes]) for x in (best_sum, count_sum)), batch.column(5)],
                 [f.name for f in kind.fields])
 
-    return found.mapInArrow(run, kind)
+    # Written here, where batches are small: rows of links are as long as the texts.
+    return cut_lineage(found.mapInArrow(run, kind))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelwright.session import ensure_checkpoint_dir
@@ -80,6 +81,18 @@ def texts_of(column: pa.Array) -> Iterator[str | None]:
     return (x.as_py() for x in column)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs started meanwhile give Python ``BATCH_ROWS`` rows at once: ten thousand texts are more than a small executor has room for."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared checkpoint folder, and read again.
 
@@ -87,19 +100,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     partitioning; over the turns of a loop that multiplies until planning takes
     longer than the work.  A table is also smaller and read by column.
 
-    Rows hold whole texts, so Python gets them in batches of ``BATCH_ROWS``
-    meanwhile: ten thousand at once are more than a small executor has room for.
+    Rows hold whole texts, so the work is done in ``small_batches``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

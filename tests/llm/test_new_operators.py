@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 import brute
 from labelwright.llm import alignment, factors, queries, whitening
+from labelwright.llm.common import small_batches
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -233,3 +234,25 @@ def test_shifted_factors_survive_bad_condition():
     assert len(found) > 1 and np.allclose(np.tril(product, -1), 0)
     want = np.linalg.svd(a, compute_uv=False)
     assert np.allclose(np.linalg.svd(product, compute_uv=False), want, rtol=1e-5)
+
+
+def test_groups_are_written_as_ids():
+    found = alignment.Aligned(*(np.array(x, np.int32) for x in ([7, 10, 0, 123], [99, 5, 6, 1], [1, 3], [0, 3])))
+    assert alignment.written(found, alignment.names_of(124)) == b"7,10|99;0,123|5,6,1"
+    assert alignment.written(alignment.NOTHING, alignment.names_of(124)) == b""
+
+
+def test_alignment_leaves_no_large_batches(spark):
+    """Rows of links are read in small batches: none are left to the batch size of whoever reads the result."""
+    seen = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = alignment.alignment(spark.createDataFrame(ODD, "doc_id long, text string"), queries.public_readers)
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == seen
+
+
+def test_links_are_counted_across_waiting_batches(spark):
+    rows = [([i % 3, 1], [i % 2, 1]) for i in range(1200)]
+    links = spark.createDataFrame(rows, "link_a array<int>, link_b array<int>").coalesce(1)
+    want = Counter(a << 32 | b for x, y in rows for a, b in zip(x, y))
+    with small_batches(spark):
+        assert dict(map(tuple, alignment.link_counts(links).collect())) == want
