@@ -11,15 +11,17 @@ also starts in a document with a smaller id.
 2. Equal stretches are one class, known by 128 bits.  In every document but the class's
    first one the whole stretch is one factor.  Classes are minima, combined map-side,
    so a passage that a third of all documents hold is a row per task.
-3. The classes of an anchor that has several are the reference blocks.  Range
-   partitions by (anchor, document) hold them in order of the documents.  Within one,
-   each stretch is factored greedily against every block indexed so far: a window
-   found in the index is extended word by word to the longest factor, and the parse
-   goes on with the window that straddles the factor's end.  Windows found nowhere are
-   indexed once the document changes.  Memory is bounded by the range.
-4. An anchor may continue in the next range.  The unfound windows of a range's first
-   and last anchor are therefore handed on by their hash, and the least document of
-   each decides: no anchor needs one task.
+3. An anchor with more than ``MOST`` classes is refined: its stretches are halved, and
+   a half meets only those that have the same words in common to all its possible
+   windows.  Equal halves are one class again.  A half that ends in another context
+   than all others meets nobody and is left out; the last halves are single windows,
+   where only one class remains.  So every group gets small, without a pair lost.
+4. The classes of a group that has several are the reference blocks.  A task has whole
+   groups, in order of the documents.  Each stretch is factored greedily against every
+   block of its group indexed so far: a window found in the index is extended word by
+   word to the longest factor, and the parse goes on with the window that straddles the
+   factor's end.  Windows found nowhere are indexed once the document changes.  A group
+   is one task's, which holds ``MOST`` classes of it and those of one more document.
 
 Factors on stretches are spans of documents again, and one join by document brings
 them to the texts.  A bitmap of fixed size keeps texts that cannot be concerned out of
@@ -51,6 +53,8 @@ GRAM = 12
 FILTER_BITS = 1 << 23
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 CLASS = ("anchor", "c1", "c2")
+# Classes that a task holds of one group, unless they are of one document.
+MOST = 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -178,55 +182,106 @@ class Block:
         return spans, unfound
 
 
-def parsed(blocks: DataFrame, window: int) -> DataFrame:
-    """Spans of (anchor, c1, c2, doc, words) stretches, and their unfound windows where the anchor may go on in another task.
+def halves(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """Both halves of every piece, with the group that its words in common name and the hash of its own words in h1, h2.
 
-    Rows with a ``stop`` are spans, others windows with their hash in w1, w2.
+    A piece's windows have ``low`` to ``high`` words before their anchor, or some of these where another anchor cuts the stretch.
     """
-    longs = [*CLASS, "start", "stop", "w1", "w2"]
-    kind = T.StructType([*[T.StructField(c, T.LongType()) for c in longs], blocks.schema["doc"]])
-
+    longs = [*CLASS, "group", "h1", "h2"]
+    kind = T.StructType([
+        *[T.StructField(c, T.LongType()) for c in longs], pieces.schema["doc"],
+        *[T.StructField(c, T.IntegerType()) for c in ("from", "low", "high")], T.StructField("words", T.BinaryType())])
     fields = to_arrow_schema(kind)
 
-    def table(rows: list[tuple], docs: list) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[]] * len(longs)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip([*columns, docs], fields)], [f.name for f in kind.fields])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            rows, picked = [], []
+            columns = [batch.column(c).to_pylist() for c in (*CLASS, "from", "low", "high", "words")]
+            for k, (a, c1, c2, begin, low, high, stretch) in enumerate(zip(*columns)):
+                words = stretch.split()
+                hashed = cache.of(words)
+                # All windows of a stretch have the anchor that its first one names.
+                at = int(gram_hashes(hashed[:window], gram).argmin())
+                first, last = at, at - (len(words) - window)
+                middle = (low + high) // 2
+                for lo, hi in ((low, middle), (middle + 1, high)):
+                    most, least = min(first, hi), max(last, lo)
+                    if lo > hi or most < least:
+                        continue
+                    start, stop = at - most, at - least + window
+                    edges = np.array([at - lo, start]), np.array([at - hi + window, stop])
+                    (core, h1), (_, h2) = (range_hashes(hashed, *edges, base).tolist() for base in BASES)
+                    group = stirred(np.array([core ^ (lo << 8 | hi)], np.uint64) + np.uint64(a % 2**64)).view(np.int64)[0]
+                    own = np.array([h1, h2], np.uint64).view(np.int64).tolist()
+                    rows.append((a, c1, c2, int(group), *own, begin + start, lo, hi, b" ".join(words[start:stop])))
+                    picked.append(k)
+            columns = list(zip(*rows)) if rows else [[]] * (len(fields) - 1)
+            docs = batch.column(len(batch.columns) - 1).take(pa.array(picked, pa.int64()))
+            made = [pa.array(c, f.type) for c, f in zip(columns, [f for f in fields if f.name != "doc"])]
+            yield pa.RecordBatch.from_arrays([*made[: len(longs)], docs, *made[len(longs) :]], fields.names)
+
+    return pieces.select(*CLASS, "from", "low", "high", "words", "doc").mapInArrow(run, kind)
+
+
+def grouped(blocks: DataFrame, window: int, gram: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of the stretches in groups of at most ``most`` classes, and the spans that equal halves have told."""
+    pieces = blocks.select(*CLASS, F.col("anchor").alias("group"), "doc", F.lit(0).alias("from"), F.lit(0).alias("low"),
+                           F.lit(window - gram).alias("high"), "words")
+    done = whole = None
+    while True:
+        sizes = cut_lineage(pieces.groupBy("group").agg(
+            F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("group", "n"))
+        # Single windows of one group are equal; their class has been told.
+        large = sizes.where(F.col("n") > most)
+        over = large.isEmpty()
+        few = pieces.join(sizes if over else sizes.where(F.col("n") <= most), "group", "left_semi").select(*CLASS, "group", "doc", "from", "words")
+        done = few if done is None else done.union(few)
+        if over:
+            break
+        cut = cut_lineage(halves(pieces.join(large, "group", "left_semi"), window, gram))
+        firsts = cut_lineage(cut.groupBy("group", "h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
+        equal = firsts.where("first < last").drop("last")
+        meeting = firsts.groupBy("group").agg(F.min("first").alias("least"), F.max("last").alias("last")).where("least < last").select("group")
+        marked = cut_lineage(cut.join(meeting, "group", "left_semi").join(equal, ["group", "h1", "h2"], "left"))
+        told = marked.where(F.col("doc") > F.col("first")).select(
+            *CLASS, "doc", F.col("from").cast("long").alias("start"), (F.col("from") + F.size(F.split("words", " "))).cast("long").alias("stop"))
+        whole = told if whole is None else whole.union(told)
+        # Equal pieces of the first document stay: what it repeats of others holds for all of them.
+        pieces = marked.where("first IS NULL OR doc = first").select(*pieces.columns)
+    return done, whole
+
+
+def parsed(blocks: DataFrame, window: int) -> DataFrame:
+    """(anchor, c1, c2, doc, start, stop): factors of the pieces of stretches, group by group; ``from`` is a piece's first word."""
+    longs = [*CLASS, "start", "stop"]
+    kind = T.StructType([*[T.StructField(c, T.LongType()) for c in longs], blocks.schema["doc"]])
+    fields = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, block, anchor, doc, first = WordHashes(), Block(), None, None, True
-        open_rows, open_docs = [], []
+        cache, block, group, doc = WordHashes(), Block(), None, None
         for batch in batches:
             rows, docs = [], []
-            for a, c1, c2, d, stretch in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != anchor:
-                    if anchor is not None and first:
-                        # The first anchor of the range may have begun in the one before.
-                        rows += open_rows
-                        docs += open_docs
-                        first = False
-                    block, anchor, doc, open_rows, open_docs = Block(), a, d, [], []
+            for g, a, c1, c2, d, begin, stretch in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != group:
+                    block, group, doc = Block(), g, d
                 elif d != doc:
                     block.admit()
                     doc = d
                 words = stretch.split()
                 hashed = cache.of(words)
                 at = np.arange(len(words) - window + 1)
-                w1, w2 = (range_hashes(hashed, at, at + window, base).view(np.int64).tolist() for base in BASES)
-                spans, unfound = block.factors(stretch, words, w1, window)
-                rows += [(a, c1, c2, s, e, None, None) for s, e in spans]
+                spans, _ = block.factors(stretch, words, range_hashes(hashed, at, at + window, BASES[0]).view(np.int64).tolist(), window)
+                rows += [(a, c1, c2, begin + s, begin + e) for s, e in spans]
                 docs += [d] * len(spans)
-                open_rows += [(a, c1, c2, i, None, w1[i], w2[i]) for i in unfound]
-                open_docs += [d] * len(unfound)
-            yield table(rows, docs)
-        if anchor is not None:
-            yield table(open_rows, open_docs)
+            columns = list(zip(*rows)) if rows else [[]] * len(longs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, docs], fields)], fields.names)
 
-    ordered = blocks.repartitionByRange("anchor", "doc").sortWithinPartitions("anchor", "doc")
-    return ordered.select(*CLASS, "doc", "words").mapInArrow(run, kind)
+    ordered = blocks.repartition("group").sortWithinPartitions("group", "doc")
+    return ordered.select("group", *CLASS, "doc", "from", "words").mapInArrow(run, kind)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS, most: int = MOST) -> DataFrame:
     """(doc, key, spans) of the documents of a (doc, key, text) table that repeat words of a smaller one."""
     every = all_stretches(docs, window, gram)
     shared = every.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor")
@@ -234,12 +289,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     classes = cut_lineage(rows.groupBy(*CLASS).agg(F.min(F.struct("doc", "key", "at", "len")).alias("src")))
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     blocks = cut_lineage(with_words(classes.join(several, "anchor"), docs, bits))
-    told = cut_lineage(parsed(blocks, window))
-    spans = told.where(F.col("stop").isNotNull()).select(*CLASS, "doc", "start", "stop")
-    unfound = told.where(F.col("stop").isNull())
-    least = unfound.groupBy("w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").drop("high")
-    across = unfound.join(least, ["w1", "w2"]).where(F.col("doc") > F.col("low"))
-    spans = spans.union(across.select(*CLASS, "doc", "start", (F.col("start") + window).alias("stop")))
+    pieces, told = grouped(blocks, window, gram, most)
+    spans = cut_lineage(parsed(pieces, window))
+    spans = spans if told is None else spans.union(told.select(*spans.columns))
     # A class's factors belong to its first document; in later ones the whole stretch is a factor.
     marked = rows.join(classes.select(*CLASS, F.col("src.doc").alias("first")), list(CLASS))
     whole = marked.where(F.col("doc") > F.col("first")).select("doc", "key", F.col("at").cast("long").alias("start"), (F.col("at") + F.col("len")).cast("long").alias("stop"))
@@ -249,11 +301,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
 
 def without_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS,
-    counts: bool = False,
+    counts: bool = False, most: int = MOST,
 ) -> DataFrame:
     """``docs`` with the kept words as text; with ``counts``, n_words and n_removed follow."""
     doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    found = cut_lineage(repeated_spans(docs.select(doc.alias("doc"), text_key(text).alias("key"), text.alias("text")), window, gram, bits))
+    found = cut_lineage(repeated_spans(docs.select(doc.alias("doc"), text_key(text).alias("key"), text.alias("text")), window, gram, bits, most))
     bitmap = print_filter(found.select(F.col("key").alias("print")), bits)
     rows = packed(docs, row_doc=doc, key=text_key(text))
     hit = found.select(F.col("doc").alias("hit_doc"), F.col("key").alias("hit_key"), "spans")

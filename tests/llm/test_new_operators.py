@@ -256,3 +256,26 @@ def test_links_are_counted_across_waiting_batches(spark):
     want = Counter(a << 32 | b for x, y in rows for a, b in zip(x, y))
     with small_batches(spark):
         assert dict(map(tuple, alignment.link_counts(links).collect())) == want
+
+
+@pytest.mark.parametrize("window, gram, most", [(50, 12, 1), (10, 3, 2), (4, 1, 1)])
+def test_passages_of_refined_groups(spark, window, gram, most):
+    """Anchors with more classes than a task holds are halved until few meet, and lose no window."""
+    rows = passage_cases(window % 3)
+    out = factors.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window=window, gram=gram, counts=True, most=most)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect()), key=str)
+    assert got == sorted(brute.passages(rows, window), key=str) and sum(r[2] for r in got) > 0
+
+
+def test_one_passage_in_many_contexts_hands_on_few_rows(spark):
+    """A passage in every document, among words of its own: pieces that meet nobody go, so few are left to be parsed."""
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(14)]
+    rows = [(i, " ".join([f"a{i}-{j}" for j in range(12)] + shared + [f"b{i}-{j}" for j in range(12)])) for i in range(200)]
+    rows += [(300 + i, " ".join([f"x{rng.randrange(2)}" for _ in range(6)] + shared[: rng.randrange(11, 15)] + ["y", "z"])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = factors.without_repeats(docs, window=12, gram=4, counts=True, most=8)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in out.collect())
+    assert got == sorted(brute.passages(rows, 12))
+    spans = factors.repeated_spans(docs.selectExpr("doc_id AS doc", "doc_id AS key", "text"), 12, 4, most=8)
+    assert spans.count() == sum(r[2] > 0 for r in got) > 200
