@@ -21,6 +21,9 @@ gathered around pivots:
    for n members.  Members that components then join need no further comparison.
 2. Of a small star that still holds several components (``SMALL`` members), the
    pairs across components are compared.
+   Of one of up to ``WITHIN`` members, one task gets what each member lacks of the
+   pivot and adds to it, which gives every pair's similarity without the texts; only
+   links that join components leave the task, fewer than members.
 3. In a larger one most such pairs are ruled out by what the comparison with the
    pivot p told.  Let x lack r(x) shingles of p and have a(x) others.  Then
    |x & y| = |p| - r(x) - r(y) + s, where s counts the shingles of p both lack
@@ -64,8 +67,8 @@ from labelwright.llm.components import components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
-SMALL, SUB_SMALL = 12, 64
-ROUNDS = 3
+SMALL, WITHIN, SUB_SMALL = 12, 256, 4
+ROUNDS = 5
 PLACES = 1 << 20
 SEED = 20_240_229
 
@@ -134,16 +137,17 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Pairs (a, b, deep) on their full sets: linked, size of a, shingles b lacks and, if ``deep``, those only b has."""
+    """Pairs (a, b, deep) on their full sets: linked, size of a, shingles b lacks and adds and, if ``deep``, those themselves."""
     kind = T.StructType([
         pairs.schema["a"], pairs.schema["b"], T.StructField("linked", T.BooleanType()), T.StructField("size_a", T.LongType()),
-        T.StructField("lacks", T.LongType()), T.StructField("adds", T.LongType()), T.StructField("added", T.ArrayType(T.LongType()))])
+        T.StructField("lacks", T.LongType()), T.StructField("adds", T.LongType()), T.StructField("lacked", T.ArrayType(T.LongType())),
+        T.StructField("added", T.ArrayType(T.LongType()))])
     percent = round(threshold * 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, last, last_set = WordHashes(), None, None
         for batch in batches:
-            linked, size, lacks, adds, added = [], [], [], [], []
+            linked, size, lacks, adds, lacked, added = [], [], [], [], [], []
             for deep, a, b in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
                 a = a.as_py()
                 if a != last:
@@ -152,10 +156,11 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
                 both = len(np.intersect1d(last_set, other, assume_unique=True))
                 linked.append(100 * both >= percent * (len(last_set) + len(other) - both))
                 size.append(len(last_set)), lacks.append(len(last_set) - both), adds.append(len(other) - both)
+                lacked.append(np.setdiff1d(last_set, other, assume_unique=True).view(np.int64) if deep else None)
                 added.append(np.setdiff1d(other, last_set, assume_unique=True).view(np.int64) if deep else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (size, lacks, adds)),
-                 pa.array(added, pa.list_(pa.int64()))], [f.name for f in kind.fields])
+                 pa.array(lacked, pa.list_(pa.int64())), pa.array(added, pa.list_(pa.int64()))], [f.name for f in kind.fields])
 
     with_b = pairs.hint("merge").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.hint("merge").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
@@ -201,13 +206,46 @@ def _all_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
     return two.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(False).alias("deep")).distinct()
 
 
+def _within(stars: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the parts of each star, from what its members lack of the pivot and add to it."""
+    member = F.struct("b", "part", "home", (F.col("home") == F.col("a")).alias("own"), "size_a", "lacked", "added")
+    kind = T.StructType([T.StructField("a", stars.schema["b"].dataType), T.StructField("b", stars.schema["b"].dataType)])
+    percent = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0):
+                rows = members.values
+                ids, parts, homes, own, size = (rows.field(c).to_pylist() for c in ("b", "part", "home", "own", "size_a"))
+                lacked, added = ([np.asarray(x.values) for x in rows.field(c)] for c in ("lacked", "added"))
+                at = {part: i for i, part in enumerate(dict.fromkeys(parts))}
+                group, found = np.array([at[part] for part in parts]), []
+                for i in range(len(ids)):
+                    for j in range(i + 1, len(ids)):
+                        if group[i] == group[j] or not (homes[i] != homes[j] or own[i]):
+                            continue
+                        total = 2 * size[i] - len(lacked[i]) - len(lacked[j]) + len(added[i]) + len(added[j])
+                        kept = size[i] - len(lacked[i]) - len(lacked[j])
+                        most = kept + min(len(lacked[i]), len(lacked[j])) + min(len(added[i]), len(added[j]))
+                        if 100 * most < percent * (total - most):
+                            continue
+                        both = kept + sum(len(np.intersect1d(x[i], x[j], assume_unique=True)) for x in (lacked, added))
+                        if 100 * both >= percent * (total - both):
+                            found.append((i, j))
+                            group[group == group[j]] = group[i]
+                ends = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([rows.field("b").take(e) for e in ends], ["a", "b"])
+
+    return stars.groupBy("a").agg(F.collect_list(member).alias("all")).select("all").mapInArrow(run, kind)
+
+
 def _prefixes(stars: DataFrame, threshold: float) -> DataFrame:
     """The rarest added shingles of every member, one row each with a ``bucket``: a pair that shares enough shares one."""
     own = stars.select("a", "b", F.explode("added").alias("own"))
     held = own.groupBy("a", "own").agg(F.count(F.lit(1)).alias("n"))
     ranked = own.join(held, ["a", "own"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "own"))).alias("keys"))
     gains = stars.groupBy("a").agg(F.min(F.col("adds") - F.col("lacks")).alias("gain"))
-    both = stars.drop("added").join(gains, "a").join(ranked, ["a", "b"])
+    both = stars.drop("lacked", "added").join(gains, "a").join(ranked, ["a", "b"])
     need = F.expr(f"cast(greatest(ceil(({threshold} * size_a - size_a + {threshold} * adds + lacks + {threshold} * gain) / (1 + {threshold}) - 1e-6), 1) AS int)")
     prefix = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - need + 1, F.lit(0)))
     rows = both.select("a", "b", "home", "part", "size_a", "lacks", "adds", F.explode(prefix).alias("key")).where("key.n > 1")
@@ -239,9 +277,10 @@ def linked_classes(members: DataFrame, texts: DataFrame, words: int, threshold:
         if opened.isEmpty():
             return joined
         placed = cut_lineage(placed.join(opened, "a").join(told, ["a", "b"]))
-        few, large = placed.where(F.col("n") <= SMALL).drop("n"), placed.where(F.col("n") > SMALL).drop("n")
+        few, large = placed.where(F.col("n") <= SMALL).drop("n"), placed.where(F.col("n") > WITHIN).drop("n")
+        links = links.union(cut_lineage(_within(placed.where((F.col("n") > SMALL) & (F.col("n") <= WITHIN)), threshold)))
         # x is not linked with the pivot, y lacks more than it adds: else what both lack cannot be enough.
-        lack = large.drop("added").where("NOT linked OR lacks > adds")
+        lack = large.drop("lacked", "added").where("NOT linked OR lacks > adds")
         enough = F.expr(
             f"NOT x_linked AND y_lacks > y_adds AND {threshold} * (x_size_a + x_adds + y_adds) - (x_size_a - x_lacks - y_lacks)"
             f" <= (1 + {threshold}) * least(x_lacks, y_lacks) + 1e-6")

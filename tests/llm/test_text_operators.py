@@ -253,3 +253,21 @@ def test_prefixes_lose_no_link(spark):
     got = {r.doc: (r.n_shingles, r.component) for r in minhash.near_duplicates(df, words=4, bands=60, rows=2).collect()}
     want = brute.near(rows, 4)
     assert got == want and 1 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_pairs_of_a_star_leave_its_task_as_few_links(spark):
+    """Members of one star, alike but unlike the pivot: fewer links than members come out, and join what all pairs would."""
+    rng = random.Random(5)
+    pivot, rows, sets = set(range(100)), [], {}
+    for b in range(1, 41):
+        lacked, added = set(range(35)), {1000 + i for i in range(35)}
+        for _ in range(rng.randrange(9)):
+            lacked.add(rng.randrange(35, 100)), added.add(rng.randrange(2000, 2200))
+        sets[b] = pivot - lacked | added
+        rows.append((0, b, (1, b), b, 100, sorted(lacked), sorted(added)))
+    kind = "a long, b long, home struct<met: int, doc: long>, part long, size_a long, lacked array<long>, added array<long>"
+    got = [tuple(r) for r in minhash._within(spark.createDataFrame(rows, kind), 0.8).collect()]
+    linked = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    assert len(got) < len(sets) < len(linked) and {tuple(sorted(p)) for p in got} <= set(linked)
+    both = [{r.node: r.component for r in components(spark.createDataFrame(e, "a long, b long")).collect()} for e in (got, linked)]
+    assert both[0] == both[1]
