@@ -19,28 +19,17 @@ gathered around pivots:
    where two members with one home elsewhere need no further look.
    Every member of a star is compared with its pivot on the full sets: n pairs
    for n members.  Members that components then join need no further comparison.
-2. Of a small star that still holds several components (``SMALL`` members), the
-   pairs across components are compared.
-   Of one of up to ``WITHIN`` members, one task gets what each member lacks of the
-   pivot and adds to it, which gives every pair's similarity without the texts; only
-   links that join components leave the task, fewer than members.
-3. In a larger one most such pairs are ruled out by what the comparison with the
-   pivot p told.  Let x lack r(x) shingles of p and have a(x) others.  Then
-   |x & y| = |p| - r(x) - r(y) + s, where s counts the shingles of p both lack
-   and the others both have; similarity t needs s >= (t (|p| + a(x) + a(y)) -
-   (|p| - r(x) - r(y))) / (1 + t).  The first part of s is at most min(r(x),
-   r(y)).  So x and y are compared only if that alone can do, or if they share
-   enough shingles that p lacks: c(x, y), what is missing from s, and at least
-   c(x) = (t |p| - |p| + t a(x) + r(x) + t d) / (1 + t) whatever y is, d being the
-   least a - r of the star.  Of sets that share c(x) elements, the first a(x) -
-   c(x) + 1 elements of x in a common order hold one (a prefix filter); the order
-   is by how many members of the star hold a shingle, rarest first.  Those who
-   share a shingle of their prefixes are a bucket of their own: its pairs are
-   compared if it is small (``SUB_SMALL`` members), else the procedure starts
-   again there; in the last of ``ROUNDS`` rounds all are treated as small.
-
-No pair that shares a band and could be linked goes unexamined, and no large
-bucket gives all its pairs.
+2. The members of a star that still holds several components are compared inside
+   tasks, without the texts: what x and y lack of the pivot p and add to it (L, A)
+   gives |x & y| = |p| - |Lx| - |Ly| + |Lx & Ly| + |Ax & Ay|.  A task takes a star
+   whole if it is light (``WEIGHT`` shingles lacked or added); a heavier one is cut
+   into blocks, by whether its members are linked with the pivot and by size, and
+   every two blocks meet that can hold a link between components: not two of
+   members linked with the pivot, nor two whose sizes are too far apart.  Only links
+   that join components leave a task, fewer than its members.
+
+No pair that shares a band and could be linked goes unexamined, and pairs are
+numbers inside a task, never rows.
 
 Results: a document is linked with those whose sets have a Jaccard similarity of
 at least the threshold; component_id is the least doc_id reachable.  Null or
@@ -52,6 +41,7 @@ stay alone, with a null component.  Extra columns are passed on or ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,8 +57,8 @@ from labelwright.llm.components import components
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 28, 5
-SMALL, WITHIN, SUB_SMALL = 12, 256, 4
-ROUNDS = 5
+WEIGHT, MEMBER = 1 << 18, 128
+COLUMNS = 2048
 PLACES = 1 << 20
 SEED = 20_240_229
 
@@ -167,12 +157,10 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -
     return both.select("a", "b", "deep", "text_a", "text_b").mapInArrow(run, kind)
 
 
-def _stars(members: DataFrame, several: Column) -> DataFrame:
-    """(a, b, home): pivots and the members of their stars, from the (bucket, doc) rows of buckets for which ``several`` holds."""
-    columns = [F.min("part").alias("p"), F.max("part").alias("q")] if "part" in members.columns else []
-    sums = members.groupBy("bucket").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"), *columns)
-    shared = cut_lineage(sums.where(several).select("bucket", "n"))
-    rows = cut_lineage(members.join(shared, "bucket").select("bucket", "doc", "n"))
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b, home): pivots and the members of their stars, from the (bucket, doc) rows of buckets with several documents."""
+    sizes = cut_lineage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    rows = cut_lineage(members.join(sizes, "bucket").select("bucket", "doc", "n"))
     met = rows.groupBy("doc").agg((-F.sum("n")).alias("met"))
     pivots = cut_lineage(rows.join(met, "doc").groupBy("bucket").agg(F.min(F.struct("met", "doc")).alias("pivot")))
     near = cut_lineage(rows.join(pivots, "bucket").select("bucket", "doc", "pivot"))
@@ -185,116 +173,120 @@ def _stars(members: DataFrame, several: Column) -> DataFrame:
     return cut_lineage(stars.where(F.col("a") != F.col("b")).distinct())
 
 
-def _opened(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n) of the groups of (a, b, home, part) rows that hold a pair still to be looked at."""
-    sums = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.min("part").alias("p"), F.max("part").alias("q"), F.min("home").alias("h"),
-        F.max("home").alias("i"), F.count_if(F.col("home") == F.col("a")).alias("own"))
-    return cut_lineage(sums.where("p <> q AND (h <> i OR own > 1)").select(key, "n"))
+def _opened(rows: DataFrame) -> DataFrame:
+    """(a) of the stars of (a, b, home, part) rows that hold a pair still to be looked at."""
+    sums = rows.groupBy("a").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.min("home").alias("h"), F.max("home").alias("i"),
+        F.count_if(F.col("home") == F.col("a")).alias("own"))
+    return cut_lineage(sums.where("p <> q AND (h <> i OR own > 1)").select("a"))
+
+
+def _dealt(stars: DataFrame, percent: int, weight: int) -> DataFrame:
+    """``stars`` with the ``meeting`` each row goes to, and the ``side`` it takes there: null for light stars, which meet whole."""
+    lacks, adds = F.size("lacked"), F.size("added")
+    # Sizes of linked sets differ by a factor of 100 / percent at most, so by a step; the steps are a little wider against rounding.
+    width = -1.001 * math.log(min(percent, 99.9) / 100)
+    rows = stars.withColumns({
+        "near": 100 * (F.col("size_a") - lacks) >= percent * (F.col("size_a") + adds),
+        "step": F.floor(F.log((F.col("size_a") - lacks + adds).cast("double")) / width)})
+    cells = cut_lineage(rows.groupBy("a", "near", "step").agg(F.sum(lacks + adds + MEMBER).alias("weight")))
+    heavy = cells.groupBy("a").agg(F.sum("weight").alias("total")).where(F.col("total") > weight).select("a", F.lit(True).alias("heavy"))
+    cells = cut_lineage(cells.join(heavy, "a").withColumn("cuts", F.ceil(F.col("weight") / weight)))
+    x, y = (cells.select("a", F.struct("near", "step").alias(f"cell_{c}"), F.col("cuts").alias(f"cuts_{c}")) for c in "xy")
+    cell_pairs = x.join(y, "a").where("cell_x <= cell_y AND NOT (cell_x.near AND cell_y.near) AND abs(cell_x.step - cell_y.step) <= 1")
+    blocks = cell_pairs.withColumn("cut_x", F.explode(F.expr("sequence(0L, cuts_x - 1)"))).withColumn(
+        "cut_y", F.explode(F.expr("sequence(if(cell_x = cell_y, cut_x, 0L), cuts_y - 1)")))
+    meeting = F.struct("cell_x", "cut_x", "cell_y", "cut_y").alias("meeting")
+    sides = F.expr("filter(array(struct(false AS side, cell_x AS cell, cut_x AS cut), struct(true AS side, cell_y AS cell, cut_y AS cut)),"
+                   " z -> NOT z.side OR cell_x <> cell_y OR cut_x <> cut_y)")
+    seats = cut_lineage(blocks.select("a", meeting, F.explode(sides).alias("seat")).select(
+        "a", "meeting", "seat.side", "seat.cell.near", "seat.cell.step", "seat.cut"))
+    cuts = cells.select("a", "near", "step", "cuts")
+    placed = rows.join(cuts, ["a", "near", "step"], "left").withColumn(
+        "cut", F.coalesce(F.pmod(F.xxhash64("b"), F.col("cuts")), F.lit(0)))
+    light = placed.where("cuts IS NULL").select(*stars.columns, F.lit(None).cast(seats.schema["meeting"].dataType).alias("meeting"), F.lit(False).alias("side"))
+    dealt = placed.where("cuts IS NOT NULL").join(seats, ["a", "near", "step", "cut"]).select(*stars.columns, "meeting", "side")
+    return light.union(dealt)
+
+
+def _shared(held: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Elements in common of the sets ``first`` and ``second`` name, by products of incidence matrices of some columns at a time."""
+    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    _, column, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    often = times > 1
+    kept, rank = often[column], np.cumsum(often) - 1
+    owner, column = owner[kept], rank[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(first), len(second)), np.int32)
+    for start in range(0, int(often.sum()), COLUMNS):
+        here = slice(*np.searchsorted(column, (start, start + COLUMNS)))
+        grid = np.zeros((len(held), COLUMNS), np.float32)
+        grid[owner[here], column[here] - start] = 1
+        out += (grid[first] @ grid[second].T).astype(np.int32)
+    return out
 
 
-def _all_pairs(rows: DataFrame, key: str, threshold: float) -> DataFrame:
-    """Pairs (a, b, deep) to be looked at among the members of one ``key``: those whose sizes allow a link."""
-    member = F.struct("b", "part", "home", (F.col("home") == F.col("a")).alias("own"), "size_a", "lacks", "adds")
-    sets = rows.groupBy(key).agg(F.sort_array(F.collect_list(member)).alias("all")).select("all").distinct()
-    one = sets.select("all", F.explode("all").alias("x"))
-    # What both can share beyond the pivot's part: see the module's text.
-    able = (f"{threshold} * (x.size_a + x.adds + y.adds) - (x.size_a - x.lacks - y.lacks)"
-            f" <= (1 + {threshold}) * (least(x.lacks, y.lacks) + least(x.adds, y.adds)) + 1e-6")
-    two = one.select("x", F.explode(F.expr(
-        f"filter(all, y -> y.b > x.b AND y.part <> x.part AND (y.home <> x.home OR x.own) AND {able})")).alias("y"))
-    return two.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"), F.lit(False).alias("deep")).distinct()
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph of a symmetric matrix."""
+    left, edges = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        queue = [root] if left[root] else []
+        left[root] = False
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(linked[i] & left)
+            left[new] = False
+            edges += [(i, j) for j in new.tolist()]
+            queue += new.tolist()
+    return edges
 
 
-def _within(stars: DataFrame, threshold: float) -> DataFrame:
+def _within(stars: DataFrame, threshold: float, weight: int = WEIGHT) -> DataFrame:
     """Links (a, b) that join the parts of each star, from what its members lack of the pivot and add to it."""
-    member = F.struct("b", "part", "home", (F.col("home") == F.col("a")).alias("own"), "size_a", "lacked", "added")
     kind = T.StructType([T.StructField("a", stars.schema["b"].dataType), T.StructField("b", stars.schema["b"].dataType)])
     percent = round(threshold * 100)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for members in batch.column(0):
-                rows = members.values
-                ids, parts, homes, own, size = (rows.field(c).to_pylist() for c in ("b", "part", "home", "own", "size_a"))
-                lacked, added = ([np.asarray(x.values) for x in rows.field(c)] for c in ("lacked", "added"))
-                at = {part: i for i, part in enumerate(dict.fromkeys(parts))}
-                group, found = np.array([at[part] for part in parts]), []
-                for i in range(len(ids)):
-                    for j in range(i + 1, len(ids)):
-                        if group[i] == group[j] or not (homes[i] != homes[j] or own[i]):
-                            continue
-                        total = 2 * size[i] - len(lacked[i]) - len(lacked[j]) + len(added[i]) + len(added[j])
-                        kept = size[i] - len(lacked[i]) - len(lacked[j])
-                        most = kept + min(len(lacked[i]), len(lacked[j])) + min(len(added[i]), len(added[j]))
-                        if 100 * most < percent * (total - most):
-                            continue
-                        both = kept + sum(len(np.intersect1d(x[i], x[j], assume_unique=True)) for x in (lacked, added))
-                        if 100 * both >= percent * (total - both):
-                            found.append((i, j))
-                            group[group == group[j]] = group[i]
-                ends = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([rows.field("b").take(e) for e in ends], ["a", "b"])
-
-    return stars.groupBy("a").agg(F.collect_list(member).alias("all")).select("all").mapInArrow(run, kind)
-
-
-def _prefixes(stars: DataFrame, threshold: float) -> DataFrame:
-    """The rarest added shingles of every member, one row each with a ``bucket``: a pair that shares enough shares one."""
-    own = stars.select("a", "b", F.explode("added").alias("own"))
-    held = own.groupBy("a", "own").agg(F.count(F.lit(1)).alias("n"))
-    ranked = own.join(held, ["a", "own"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "own"))).alias("keys"))
-    gains = stars.groupBy("a").agg(F.min(F.col("adds") - F.col("lacks")).alias("gain"))
-    both = stars.drop("lacked", "added").join(gains, "a").join(ranked, ["a", "b"])
-    need = F.expr(f"cast(greatest(ceil(({threshold} * size_a - size_a + {threshold} * adds + lacks + {threshold} * gain) / (1 + {threshold}) - 1e-6), 1) AS int)")
-    prefix = F.slice("keys", F.lit(1), F.greatest(F.size("keys") - need + 1, F.lit(0)))
-    rows = both.select("a", "b", "home", "part", "size_a", "lacks", "adds", F.explode(prefix).alias("key")).where("key.n > 1")
-    return cut_lineage(rows.select("a", "b", "home", "part", "size_a", "lacks", "adds", F.xxhash64("a", "key.own").alias("bucket")))
-
-
-def _across(stars: DataFrame, condition: Column) -> DataFrame:
-    """Pairs (a, b, deep) to be looked at among the members x, y of one star for which ``condition`` holds."""
-    x = stars.select("a", *[F.col(c).alias(f"x_{c}") for c in stars.columns if c != "a"])
-    y = stars.select("a", *[F.col(c).alias(f"y_{c}") for c in stars.columns if c != "a"])
-    open_ = F.expr("x_part <> y_part AND (x_home <> y_home OR x_home = a)")
-    both = x.join(y, "a").where(open_ & condition)
-    return both.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b"), F.lit(False).alias("deep")).distinct()
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        size, side = rows["size_a"][0].as_py(), rows["side"].to_numpy()
+        # What is lacked is the pivot's, what is added is not: one set holds both.
+        lacked, added = ([x.values.to_numpy() for x in rows[c]] for c in ("lacked", "added"))
+        lacks, adds = (np.array([len(x) for x in c]) for c in (lacked, added))
+        part, home = (np.unique(rows[c].to_numpy(), return_inverse=True)[1] for c in ("part", "home"))
+        own = rows["own"].to_numpy()
+        # Two blocks are compared with each other; each has had its own meeting.
+        first, second = (np.flatnonzero(side == s) for s in (False, side.any()))
+        kept = size - lacks[first][:, None] - lacks[second]
+        both = kept + _shared([np.concatenate(h) for h in zip(lacked, added)], first, second)
+        total = size + kept + adds[first][:, None] + adds[second]
+        found = 100 * both >= percent * (total - both)
+        found &= part[first][:, None] != part[second]
+        found &= (home[first][:, None] != home[second]) | own[first][:, None]
+        linked = np.zeros((len(side), len(side)), bool)
+        linked[np.ix_(first, second)] = found
+        ends = np.array(_forest(linked | linked.T), np.int64).reshape(-1, 2)
+        return pa.table([rows["b"].take(pa.array(ends[:, k])) for k in (0, 1)], ["a", "b"])
+
+    dealt = _dealt(stars.select("a", "b", "home", "part", "size_a", "lacked", "added", (F.col("home") == F.col("a")).alias("own")), percent, weight)
+    return dealt.groupBy("a", "meeting").applyInArrow(run, kind)
 
 
 def linked_classes(members: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """(node, component) of the (bucket, doc) rows; see the module's text for the steps."""
-    stars, links = _stars(members, F.col("low") != F.col("high")), None
-    for turn in range(1, ROUNDS + 1):
-        sizes = cut_lineage(stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
-        deep = stars.join(sizes, "a").select("a", "b", (F.col("n") > SMALL).alias("deep"))
-        told = cut_lineage(compared(deep, texts, words, threshold))
-        found = told.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        placed = cut_lineage(stars.join(joined.withColumnRenamed("node", "b"), "b", "left").select(
-            "a", "b", "home", F.coalesce("component", "b").alias("part")))
-        opened = _opened(placed, "a")
-        if opened.isEmpty():
-            return joined
-        placed = cut_lineage(placed.join(opened, "a").join(told, ["a", "b"]))
-        few, large = placed.where(F.col("n") <= SMALL).drop("n"), placed.where(F.col("n") > WITHIN).drop("n")
-        links = links.union(cut_lineage(_within(placed.where((F.col("n") > SMALL) & (F.col("n") <= WITHIN)), threshold)))
-        # x is not linked with the pivot, y lacks more than it adds: else what both lack cannot be enough.
-        lack = large.drop("lacked", "added").where("NOT linked OR lacks > adds")
-        enough = F.expr(
-            f"NOT x_linked AND y_lacks > y_adds AND {threshold} * (x_size_a + x_adds + y_adds) - (x_size_a - x_lacks - y_lacks)"
-            f" <= (1 + {threshold}) * least(x_lacks, y_lacks) + 1e-6")
-        own = _prefixes(large, threshold)
-        own = cut_lineage(own.join(_opened(own, "bucket"), "bucket"))
-        small = F.lit(True) if turn == ROUNDS else F.col("n") <= SUB_SMALL
-        pairs = _all_pairs(few, "a", threshold).union(_across(lack, enough)).union(_all_pairs(own.where(small), "bucket", threshold))
-        pairs = cut_lineage(pairs.distinct())
-        links = links.union(cut_lineage(compared(pairs, texts, words, threshold)).where("linked").select("a", "b"))
-        if turn < ROUNDS:
-            stars = _stars(own.where(F.col("n") > SUB_SMALL).select("bucket", F.col("b").alias("doc"), "part"), F.col("p") != F.col("q"))
-            if stars.isEmpty():
-                break
-    return components(links)
+    stars = _stars(members)
+    sizes = cut_lineage(stars.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    deep = stars.join(sizes, "a").select("a", "b", (F.col("n") > 1).alias("deep"))
+    told = cut_lineage(compared(deep, texts, words, threshold))
+    links = told.where("linked").select("a", "b")
+    joined = components(links)
+    placed = cut_lineage(stars.join(joined.withColumnRenamed("node", "b"), "b", "left").select(
+        "a", "b", "home", F.coalesce("component", "b").alias("part")))
+    opened = _opened(placed)
+    if opened.isEmpty():
+        return joined
+    placed = cut_lineage(placed.join(opened, "a").join(told.select("a", "b", "size_a", "lacked", "added"), ["a", "b"]))
+    return components(links.union(cut_lineage(_within(placed, threshold))))
 
 
 def near_duplicates(

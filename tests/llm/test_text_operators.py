@@ -271,3 +271,53 @@ def test_pairs_of_a_star_leave_its_task_as_few_links(spark):
     assert len(got) < len(sets) < len(linked) and {tuple(sorted(p)) for p in got} <= set(linked)
     both = [{r.node: r.component for r in components(spark.createDataFrame(e, "a long, b long")).collect()} for e in (got, linked)]
     assert both[0] == both[1]
+
+
+def _star(rng, pivot, families, members):
+    """Rows of one star for ``minhash._within``, and the members' sets: families unlike each other around a pivot, some linked with it."""
+    rows, sets = [], {}
+    for b in range(1, members + 1):
+        family = rng.randrange(families)
+        gone = 0 if family == 0 else 20 + family % 7
+        lacked = set(range(gone)) | {rng.randrange(len(pivot)) for _ in range(rng.randrange(9))}
+        added = {1000 * family + i for i in range(1000, 1000 + gone)} | {90_000 + rng.randrange(40) for _ in range(rng.randrange(9))}
+        sets[b] = pivot - lacked | added
+        part = 0 if 100 * len(pivot & sets[b]) >= 80 * len(pivot | sets[b]) else b
+        rows.append((0, b, b, part, len(pivot), sorted(lacked), sorted(added)))
+    return rows, sets
+
+
+def test_a_heavy_star_is_cut_into_blocks_that_lose_no_link(spark):
+    rows, sets = _star(random.Random(6), set(range(100)), 9, 120)
+    stars = spark.createDataFrame(rows, "a long, b long, home long, part long, size_a long, lacked array<long>, added array<long>")
+    known = [(0, r[1]) for r in rows if r[3] == 0]
+    linked = [(x, y) for x in sets for y in sets if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    for weight in (900, 5000, minhash.WEIGHT):
+        got = [tuple(r) for r in minhash._within(stars, 0.8, weight).collect()]
+        assert {tuple(sorted(p)) for p in got} <= set(linked)
+        both = [{r.node: r.component for r in components(spark.createDataFrame(known + e, "a long, b long")).collect()} for e in (got, linked)]
+        assert both[0] == both[1] and 1 < len(set(both[0].values())) < 60
+
+
+def test_unlike_members_of_a_large_star_make_no_pairs(spark, monkeypatch):
+    """Texts that hold some of the same lines each, most pairs below the threshold: tasks get rows of members, not pairs of them."""
+    rng, handed = random.Random(8), []
+    lines = [" ".join(f"l{i}w{j}" for j in range(12)) for i in range(14)]
+    docs = [(n, " ".join(x for x in lines if rng.random() < 0.6)) for n in range(330)]
+    pairs_of = minhash.compared
+
+    def counted(pairs, *args):
+        handed.append(pairs.count())
+        return pairs_of(pairs, *args)
+
+    monkeypatch.setattr(minhash, "compared", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc: (r.n_shingles, r.component) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute.near(docs, 5) and len({c for _, c in got.values()}) > 60
+    # A document is a member of 28 stars at most.
+    assert sum(handed) <= 28 * len(docs)
+    rows, _ = _star(rng, set(range(100)), 40, 2000)
+    stars = spark.createDataFrame(rows, "a long, b long, home long, part long, size_a long, lacked array<long>, added array<long>")
+    dealt = minhash._dealt(stars, 80, minhash.WEIGHT)
+    weights = dealt.groupBy("a", "meeting").agg(F.sum(F.size("lacked") + F.size("added") + minhash.MEMBER).alias("w"))
+    assert dealt.count() < 4 * len(rows) and weights.where(F.col("w") > 2.5 * minhash.WEIGHT).isEmpty()
